@@ -9,9 +9,10 @@ a rank at which all coordinates are expected to be hit, so a signature costs abo
 ``max(words, k ln k)`` darts and not ``k`` times the words.
 
 Signatures are cut into bands; documents that share a band form a bucket. In each bucket members are
-compared with its leader (the member whose buckets hold most documents), not with each other. A
-bucket whose members then lie in more than one class goes on with further leaders until every pair of
-members in different classes has been compared: no cap, no pairs of all members. Pairs are checked
+compared with its leader (the member whose buckets hold most documents), not with each other. The
+documents of a bucket whose members then lie in more than one class get a second, longer signature,
+and members of different classes are compared on it in bounded blocks; very wide buckets are split by
+the second signature's narrower bands before that. Likely pairs are checked
 exactly on their word shingles, and links are joined into classes by alternating large and small stars.
 """
 
@@ -31,8 +32,10 @@ NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 #: P(Poisson(1) <= n) for n = 0, 1, ...
 _POISSON = np.cumsum([math.exp(-1) / math.factorial(n) for n in range(16)])
-#: Leaders that one bucket gets in a round after the first.
-LEADERS = 8
+#: Coordinates and rows per band of the second signature: its bands miss a pair at 0.8 with probability 7e-4.
+NARROW = (640, 10)
+#: Members of a bucket that are laid together, to be compared with another such block.
+BLOCK = 256
 
 
 def _throw(element, weight, row, low, high, k, seed, out):
@@ -80,6 +83,22 @@ def _weighted(hashes, row, weights):
     return hashes[first], np.diff(np.r_[first, len(row)]).astype(float), row[first]
 
 
+def _band_keys(sig: np.ndarray, rows_per_band: int) -> np.ndarray:
+    """(rows, bands) hashes of the signatures' bands."""
+    out = []
+    for b in range(0, sig.shape[1], rows_per_band):
+        key = np.full(len(sig), np.uint64(b))
+        for j in range(b, b + rows_per_band):
+            key = mixed(key + sig[:, j])
+        out.append(key)
+    return np.stack(out, axis=1).view(np.int64)
+
+
+def _lists(keys: np.ndarray, some: np.ndarray) -> pa.Array:
+    """The keys of each row as a list column; empty where ``some`` is false."""
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(some * keys.shape[1])], pa.int32()), pa.array(keys[some].reshape(-1)))
+
+
 def banded(docs: DataFrame, id_col: str, text_col: str, shingle: int, k: int, rows_per_band: int, weights: str) -> DataFrame:
     """id, digest of the text, and the hash of each band of its signature (none for a text without words)."""
 
@@ -89,20 +108,11 @@ def banded(docs: DataFrame, id_col: str, text_col: str, shingle: int, k: int, ro
             valid = part.column(1).is_valid().to_numpy(zero_copy_only=False)
             hashes, row = shingles_of(raw, at, shingle)
             sig = signatures(*_weighted(hashes, row, weights), len(at) - 1, k)
-            some = sig[:, 0] != NONE
-            keys = np.stack([run_hashes_of(sig[:, b : b + rows_per_band]) + np.uint64(b) for b in range(0, k, rows_per_band)], axis=1)
-            keys = mixed(keys).view(np.int64)[some]
             body = raw.tobytes()
             digest = [hashlib.blake2b(body[i:j], digest_size=16).digest() if v else None for i, j, v in zip(at[:-1], at[1:], valid)]
-            bands = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(some * keys.shape[1])], pa.int32()), pa.array(keys.reshape(-1)))
+            bands = _lists(_band_keys(sig, rows_per_band), sig[:, 0] != NONE)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digest, pa.binary()), bands], ["node", "digest", "bands"])
 
-    def run_hashes_of(values):
-        out = np.zeros(len(values), np.uint64)
-        for j in range(values.shape[1]):
-            out = mixed(out + values[:, j])
-        return out
-
     plain = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("text"))
     return plain.mapInArrow(run, "node long, digest binary, bands array<long>")
 
@@ -168,44 +178,102 @@ def classes_of(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("class_id")).unionByName(roots)
 
 
-def linked_classes(nodes: DataFrame, sets_of, threshold: float) -> DataFrame | None:
-    """(node, class_id) of the documents (node, bands) that have a link; None if no two share a band.
+def _narrow(sets: DataFrame) -> DataFrame:
+    """node, its second signature with one byte for each coordinate, and that signature's bands."""
+    k, rows_per_band = NARROW
+
+    def run(batches):
+        for part in steps(batches, "body"):
+            size = part.column("n").to_numpy(zero_copy_only=False)
+            element = np.frombuffer(b"".join(x.as_py() for x in part.column("body")), np.uint32).astype(np.uint64)
+            sig = signatures(mixed(element), np.ones(len(element)), np.repeat(np.arange(len(size)), size), len(size), k, 2)
+            folded = (mixed(sig) & np.uint64(255)).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([x.tobytes() for x in folded], pa.binary()), _lists(_band_keys(sig, rows_per_band), size > 0)], ["node", "sig", "narrow"])
+
+    return sets.mapInArrow(run, "node long, sig binary, narrow array<long>")
 
-    ``sets_of(ids)`` gives the shingle sets of the documents ``ids`` (node). Each round compares the
-    members of a bucket with leaders of it that lie in another class so far; a bucket is done when all
-    members that have not been leaders lie in one class with each other and with the leaders.
+
+def _likely(blocks: DataFrame, least: float) -> DataFrame:
+    """Pairs of members in different classes, from two blocks of a bucket, whose second signatures agree in a share ``least``."""
+
+    def side(batch, name):
+        column = batch.column(name)
+        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        flat, at = column.flatten(), np.r_[0, np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))]
+        number = lambda f: flat.field(f).to_numpy(zero_copy_only=False)
+        sig = np.frombuffer(b"".join(x.as_py() for x in flat.field("sig")), np.uint8).reshape(len(flat), NARROW[0])
+        return at, number("node"), number("class_id"), number("main"), sig
+
+    def run(batches):
+        for batch in batches:
+            at, node, kind, main, sig = side(batch, "a")
+            at2, node2, kind2, main2, sig2 = side(batch, "b")
+            u, v = [], []
+            for r in range(batch.num_rows):
+                two = slice(at2[r], at2[r + 1])
+                for i in range(at[r], at[r + 1]):
+                    apart = (kind2[two] != kind[i]) & ~(main2[two] & main[i]) & (node2[two] != node[i])
+                    which = np.flatnonzero(apart) + at2[r]
+                    which = which[(sig2[which] == sig[i]).mean(axis=1) >= least]
+                    u.append(np.minimum(node[i], node2[which]))
+                    v.append(np.maximum(node[i], node2[which]))
+            if u:
+                pair = np.unique(np.stack([np.concatenate(u), np.concatenate(v)]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], ["u", "v"])
+
+    return blocks.mapInArrow(run, "u long, v long").distinct()
+
+
+def _second_round(members: DataFrame, classes: DataFrame | None, sets: DataFrame, threshold: float, wide: int) -> DataFrame:
+    """Likely pairs between the classes that share a bucket.
+
+    members: node, key. A bucket's members are laid in blocks of about BLOCK rows, and blocks are
+    compared with blocks on signatures. Pairs within the bucket's largest class are left out, as they
+    are linked already. A bucket of more than ``wide`` members is split into narrower bands first.
+    """
+    placed = members.select("node", "key")
+    if classes is None:
+        placed = placed.withColumn("class_id", F.col("node"))
+    else:
+        placed = placed.join(classes, "node", "left").withColumn("class_id", F.coalesce("class_id", "node"))
+    placed = written(placed)
+    kinds = placed.groupBy("key", "class_id").agg(F.count("*").alias("size"))
+    kinds = kinds.groupBy("key").agg(F.sum("size").alias("n"), F.count("*").alias("kinds"), F.max(F.struct("size", "class_id")).alias("x"))
+    open_ = placed.join(kinds.where("kinds > 1").select("key", "n", F.col("x.class_id").alias("main_class")), "key")
+    open_ = written(open_.withColumn("main", F.col("class_id") == F.col("main_class")).drop("main_class"))
+    narrow = written(_narrow(sets.join(open_.select("node").distinct(), "node")))
+    few = open_.where(F.col("n") <= wide).join(narrow.select("node", "sig"), "node").drop("n")
+    many = open_.where(F.col("n") > wide).select("node", "class_id").distinct().join(narrow, "node")
+    many = many.select("node", F.explode("narrow").alias("key"), "class_id", F.lit(False).alias("main"), "sig")
+    rows = few.select("node", "key", "class_id", "main", "sig").unionByName(many)
+    size = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("class_id").alias("x"), F.max("class_id").alias("y")).where("x <> y").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("of"))
+    blocks = rows.join(size, "key").groupBy("key", F.pmod(F.hash("node"), "of").alias("block")).agg(F.collect_list(F.struct("node", "class_id", "main", "sig")).alias("a"))
+    blocks = written(blocks)
+    both = blocks.join(blocks.select("key", F.col("block").alias("other"), F.col("a").alias("b")), "key").where("block <= other").select("a", "b")
+    return _likely(both, threshold - 3 * math.sqrt(threshold * (1 - threshold) / NARROW[0]))
+
+
+def linked_classes(nodes: DataFrame, sets_of, threshold: float, wide: int = 4096) -> DataFrame | None:
+    """(node, class_id) of the documents (node, bands) that have a link; None if there are none.
+
+    ``sets_of(ids)`` gives the shingle sets of the documents ``ids`` (node).
     """
     rows = nodes.select("node", F.explode("bands").alias("key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     buckets = written(rows.join(shared, "key"))
     if buckets.isEmpty():
         return None
-    rank = buckets.groupBy("node").agg(F.sum("n").alias("rank"))
+    rank = written(buckets.groupBy("node").agg(F.sum("n").alias("rank")))
     sets = written(sets_of(rank.select("node")))
-    open_ = buckets.join(rank, "node").select("node", "key", "rank", F.col("node").alias("class_id"), F.lit(False).alias("led"))
-    links = tried = None
-    leaders = 1
-    while True:
-        best = F.max(F.struct("rank", (-F.col("node")).alias("minus"), "class_id"))
-        lead = open_.where("not led").groupBy("key", F.pmod(F.hash("node"), F.lit(leaders)).alias("salt")).agg(best.alias("x"))
-        lead = checkpointed(lead.select("key", (-F.col("x.minus")).alias("lead"), F.col("x.class_id").alias("lead_class")))
-        pairs = open_.join(lead, "key").where("class_id <> lead_class")
-        pairs = pairs.select(F.least("node", "lead").alias("u"), F.greatest("node", "lead").alias("v")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["u", "v"], "left_anti")
-        pairs = written(pairs)
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        found = written(_similar(pairs, sets, threshold))
-        links = found if links is None else links.unionByName(found)
-        classes = classes_of(links)
-        led = lead.select("key", F.col("lead").alias("node"), F.lit(True).alias("now"))
-        state = open_.drop("class_id").join(led, ["key", "node"], "left").join(classes, "node", "left")
-        state = state.select("node", "key", "rank", F.coalesce("class_id", "node").alias("class_id"), (F.col("led") | F.coalesce("now", F.lit(False))).alias("led"))
-        split = state.groupBy("key").agg(F.min("class_id").alias("a"), F.max("class_id").alias("b"), F.bool_and("led").alias("all_led")).where("a <> b and not all_led")
-        open_ = written(state.join(split.select("key"), "key", "left_semi"))
-        if open_.isEmpty():
-            return classes
-        leaders = LEADERS
+    members = buckets.select("node", "key").join(rank, "node")
+    lead = members.groupBy("key").agg(F.max(F.struct("rank", (-F.col("node")).alias("minus"))).alias("x")).select("key", (-F.col("x.minus")).alias("lead"))
+    pairs = buckets.select("node", "key").join(lead, "key").where("node <> lead").select(F.least("node", "lead").alias("u"), F.greatest("node", "lead").alias("v"))
+    links = written(_similar(pairs.distinct(), sets, threshold))
+    classes = None if links.isEmpty() else classes_of(links)
+    more = written(_similar(_second_round(buckets, classes, sets, threshold, wide), sets, threshold))
+    if not more.isEmpty():
+        classes = classes_of(links.unionByName(more))
+    return classes
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.8, k: int = 64, rows_per_band: int = 4, weights: str = "set") -> DataFrame:
