@@ -2,14 +2,83 @@
 
 from __future__ import annotations
 
-from headerloom.llm import dartminhash
+from headerloom.llm import dartminhash, mix, urlfilter
 from headerloom.sources.tables import table
 
+#: The rules of the URL contract: host, path, verdict.
+URL_RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
+
 
 def op1_dart_minhash(spark, sf_dir):
     """The near-duplicate class of every document."""
     return dartminhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_dart_minhash": op1_dart_minhash}
-ORACLE_SQL: dict[str, str] = {}
+def op2_source_mix(spark, sf_dir):
+    """What a mix of 150 % of all words at weights 5, 2, 1 takes of every document."""
+    return mix.mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, most=2)
+
+
+def op5_url_filter(spark, sf_dir):
+    """Every page's URL judged by the rules."""
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return urlfilter.judged(table(spark, sf_dir, "pages"), rules)
+
+
+QUERIES = {"op1_dart_minhash": op1_dart_minhash, "op2_source_mix": op2_source_mix, "op5_url_filter": op5_url_filter}
+
+ORACLE_SQL = {
+    "op2_source_mix": r"""
+        WITH sized AS (
+          SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+                 md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':mix') AS key
+          FROM documents),
+        totals AS (
+          SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
+        weighed AS (
+          SELECT *, source_size * 2 AS cap,
+                 [5, 2, 1][CAST((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1 AS INTEGER)] AS weight
+          FROM totals),
+        filled AS (
+          SELECT *, 1.5::DOUBLE * sum(source_size) OVER () AS total,
+                 coalesce(sum(cap) OVER (ORDER BY cap::DOUBLE / weight, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cap_before,
+                 sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY cap::DOUBLE / weight, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS weight_left
+          FROM weighed),
+        judged AS (
+          SELECT *, (total - cap_before::DOUBLE) * weight::DOUBLE / weight_left::DOUBLE >= cap AS capped FROM filled),
+        goals AS (
+          SELECT source, source_size,
+                 CASE WHEN capped THEN cap::DOUBLE
+                      ELSE (total - coalesce(sum(CASE WHEN capped THEN cap END) OVER (), 0)::DOUBLE) * weight::DOUBLE
+                           / (sum(CASE WHEN NOT capped THEN weight END) OVER ())::DOUBLE END AS target
+          FROM judged),
+        placed AS (
+          SELECT s.doc_id, s.source, s.size, g.source_size, g.target,
+                 CAST(sum(s.size) OVER (PARTITION BY s.source ORDER BY s.key, s.doc_id, s.size ROWS UNBOUNDED PRECEDING) AS BIGINT) - s.size AS before,
+                 CAST(floor(g.target) AS BIGINT) AS budget
+          FROM sized s JOIN goals g ON s.source IS NOT DISTINCT FROM g.source)
+        SELECT doc_id, source, size, source_size, target,
+               CAST(CASE WHEN source_size > 0 THEN budget // source_size ELSE 0 END * size
+                    + greatest(0, least(size, budget - CASE WHEN source_size > 0 THEN budget // source_size ELSE 0 END * source_size - before)) AS BIGINT) AS taken
+        FROM placed""",
+    "op5_url_filter": r"""
+        WITH rules(rhost, rpath, verdict) AS (
+          VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
+                 ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+        parts AS (
+          SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+                 coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path
+          FROM pages),
+        fit AS (
+          SELECT p.page_id, r.rhost || r.rpath AS rule, r.verdict,
+                 row_number() OVER (PARTITION BY p.page_id ORDER BY length(r.rhost || r.rpath) DESC) AS place
+          FROM parts p JOIN rules r ON (p.host = r.rhost OR ends_with(p.host, '.' || r.rhost)) AND starts_with(p.path, r.rpath))
+        SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.verdict, 'allow') AS verdict
+        FROM parts p LEFT JOIN fit f ON f.page_id = p.page_id AND f.place = 1""",
+}
