@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from headerloom.llm import dartminhash, mix, urlfilter
+from headerloom.llm import additive, dartminhash, mix, urlfilter, vafile
 from headerloom.sources.tables import table
 
 #: The rules of the URL contract: host, path, verdict.
@@ -25,13 +25,23 @@ def op2_source_mix(spark, sf_dir):
     return mix.mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, most=2)
 
 
+def op3_additive_ann(spark, sf_dir):
+    """The 20 nearest found of every 20th vector by inner product."""
+    return additive.nearest(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0", k=20)
+
+
 def op5_url_filter(spark, sf_dir):
     """Every page's URL judged by the rules."""
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return urlfilter.judged(table(spark, sf_dir, "pages"), rules)
 
 
-QUERIES = {"op1_dart_minhash": op1_dart_minhash, "op2_source_mix": op2_source_mix, "op5_url_filter": op5_url_filter}
+def op9_va_topk(spark, sf_dir):
+    """The 10 highest integer inner products of every 100th vector."""
+    return vafile.top_k(table(spark, sf_dir, "embeddings"), "vec_id % 100 = 0", k=10, scale=1024)
+
+
+QUERIES = {f.__name__: f for f in (op1_dart_minhash, op2_source_mix, op3_additive_ann, op5_url_filter, op9_va_topk)}
 
 ORACLE_SQL = {
     "op2_source_mix": r"""
@@ -81,4 +91,18 @@ ORACLE_SQL = {
           FROM parts p JOIN rules r ON (p.host = r.rhost OR ends_with(p.host, '.' || r.rhost)) AND starts_with(p.path, r.rpath))
         SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.verdict, 'allow') AS verdict
         FROM parts p LEFT JOIN fit f ON f.page_id = p.page_id AND f.place = 1""",
+    "op9_va_topk": """
+        WITH sound AS (
+          SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+          FROM embeddings
+          WHERE vec_id IS NOT NULL AND len(embedding) > 0
+            AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        scored AS (
+          SELECT q.vec_id AS query_id, c.vec_id,
+                 CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
+          FROM sound q JOIN sound c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id AND len(q.v) = len(c.v)),
+        ranked AS (
+          SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+          FROM scored)
+        SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10""",
 }
