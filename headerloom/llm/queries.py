@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from headerloom.llm import additive, dartminhash, mix, urlfilter, vafile
+import public_tokenizers
+from pyspark.sql import functions as F
+
+from headerloom.llm import additive, bpe, dartminhash, hyperlang, mix, qda, spans, urlfilter, vafile
+from headerloom.llm.shared import crc32_mod
 from headerloom.sources.tables import table
 
 #: The rules of the URL contract: host, path, verdict.
@@ -36,12 +40,43 @@ def op5_url_filter(spark, sf_dir):
     return urlfilter.judged(table(spark, sf_dir, "pages"), rules)
 
 
+def op6_hyper_lang(spark, sf_dir):
+    """The language of every document, learned from two thirds of them."""
+    docs = table(spark, sf_dir, "documents")
+    learned = hyperlang.prototypes(docs.where(crc32_mod("doc_id", 3) != 1))
+    return hyperlang.identified(docs, learned).select("doc_id", F.coalesce(crc32_mod("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def quality_labels(spark, sf_dir):
+    """doc_id and label of the rows that the quality classifier may learn from."""
+    labels = table(spark, sf_dir, "labels")
+    return labels.where(crc32_mod("doc_id", 5) != 0).select("doc_id", F.col("quality").alias("label"))
+
+
+def op7_qda_quality(spark, sf_dir):
+    """The quality of every document, learned from four fifths of the labels."""
+    scored = qda.scored(table(spark, sf_dir, "documents"), quality_labels(spark, sf_dir), threshold=0.3)
+    return scored.select("doc_id", F.coalesce(crc32_mod("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+def op8_byte_bpe(spark, sf_dir):
+    """Digests of every document's token ids and of the bytes that they decode to."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return bpe.digests(bpe.encoded(table(spark, sf_dir, "documents"), path), path)
+
+
 def op9_va_topk(spark, sf_dir):
     """The 10 highest integer inner products of every 100th vector."""
     return vafile.top_k(table(spark, sf_dir, "embeddings"), "vec_id % 100 = 0", k=10, scale=1024)
 
 
-QUERIES = {f.__name__: f for f in (op1_dart_minhash, op2_source_mix, op3_additive_ann, op5_url_filter, op9_va_topk)}
+def op10_sentence_spans(spark, sf_dir):
+    """Every document without the sentences that repeat an earlier span, and how many those were."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spans.deduplicated(docs, count_col="removed_sentences")
+
+
+QUERIES = {f.__name__: f for f in (op1_dart_minhash, op2_source_mix, op3_additive_ann, op5_url_filter, op6_hyper_lang, op7_qda_quality, op8_byte_bpe, op9_va_topk, op10_sentence_spans)}
 
 ORACLE_SQL = {
     "op2_source_mix": r"""
