@@ -2,17 +2,31 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from headerloom.llm import dartminhash, mix
+from headerloom.llm import bpe, dartminhash, mix, qda, spans
+from headerloom.llm.queries import quality_labels
 from headerloom.llm.shared import written
 
 
+def quality(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the quality classifier accepts."""
+    return qda.kept(docs, quality_labels(spark, sf_dir), threshold=0.3)
+
+
 def near_dedup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the first document of each class of near copies."""
-    first = dartminhash.near_duplicates(docs).where("is_first").select("doc_id").distinct()
-    return docs.join(first, "doc_id").select(*docs.columns)
+    """The first document of each class of near copies; documents without doc_id have no class and stay."""
+    later = dartminhash.near_duplicates(docs).where("doc_id is not null and not is_first").select("doc_id").distinct()
+    return docs.join(later, "doc_id", "left_anti").select(*docs.columns)
+
+
+def substring_dedup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents without repeated spans of sentences; those that consist of such spans go."""
+    out = spans.deduplicated(docs, count_col="__removed").where("__removed = 0 or text <> ''")
+    n_chars = F.when(F.col("__removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return out.withColumn("n_chars", n_chars).select(*docs.columns)
 
 
 def mix_sources(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,7 +34,19 @@ def mix_sources(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mix.mixed_documents(docs)
 
 
-STAGES = [("MinHash near-dedup", near_dedup), ("mixing sources to target weights", mix_sources)]
+def tokens(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document, with digests of the ids and of the bytes that they decode to."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return bpe.digests(bpe.encoded(docs, path, keep=("lang", "source")), path, keep=("lang", "source", "ids"))
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("MinHash near-dedup", near_dedup),
+    ("substring dedup", substring_dedup),
+    ("mixing sources to target weights", mix_sources),
+    ("byte-level BPE encoding and decoding", tokens),
+]
 #: The classifier, the signatures and the tokenizer cannot be stated in SQL.
 ORACLE_SQL = None
 

@@ -311,10 +311,15 @@ def _shared(spark, path: str):
     return name, spark.sparkContext.broadcast((ranks, code_classes().tobytes()))
 
 
-def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _schema(plain: DataFrame, made: list[str], keep) -> str:
+    kinds = dict(plain.dtypes)
+    return ", ".join([f"doc_id {kinds['doc_id']}", *made, *[f"`{c}` {kinds[c]}" for c in keep]])
+
+
+def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of docs: doc_id, ids array<int>, ends array<int> (the byte of the text's UTF-8 at which each id ends).
 
-    ``path``: a rank file on the driver. Every whole text is encoded; null and empty texts give empty
+    ``path``: a rank file on the driver. ``keep``: columns of docs that go along. Every whole text is encoded; null and empty texts give empty
     arrays; rows that repeat are encoded each; other columns are ignored; an empty table gives an empty one.
     """
     name, shared = _shared(docs.sparkSession, path)
@@ -328,11 +333,10 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
             reach = np.cumsum(codec.sizes(ids)) - np.repeat(at[:-1], count)
             at32 = pa.array(rows, pa.int32())
             lists = [pa.ListArray.from_arrays(at32, pa.array(x, pa.int32())) for x in (ids, reach)]
-            yield pa.RecordBatch.from_arrays([part.column(0), *lists], ["doc_id", "ids", "ends"])
+            yield pa.RecordBatch.from_arrays([part.column(0), *lists, *part.columns[2:]], ["doc_id", "ids", "ends", *keep])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return plain.mapInArrow(run, f"doc_id {kind}, ids array<int>, ends array<int>")
+    plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), *keep)
+    return plain.mapInArrow(run, _schema(plain, ["ids array<int>", "ends array<int>"], keep))
 
 
 def _lists(column) -> tuple[np.ndarray, np.ndarray]:
@@ -366,14 +370,15 @@ def decoded(coded: DataFrame, path: str) -> DataFrame:
     return _decoding(coded.select("doc_id", "ids"), path, f"doc_id {coded.schema['doc_id'].dataType.simpleString()}, body binary", out)
 
 
-def digests(coded: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 (of the ids as little-endian unsigned 32-bit integers), decoded_sha256 (of the decoded bytes)."""
+def digests(coded: DataFrame, path: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 (of the ids as little-endian unsigned 32-bit integers), decoded_sha256 (of the decoded bytes); columns of ``keep`` go along."""
 
     def out(part, ids, rows, raw, at):
         words, body = ids.astype("<u4"), raw.tobytes()
         one = [hashlib.sha256(words[i:j].tobytes()).hexdigest() for i, j in zip(rows[:-1], rows[1:])]
         two = [hashlib.sha256(body[i:j]).hexdigest() for i, j in zip(at[:-1], at[1:])]
-        return pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(rows).astype(np.int64)), pa.array(one), pa.array(two)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        more = [part.column(c) for c in keep]
+        return pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(rows).astype(np.int64)), pa.array(one), pa.array(two), *more], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *keep])
 
-    kind = coded.schema["doc_id"].dataType.simpleString()
-    return _decoding(coded.select("doc_id", "ids"), path, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string", out)
+    plain = coded.select(*dict.fromkeys(["doc_id", "ids", *keep]))
+    return _decoding(plain, path, _schema(plain, ["n_tokens long", "ids_sha256 string", "decoded_sha256 string"], keep), out)

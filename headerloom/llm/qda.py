@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from headerloom.llm.shared import slice_hashes, steps, texts_of, words_of, written
 
@@ -149,6 +150,23 @@ class Discriminant:
         return 1 / (1 + np.exp(np.clip(dense[0] - dense[1], -500, 500)))
 
 
+def learned(rows: DataFrame, labelled: DataFrame) -> Discriminant:
+    """The model of ``rows`` (doc_id, x) and their labels (doc_id, label)."""
+    label = labelled.select(F.col("doc_id").alias("__of"), F.col("label").cast("int").alias("label")).where("label in (0, 1)")
+    return Discriminant(moments(rows.join(label, F.col("doc_id") == F.col("__of"))))
+
+
+def kept(docs: DataFrame, labelled: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that scored() predicts 1 for. Statistics are made again here, so no text is shuffled."""
+    model = learned(written(described(docs, id_col, text_col)), labelled)
+
+    def run(batches):
+        for part in steps(batches, text_col):
+            yield part.filter(pa.array(model.score(statistics(*texts_of(part.column(text_col)))) >= threshold))
+
+    return docs.mapInArrow(run, StructType([StructField(f.name, f.dataType) for f in docs.schema]))
+
+
 def scored(docs: DataFrame, labelled: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, score (0 to 1, higher: label 1 likelier), predicted (1 if score >= threshold, else 0).
 
@@ -158,8 +176,7 @@ def scored(docs: DataFrame, labelled: DataFrame, threshold: float = 0.3, id_col:
     labelled row the score is the other class's label, and 0.5 without any. Other columns are ignored.
     """
     rows = written(described(docs, id_col, text_col))
-    label = labelled.select(F.col("doc_id").alias("__of"), F.col("label").cast("int").alias("label")).where("label in (0, 1)")
-    model = Discriminant(moments(rows.join(label, F.col("doc_id") == F.col("__of"))))
+    model = learned(rows, labelled)
     d = len(NAMES)
 
     def run(batches):

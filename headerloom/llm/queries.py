@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from headerloom.llm import additive, bpe, dartminhash, hyperlang, mix, qda, spans, urlfilter, vafile
+from headerloom.llm import additive, bpe, dartminhash, hyperlang, mix, qda, spans, tagpaths, urlfilter, vafile
 from headerloom.llm.shared import crc32_mod
 from headerloom.sources.tables import table
 
@@ -34,6 +34,11 @@ def op3_additive_ann(spark, sf_dir):
     return additive.nearest(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0", k=20)
 
 
+def op4_tag_paths(spark, sf_dir):
+    """The main text of every page."""
+    return tagpaths.extracted(table(spark, sf_dir, "pages"))
+
+
 def op5_url_filter(spark, sf_dir):
     """Every page's URL judged by the rules."""
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
@@ -76,7 +81,7 @@ def op10_sentence_spans(spark, sf_dir):
     return spans.deduplicated(docs, count_col="removed_sentences")
 
 
-QUERIES = {f.__name__: f for f in (op1_dart_minhash, op2_source_mix, op3_additive_ann, op5_url_filter, op6_hyper_lang, op7_qda_quality, op8_byte_bpe, op9_va_topk, op10_sentence_spans)}
+QUERIES = {f.__name__: f for f in (op1_dart_minhash, op2_source_mix, op3_additive_ann, op4_tag_paths, op5_url_filter, op6_hyper_lang, op7_qda_quality, op8_byte_bpe, op9_va_topk, op10_sentence_spans)}
 
 ORACLE_SQL = {
     "op2_source_mix": r"""
