@@ -94,11 +94,13 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sente
 def repeated(found: DataFrame) -> DataFrame:
     """d, t, at, n of the spans (as of spans()) that are not the first of their hash, by doc_id (null last), text hash and position.
 
-    The first places are found by an aggregate that combines in each task before it shuffles; joining
-    them back lets Spark split a span that a great share of all documents holds.
+    The first places are found by an aggregate that combines in each task before it shuffles. They are
+    written, so that the join back shuffles both sides and adaptive execution can split a span that a
+    great share of all documents holds.
     """
     order = F.struct(F.col("d").isNull().alias("none"), "d", "t", "at")
     first = found.groupBy("h", "g").agg(F.count("*").alias("many"), F.min(order).alias("first")).where("many > 1").select(F.col("h").alias("h1"), F.col("g").alias("g1"), "first")
+    first = written(first)
     both = found.join(first, (F.col("h") == F.col("h1")) & (F.col("g") == F.col("g1")))
     return both.where(order != F.col("first")).select("d", "t", "at", "n")
 
