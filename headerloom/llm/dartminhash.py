@@ -34,6 +34,8 @@ _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _POISSON = np.cumsum([math.exp(-1) / math.factorial(n) for n in range(16)])
 #: Coordinates and rows per band of the second signature: its bands miss a pair at 0.8 with probability 7e-4.
 NARROW = (640, 10)
+#: Darts that a task holds at once, at some hundred bytes each.
+DARTS = 1 << 20
 #: Members of a bucket that are laid together, to be compared with another such block.
 BLOCK = 256
 
@@ -73,6 +75,11 @@ def signatures(element: np.ndarray, weight: np.ndarray, row: np.ndarray, rows: i
     return out
 
 
+def _rows_at_once(k: int) -> int:
+    """Rows whose darts are thrown together: every row throws about k ln k of them, however short it is."""
+    return max(1, int(DARTS / (k * (math.log(k) + 3))))
+
+
 def _weighted(hashes, row, weights):
     """Distinct elements of each row with their weights: 1 each for "set", their number for "count"."""
     if weights == "set":
@@ -103,7 +110,7 @@ def banded(docs: DataFrame, id_col: str, text_col: str, shingle: int, k: int, ro
     """id, digest of the text, and the hash of each band of its signature (none for a text without words)."""
 
     def run(batches):
-        for part in steps(batches):
+        for part in steps(batches, rows=_rows_at_once(k)):
             raw, at = texts_of(part.column(1))
             valid = part.column(1).is_valid().to_numpy(zero_copy_only=False)
             hashes, row = shingles_of(raw, at, shingle)
@@ -183,7 +190,7 @@ def _narrow(sets: DataFrame) -> DataFrame:
     k, rows_per_band = NARROW
 
     def run(batches):
-        for part in steps(batches, "body"):
+        for part in steps(batches, "body", rows=_rows_at_once(k)):
             size = part.column("n").to_numpy(zero_copy_only=False)
             element = np.frombuffer(b"".join(x.as_py() for x in part.column("body")), np.uint32).astype(np.uint64)
             sig = signatures(mixed(element), np.ones(len(element)), np.repeat(np.arange(len(size)), size), len(size), k, 2)

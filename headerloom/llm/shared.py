@@ -67,8 +67,8 @@ def texts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def steps(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches with about ``most`` bytes of text each, and one row at least. No row is cut."""
+def steps(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = STEP_BYTES, rows: int = 1 << 14) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches with about ``most`` bytes of text and ``rows`` rows each at most, and one row at least. No row is cut."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -76,7 +76,7 @@ def steps(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = S
         ends, begin = np.cumsum(size), 0
         while begin < batch.num_rows:
             reach = (ends[begin - 1] if begin else 0) + most
-            end = max(begin + 1, int(np.searchsorted(ends, reach, "right")))
+            end = max(begin + 1, min(begin + rows, int(np.searchsorted(ends, reach, "right"))))
             yield batch.slice(begin, end - begin)
             begin = end
 
@@ -163,6 +163,19 @@ def shingles_of(raw: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray,
     return hashes, owner
 
 
+def sampled(df: DataFrame, key: str, n: int) -> DataFrame:
+    """At most n rows of df: those with the lowest hashes of ``key``.
+
+    A share of all hashes that holds about twice as many rows is filtered first, so what the tasks
+    send for the final choice does not grow with their number.
+    """
+    total = df.count()
+    hashed = df.withColumn("__h", F.xxhash64(key))
+    if total > 4 * n:
+        hashed = hashed.where(F.col("__h") < int(-(2**63) + 2.0**64 * (2 * n + 64) / total))
+    return hashed.orderBy("__h", key).limit(n).drop("__h")
+
+
 def crc32_mod(column: str, n: int):
     """crc32 of the number as text, modulo n."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
