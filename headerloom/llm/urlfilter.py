@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from headerloom.llm.shared import sampled
+
 #: Keys in the sample that places the cuts.
 SAMPLE = 4096
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -78,7 +80,7 @@ def judged(pages: DataFrame, rules: DataFrame, default: str = "allow", id_col: s
     rows = pages.select(F.col(id_col).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
     rows = rows.withColumn("key", F.when(F.col("host") == "", F.lit("")).otherwise(host_key(F.col("host"))))
     rows = rows.withColumn("spread", F.concat("key", F.lit("\u0000"), F.hex(F.xxhash64("page_id", "path"))))
-    sample = sorted(r[0] for r in rows.select("spread", F.xxhash64("spread").alias("h")).orderBy("h", "spread").limit(SAMPLE).collect())
+    sample = sorted(r[0] for r in sampled(rows.select("spread"), "spread", SAMPLE).collect())
     cuts = sorted({sample[i * len(sample) // zones] for i in range(1, zones)}) if sample else []
 
     @F.pandas_udf("int")
