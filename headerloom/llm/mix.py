@@ -16,7 +16,7 @@ from headerloom.llm.shared import written
 
 #: A run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
-SLOT_ROWS = 20_000
+SLOT_ROWS = 4_000
 
 
 def sized(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
