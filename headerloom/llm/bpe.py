@@ -32,7 +32,7 @@ LETTER, NUMBER, OTHER, APOS2, APOS3, WHITE, LAST, SPACE, TEXT = range(9)
 # States: which token the next code point may belong to. NEW: to none; SHORT1, SHORT2: a contraction lacks one or two.
 NEW, IN_LETTERS, IN_NUMBERS, IN_OTHERS, AFTER_SPACE, IN_WHITE, SHORT1, SHORT2 = range(8)
 #: Slices that a worker keeps the ids of.
-CACHE = 400_000
+CACHE = 200_000
 NO_RANK = np.int32(0x7FFFFFFF)
 
 

@@ -299,6 +299,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     one = written(banded(docs, id_col, text_col, shingle, k, rows_per_band, weights))
     equal = one.where("digest is not null and node is not null").groupBy("digest").agg(F.min("node").alias("rep"), F.first("bands").alias("bands"))
+    equal = written(equal)  # the join back then shuffles both sides, and hot digests can be split
     nodes = equal.select(F.col("rep").alias("node"), "bands")
 
     def sets_of(ids):

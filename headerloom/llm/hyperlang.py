@@ -142,7 +142,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def _batches(batches, column: str):
-    for part in steps(batches, column):
+    for part in steps(batches, column, 1 << 20):
         yield part, *texts_of(part.column(column))
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Text that one vectorised step holds at once; its arrays need about 60 times as much memory.
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 18
 _MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _SPACE = np.zeros(256, bool)
