@@ -4,7 +4,8 @@ A text is cut into sentences: after . ? ! (and their full-width forms) before wh
 feeds. From every sentence a span begins: the fewest sentences in a row, at least ``sentences`` of them,
 that hold at least ``words`` words, or a single sentence of ``alone`` words. Spans are hashed to 128 bits
 over their words and grouped over all documents; the first place of each, by doc_id and position, is
-kept, and every sentence that any later place covers is removed.
+kept, and every sentence that any later place covers is removed. Places of one span that a task holds
+together are compared there; only the earliest of them goes on to the global grouping.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 from headerloom.llm.shared import mixed, slice_hashes, steps, texts_of, words_of, written
 
 SENTENCES, WORDS, ALONE = 2, 25, 40
+#: Spans that a task compares with each other before they are shuffled.
+TOGETHER = 1 << 19
 _STOP = np.zeros(256, bool)
 _STOP[list(b".?!")] = True
 #: Full-width full stop, exclamation and question mark, and the ideographic full stop, in UTF-8.
@@ -76,19 +79,46 @@ def spans_of(raw: np.ndarray, at: np.ndarray, sentences: int = SENTENCES, words:
 
 def _plain(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.col(text_col).cast("string")
-    return docs.select(F.col(id_col).cast("long").alias("d"), F.xxhash64(text).alias("t"), text.alias("text"))
+    return docs.select(F.col(id_col).cast("long").alias("d"), F.xxhash64(text).alias("t"), text.alias("text")).where("text is not null")
 
 
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: int = SENTENCES, words: int = WORDS, alone: int = ALONE) -> DataFrame:
-    """d (doc_id), t (hash of the text), at (first sentence, from 0), n (sentences) and the hashes h, g of every span."""
+    """d (doc_id), t (hash of the text), at (first sentence, from 0), n (sentences), the hashes h, g of every span, and
+    ``later``: whether the task holds an earlier place of the span, so that this one is known not to be the first."""
+
+    def out(held):
+        none, d, t, at, n, h, g = (np.concatenate(x) for x in zip(*held))
+        later = _later(none, d, t, at, h, g)
+        kinds = [pa.array(d, mask=none), pa.array(t), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(g.view(np.int64)), pa.array(later)]
+        return pa.RecordBatch.from_arrays(kinds, ["d", "t", "at", "n", "h", "g", "later"])
 
     def run(batches):
+        held, size = [], 0
         for part in steps(batches):
             row, at, n, h, g = spans_of(*texts_of(part.column("text")), sentences, words, alone)
-            own = pa.array(row)
-            yield pa.RecordBatch.from_arrays([part.column("d").take(own), part.column("t").take(own), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(g.view(np.int64))], ["d", "t", "at", "n", "h", "g"])
-
-    return _plain(docs, id_col, text_col).mapInArrow(run, "d long, t long, at int, n int, h long, g long")
+            d = part.column("d")
+            none = d.is_null().to_numpy(zero_copy_only=False)
+            d, t = pc.fill_null(d, 0).to_numpy(zero_copy_only=False), part.column("t").to_numpy(zero_copy_only=False)
+            held.append((none[row], d[row], t[row], at, n, h, g))
+            size += len(row)
+            if size >= TOGETHER:
+                yield out(held)
+                held, size = [], 0
+        if held:
+            yield out(held)
+
+    return _plain(docs, id_col, text_col).mapInArrow(run, "d long, t long, at int, n int, h long, g long, later boolean")
+
+
+def _later(none, d, t, at, h, g) -> np.ndarray:
+    """Whether each span has an equal one (h, g) with an earlier place (null doc_id last, doc_id, t, at) among these."""
+    later = np.zeros(len(h), bool)
+    order = np.argsort(h, kind="stable")
+    same = h[order][1:] == h[order][:-1]
+    among = order[np.append(same, False) | np.append(False, same)] if len(h) else order
+    among = among[np.lexsort((at[among], t[among], d[among], none[among], g[among], h[among]))]
+    later[among[1:]] = (h[among][1:] == h[among][:-1]) & (g[among][1:] == g[among][:-1])
+    return later
 
 
 def repeated(found: DataFrame) -> DataFrame:
@@ -99,13 +129,14 @@ def repeated(found: DataFrame) -> DataFrame:
     great share of all documents holds.
     """
     order = F.struct(F.col("d").isNull().alias("none"), "d", "t", "at")
+    known, found = found.where("later"), found.where("not later")
     first = found.groupBy("h", "g").agg(F.count("*").alias("many"), F.min(order).alias("first")).where("many > 1").select(F.col("h").alias("h1"), F.col("g").alias("g1"), "first")
     first = written(first)
     both = found.join(first, (F.col("h") == F.col("h1")) & (F.col("g") == F.col("g1")))
-    return both.where(order != F.col("first")).select("d", "t", "at", "n")
+    return both.where(order != F.col("first")).select("d", "t", "at", "n").unionByName(known.select("d", "t", "at", "n"))
 
 
-def _without(raw: np.ndarray, at: np.ndarray, gone: list) -> list[str | None]:
+def _without(raw: np.ndarray, at: np.ndarray, gone: list[set[int]]) -> list[str | None]:
     """The texts without the sentences ``gone`` names for each row; a row with none named is None."""
     start, end, row, of = sentences_of(raw, at)
     body = raw.tobytes()
@@ -118,7 +149,7 @@ def _without(raw: np.ndarray, at: np.ndarray, gone: list) -> list[str | None]:
         lo, hi = begin[i], begin[i + 1]
         own = of[lo:hi] - of[lo]
         sentence = np.unique(own)
-        kept = sentence[~np.isin(sentence, numbers)]
+        kept = sentence[~np.isin(sentence, list(numbers))]
         first = np.searchsorted(own, np.append(sentence, len(sentence)))
         # A kept sentence takes the white space after it along; what stands before the first word stays.
         edge = np.append(start[lo + first[:-1]], at[i + 1])
@@ -138,8 +169,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ``count_col`` adds a column with the number of removed sentences. An empty table gives an empty one.
     """
     later = repeated(written(spans(docs, id_col, text_col, sentences, words, alone)))
-    covered = later.select("d", "t", F.explode(F.sequence("at", F.col("at") + F.col("n") - 1)).alias("s"))
-    gone = covered.groupBy("d", "t").agg(F.collect_set("s").alias("__gone")).select(F.col("d").alias("__d"), F.col("t").alias("__t"), "__gone")
+    gone = later.groupBy("d", "t").agg(F.collect_set(F.struct("at", "n")).alias("__gone")).select(F.col("d").alias("__d"), F.col("t").alias("__t"), "__gone")
     own = docs.withColumn("__key", F.xxhash64(F.col(text_col).cast("string")))
     rows = own.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("__d")) & (F.col("__key") == F.col("__t")), "left")
     rows = rows.select(*docs.columns, "__gone")
@@ -147,17 +177,17 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches):
         for part in steps(batches, text_col):
-            gone = part.column("__gone").to_pylist()
+            gone = [{s for x in those or () for s in range(x["at"], x["at"] + x["n"])} for those in part.column("__gone").to_pylist()]
             columns = [part.column(c) for c in docs_columns]
             if any(gone):
                 new = _without(*texts_of(part.column(text_col)), gone)
                 old = columns[place]
                 hit = pa.array([x is not None for x in new])
                 columns[place] = pc.if_else(hit, pa.array(new, old.type), old)
-            more = [pa.array([len(x or ()) for x in gone], pa.int32())] if count_col else []
+            more = [pa.array([len(x) for x in gone], pa.int32())] if count_col else []
             yield pa.RecordBatch.from_arrays(columns + more, names)
 
     docs_columns = docs.columns
     names = docs_columns + ([count_col] if count_col else [])
-    fields = [StructField(f.name, f.dataType) for f in docs.schema] + [StructField(count_col, IntegerType())] * bool(count_col)
+    fields = [StructField(f.name, f.dataType) for f in docs.schema] + ([StructField(count_col, IntegerType())] if count_col else [])
     return rows.mapInArrow(run, StructType(fields))
