@@ -85,7 +85,7 @@ def retention_blockers(spark, sf_dir):
 
 
 def crosspost_explode(spark, sf_dir):
-    """Distinct groups of each article: the words of a document's first line stand for its cross-post list."""
+    """Articles and posts of each group: the words of a document stand for its cross-post list."""
     docs = table(spark, sf_dir, "documents")
     return docs.select("doc_id", F.explode(F.split(F.lower("text"), r"[^\p{L}\p{N}]+")).alias("group_name")).where("group_name <> ''").groupBy("group_name").agg(F.count_distinct("doc_id").alias("articles"), F.count("*").alias("posts"))
 
