@@ -93,12 +93,16 @@ def match_result(spark, sf_dir):
     line = F.col("l_linenumber")
     subject = F.when(line == 6, F.concat(F.lit("[6/7] "), F.substring(F.md5(F.col("l_orderkey").cast("string")), 1, 16))).when(line == 7, "no name").otherwise(F.col("subject"))
     poster = F.when(F.col("l_partkey") % 4 > 0, F.lit("p"))
-    c = counters(subject)
-    value = matching.confidence(subject, poster, F.lit("2024-01-01").cast("timestamp"), F.col("l_partkey"), F.lit(None), F.when(line != 5, "a@b"))
-    kind = matching.family_kind(c["file_name"], c["file_total"], c["part_total"])
+    # Three projections: what is used several times is a column of the one before.
+    rows = rows.select("l_orderkey", "l_linenumber", "l_partkey", subject.alias("subject"), poster.alias("poster"), F.when(line != 5, "a@b").alias("message_id"))
+    c = counters(F.col("subject"))
+    rows = rows.select("*", *[c[n].alias(n) for n in ("file_name", "file_total", "part_total")])
+    value = matching.confidence(F.col("subject"), F.col("poster"), F.lit("2024-01-01").cast("timestamp"), F.col("l_partkey"), F.lit(None), F.col("message_id"))
+    rows = rows.select("*", matching.canonical_key(F.col("file_name")).alias("family_key"), value.alias("value"))
+    rows = rows.withColumn("kind", matching.family_kind(F.col("file_name"), F.col("family_key"), F.col("file_total"), F.col("part_total")))
     return rows.select(
-        "l_orderkey", "l_linenumber", "l_partkey", matching.canonical_key(c["file_name"]).alias("family_key"), F.round(value, 4).alias("confidence"), matching.match_status(value).alias("status"),
-        kind.alias("kind"), matching.identity_strength(kind, matching.canonical_key(c["file_name"])).alias("strength"),
+        "l_orderkey", "l_linenumber", "l_partkey", "family_key", F.round("value", 4).alias("confidence"), matching.match_status(F.col("value")).alias("status"), "kind",
+        matching.identity_strength(F.col("kind"), F.col("family_key")).alias("strength"),
     )
 
 
