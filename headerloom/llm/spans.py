@@ -111,13 +111,18 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sente
 
 
 def _later(none, d, t, at, h, g) -> np.ndarray:
-    """Whether each span has an equal one (h, g) with an earlier place (null doc_id last, doc_id, t, at) among these."""
+    """Whether each span has an equal one (h, g) with an earlier place (null doc_id last, doc_id, t, at) among these.
+
+    Rows equal in doc_id and text have the same places: a place is later only where it differs from the first of its span.
+    """
     later = np.zeros(len(h), bool)
     order = np.argsort(h, kind="stable")
     same = h[order][1:] == h[order][:-1]
     among = order[np.append(same, False) | np.append(False, same)] if len(h) else order
     among = among[np.lexsort((at[among], t[among], d[among], none[among], g[among], h[among]))]
-    later[among[1:]] = (h[among][1:] == h[among][:-1]) & (g[among][1:] == g[among][:-1])
+    new = np.append(True, (h[among][1:] != h[among][:-1]) | (g[among][1:] != g[among][:-1]))[: len(among)]
+    first = among[np.maximum.accumulate(np.where(new, np.arange(len(among)), 0))]
+    later[among] = np.any([x[among] != x[first] for x in (none, d, t, at)], axis=0)
     return later
 
 

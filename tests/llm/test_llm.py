@@ -236,3 +236,15 @@ def test_sentence_spans(spark):
     assert [got[i] for i in (900, 901, 902, 903)] == [None, "", " \n\t", "one"]
     assert spans.deduplicated(docs(spark, [])).count() == 0
     assert spans.deduplicated(docs(spark, rows)).columns == docs(spark, []).columns
+
+
+@pytest.mark.parametrize("parts", [1, 8])
+def test_sentence_spans_of_repeated_rows(spark, parts):
+    passage = " ".join(" ".join(f"{c}{s}{j}" for j in range(20)) + "." for s in range(5) for c in "p")
+    other = passage.replace("p", "q")
+    rows = [(3, passage), (3, passage), (8, "Before it. " + passage), (None, other), (None, other), (None, "Before it. " + other)]
+    got = spans.deduplicated(docs(spark, rows).repartition(parts)).collect()
+    assert sorted(r.text for r in got if r.doc_id is not None) == sorted([passage, passage, "Before it."])
+    # The three null ids are in the order of their text hashes: the passage stays in the first document, in each of its rows.
+    nulls = [r.text for r in got if r.doc_id is None]
+    assert sorted(nulls) in (sorted([other, other, "Before it."]), sorted(["", "", "Before it. " + other]))
