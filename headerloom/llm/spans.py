@@ -1,8 +1,10 @@
 """Substring dedup by sliding spans of sentences.
 
 A text is cut into sentences: after . ? ! (and their full-width forms) before white space, and at line
-feeds. From every sentence a span begins: the fewest sentences in a row, at least ``sentences`` of them,
-that hold at least ``words`` words, or a single sentence of ``alone`` words. Spans are hashed to 128 bits
+feeds. A run is ``sentences`` or more sentences in a row that hold at least ``words`` words, or a single
+sentence of ``alone`` words. Of all runs the shortest that begins and the shortest that ends at each sentence
+are its spans, or a sentence of ``alone`` words by itself: together they cover each sentence of any run and lie
+within it, so what all runs would find repeated these find too. Spans are hashed to 128 bits
 over their words and grouped over all documents; the first place of each, by doc_id and position, is
 kept, and every sentence that any later place covers is removed. Places of one span that a task holds
 together are compared there; only the earliest of them goes on to the global grouping.
@@ -46,7 +48,7 @@ def sentences_of(raw: np.ndarray, at: np.ndarray):
 
 
 def spans_of(raw: np.ndarray, at: np.ndarray, sentences: int = SENTENCES, words: int = WORDS, alone: int = ALONE):
-    """(row, position, length, hash, second hash) of the span that begins at each sentence, where one fits."""
+    """(row, position, length, hash, second hash) of the spans that begin or end at each sentence, where one fits; none twice."""
     start, end, row, of = sentences_of(raw, at)
     if not len(of):
         return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
@@ -60,7 +62,13 @@ def spans_of(raw: np.ndarray, at: np.ndarray, sentences: int = SENTENCES, words:
     single = np.diff(first) >= alone
     reach[single] = np.arange(n)[single] + 1
     fits = reach <= stop
-    one, reach = np.arange(n)[fits], reach[fits]
+    back = np.searchsorted(first, first[1:] - words, "right") - 1  # sentences from here hold enough words
+    back = np.minimum(back, np.arange(n) + 1 - sentences)
+    ends = back >= begin
+    if sentences <= 2 and words <= alone:
+        ends &= ~single  # the other sentences of a run that ends in a single one begin spans within it
+    ends[ends] = reach[back[ends]] != np.arange(n)[ends] + 1
+    one, reach = np.append(np.arange(n)[fits], back[ends]), np.append(reach[fits], np.arange(n)[ends] + 1)
     word = slice_hashes(raw, start, end)
     keys = []
     # The hash of words i..j as a polynomial of their hashes, from prefix sums.

@@ -248,3 +248,31 @@ def test_sentence_spans_of_repeated_rows(spark, parts):
     # The three null ids are in the order of their text hashes: the passage stays in the first document, in each of its rows.
     nulls = [r.text for r in got if r.doc_id is None]
     assert sorted(nulls) in (sorted([other, other, "Before it."]), sorted(["", "", "Before it. " + other]))
+
+
+def test_sentence_spans_against_all_runs(spark):
+    def passage(lengths, name):
+        return [" ".join(f"{name}{s}x{j}" for j in range(n)) + "." for s, n in enumerate(lengths)]
+
+    r, texts = random.Random(11), []
+    shared = [passage(x, f"p{k}") for k, x in enumerate([(14, 13, 8), (45, 39), (45, 20, 4), (8, 13, 14), (4, 20, 45), (39, 45), (3, 30, 2, 2), (50,), (10, 10), (30,)])]
+    shared += [passage([r.choice([1, 3, 8, 14, 24, 25, 39, 40, 60]) for _ in range(r.randint(2, 6))], f"r{k}") for k in range(30)]
+    for k, own in enumerate(shared):
+        for copy in range(3):
+            before, after = (passage([r.randint(1, 30)], f"{w}{k}c{copy}") for w in "ba")
+            texts.append((before if copy != 1 else []) + own + (after if copy != 2 else []))
+    texts.append(shared[0] + shared[0] + passage([3], "z"))
+
+    first, covered = {}, {}
+    for i, parts in enumerate(texts):
+        for a in range(len(parts)):
+            for b in range(a + 1, len(parts) + 1):
+                size = sum(len(x.split()) for x in parts[a:b])
+                if b - a >= 2 and size >= 25 or b - a == 1 and size >= 40:
+                    if tuple(parts[a:b]) in first:
+                        covered.setdefault(i, set()).update(range(a, b))
+                    first.setdefault(tuple(parts[a:b]), (i, a))
+    want = {i: " ".join(x for k, x in enumerate(parts) if k not in covered.get(i, ())) for i, parts in enumerate(texts)}
+    got = spans.deduplicated(docs(spark, [(i, " ".join(parts)) for i, parts in enumerate(texts)]), count_col="removed").collect()
+    assert {r.doc_id: r.text for r in got} == want
+    assert {r.doc_id: r.removed for r in got} == {i: len(covered.get(i, ())) for i in want}
