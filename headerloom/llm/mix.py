@@ -20,10 +20,10 @@ SLOT_ROWS = 4_000
 
 
 def sized(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """doc_id, source, size (words; 0 for null) and the hash that orders the documents of a source."""
+    """doc_id, source, size (words; 0 for null), the hash that orders the documents of a source and the text's digest."""
     size = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
     key = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":mix")).cast("binary"))
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), key.alias("key"))
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), key.alias("key"), F.xxhash64(F.col(text_col).cast("string")).alias("digest"))
 
 
 def targets(sizes: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: int = 2) -> DataFrame:
@@ -67,6 +67,11 @@ def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: int = 2, i
     its own; rows that repeat a doc_id count each; an empty table gives an empty one. Other columns
     are ignored.
     """
+    return _planned(docs, weights, share, most, id_col, source_col, text_col).drop("digest")
+
+
+def _planned(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: int = 2, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+    """mix() with the digest of each row's text."""
     one = written(sized(docs, id_col, source_col, text_col))
     totals = one.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("documents"))
     goal = targets(totals, weights, share, most).withColumn("slots", F.ceil(F.col("documents") / SLOT_ROWS))
@@ -78,29 +83,36 @@ def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: int = 2, i
     slots = slots.withColumn("offset", F.sum("slot_size").over(Window.partitionBy("source").orderBy("slot")) - F.col("slot_size"))
     slots = slots.select(F.col("source").alias("s"), F.col("slot").alias("t"), "offset")
     rows = rows.join(slots, F.col("source").eqNullSafe(F.col("s")) & (F.col("slot") == F.col("t")))
-    inside = Window.partitionBy("source", "slot").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("source", "slot").orderBy("key", "doc_id", "size", "digest").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("before", F.col("offset") + F.sum("size").over(inside) - F.col("size"))
     budget = F.floor("target").cast("long")
     epochs = F.when(F.col("source_size") > 0, F.expr("cast(floor(target) as bigint) div source_size")).otherwise(F.lit(0).cast("long"))
     rest = budget - epochs * F.col("source_size") - F.col("before")
     taken = epochs * F.col("size") + F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), rest))
-    return rows.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
+    return rows.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "digest")
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself, with the columns of docs: each document once per epoch it is taken in, the one at the cut up to the cut.
 
     docs: doc_id, text, source and any other columns; n_chars, if there, is brought up to date.
+
+    The plan finds its rows by doc_id, source and text digest. Rows equal in these stand together in
+    the mix's order, so at most one group of them in each source has the cut within it; only that one's
+    rows are numbered, the others take the same each.
     """
-    plan = mix(docs, **options).where("taken > 0").select("doc_id", "size", "taken")
-    nth = Window.partitionBy("doc_id").orderBy("size")
-    plan = plan.withColumn("nth", F.row_number().over(nth))
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
-    rows = docs.withColumn("__size", size).withColumn("__nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("__size")))
-    first = rows.join(
-        plan.select(F.col("doc_id").alias("__id"), F.col("nth").alias("__n"), F.col("taken").alias("__taken")),
-        F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__nth") == F.col("__n")),
-    )
+    same = ["doc_id", "source", "size", "digest"]
+    plan = _planned(docs, **options).groupBy(*same).agg(F.count("*").alias("many"), F.sum("taken").alias("sum"), F.min("taken").alias("least")).where("sum > 0")
+    plan = plan.withColumn("base", F.expr("least div size * size")).withColumn("rest", F.expr("sum - many * base"))
+    plan = written(plan.select(*[F.col(c).alias(f"__{c}") for c in (*same, "base", "rest", "many")]))
+    rows = docs.withColumn("__key", F.xxhash64(F.col("text").cast("string")))
+    on = F.col("doc_id").eqNullSafe(F.col("__doc_id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__key") == F.col("__digest"))
+    split = "__rest > 0 and __many > 1"
+    whole = rows.join(plan.where(f"not ({split})"), on).withColumn("__taken", F.col("__base") + F.col("__rest"))
+    nth = F.row_number().over(Window.partitionBy("__doc_id", "__source", "__size", "__digest").orderBy("__size")) - 1
+    last = F.greatest(F.lit(0).cast("long"), F.least(F.col("__size"), F.col("__rest") - nth * F.col("__size")))
+    cut = rows.join(F.broadcast(plan.where(split)), on).withColumn("__taken", F.col("__base") + last)
+    first = whole.unionByName(cut).where("__taken > 0")
     words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda x: x != "")
     left = F.col("__taken") - (F.col("__copy") - 1) * F.col("__size")
     copies = first.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("__taken") / F.col("__size")))))

@@ -276,3 +276,29 @@ def test_sentence_spans_against_all_runs(spark):
     got = spans.deduplicated(docs(spark, [(i, " ".join(parts)) for i, parts in enumerate(texts)]), count_col="removed").collect()
     assert {r.doc_id: r.text for r in got} == want
     assert {r.doc_id: r.removed for r in got} == {i: len(covered.get(i, ())) for i in want}
+
+
+def test_mixed_documents_of_repeated_ids(spark):
+    text = lambda n, name: " ".join(f"{name}{j}" for j in range(n))
+    rows = [(i, text(20 + i, f"d{i}x"), "abc"[i % 3]) for i in range(30)]
+    rows += [(None, "", "a"), (None, None, "a"), (None, text(70, "n"), "a"), (None, text(90, "m"), "b"), (None, text(71, "o"), "c")]
+    rows += [(100, "", "a"), (100, text(75, "p"), "b"), (100, text(76, "q"), "c"), (100, text(3, "s"), "c"), (101, text(80, "t"), "c"), (101, None, "c"), (101, text(81, "u"), "a")]
+    rows += [(None, text(5, "v"), "r")] * 7 + [(102, text(5, "w"), None)] * 7
+    table = spark.createDataFrame([(*r, k, 0) for k, r in enumerate(rows)], "doc_id long, text string, source string, k long, n_chars int").repartition(3)
+    own = {(i, s, len((t or "").split())): t for i, t, s in rows}
+    want = []
+    for r in mix.mix(table).collect():
+        held, left = own[r.doc_id, r.source, r.size], r.taken
+        while left > 0:
+            want.append((r.doc_id, r.source, " ".join(held.split()[:left])))
+            left -= r.size
+    mixed = mix.mixed_documents(table)
+    assert mixed.columns == table.columns
+    got = mixed.collect()
+    assert sorted([(r.doc_id, r.source, r.text) for r in got], key=repr) == sorted(want, key=repr)
+    assert all(r.n_chars == len(r.text) for r in got)
+    # Rows equal in all but k are taken as often as each other, but for one epoch.
+    for source in ("r", None):
+        times = [sum(r.k == k for r in got) for k, x in enumerate(rows) if x[2] == source]
+        assert max(times) - min(times) <= 1
+    assert mix.mixed_documents(table.limit(0)).count() == 0
