@@ -1,11 +1,13 @@
 """Main text of HTML pages by tag-path ratios (Wu, Li, Hu and Wang, 2013).
 
 A page is cut into blocks of text, each with its path from the root: block-level tags with their class
-or id. What the markup itself names as no content (navigation, forms, scripts, adverts, comments ...) is
-no candidate. For every path of a page, characters and punctuation marks of its blocks are averaged; the
-two ratios are fused, lowered by the share of link text, raised inside content elements, and smoothed
-over the blocks in page order. Paths above a threshold, a share of the ratios' spread, are content.
-The element that encloses them brings in its remaining blocks: headings, short paragraphs, lists.
+or id. Text in markup that never holds an article's text (scripts, forms, navigation, hidden elements)
+is no block. For every path of a page, characters and punctuation marks a block are taken, and their
+square roots multiplied. This ratio is smoothed over neighbouring blocks of one box (div, section, cell ...; in an
+article or main element only div), and fused with the ratio of the whole box, with the path's share of link
+text, and with what the markup says of it: article and main elements count more, elements that class, id or tag name
+as something else (advert, footer, sidebar, comments ...) count next to nothing. Paths whose fused ratio is at least a
+share of the page's highest are content, whatever element they lie in. A page with such other text only has none.
 """
 
 from __future__ import annotations
@@ -20,17 +22,22 @@ from pyspark.sql import functions as F
 
 from headerloom.llm.shared import steps
 
-#: A path is content if its ratio is at least this share of the standard deviation of the page's ratios.
-THRESHOLD = 0.5
-#: Neighbours' weights in smoothing, and what a content element multiplies ratios by.
-SMOOTH, FAVOUR = (0.25, 0.5, 0.25), 4.0
-#: A path of list items or plain boxes with this share of link text is a menu.
-LINKS = 0.8
+#: A path is content if its fused ratio is at least this share of the page's highest.
+THRESHOLD = 0.2
+#: Neighbours' weights in smoothing, and the share of the box's ratio in the fused one.
+SMOOTH, BOX = (0.25, 0.5, 0.25), 0.5
+#: What the markup multiplies ratios by: in an article or main element, in a box named as content, outside of both
+#: if the page has either with text, and in what is named as no content.
+ARTICLE, NAMED, OUTSIDE, OTHER = 4.0, 2.0, 0.04, 0.002
+#: What is left of a ratio whose text is all links.
+LINKED = 0.05
 
 # Tags of HTML by their part in a page.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark meter output q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-_NO_CONTENT = frozenset("head nav footer aside form noscript template button select option object iframe svg canvas dialog menu audio video map".split())
+_NEVER = frozenset("head nav form noscript template button select option object iframe svg canvas dialog menu audio video map".split())
+_OTHER = frozenset(("footer", "aside"))
+_BOXES = frozenset("html body div section article main aside footer td th figure details fieldset blockquote center".split())
 _CONTENT = frozenset(("article", "main"))
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
@@ -67,31 +74,29 @@ def _named(value: str, inside: bool) -> int:
     return int(any(w in _GOOD_WORDS for w in _WORD.findall(value.lower())))
 
 
-def _attributes(text: str, inside: bool) -> tuple[str, int]:
-    """(label of the class or id, standing as of _named)."""
+def _attributes(text: str, inside: bool) -> tuple[str, int, bool]:
+    """(label of the class or id, standing as of _named, whether hidden)."""
     label, standing = "", 0
     for name, value in _ATTRIBUTE.findall(text):
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return label, -1
+            return label, standing, True
         if name in ("class", "id", "role", "itemprop"):
             label = label or re.sub(r"\d+", "", value)
             now = _named(value, inside)
-            if now < 0:
-                return label, -1
-            standing = max(standing, now)
-    return label, standing
+            standing = now if now < 0 or standing < 0 else max(standing, now)
+    return label, standing, False
 
 
-def blocks_of(page: str) -> tuple[list[tuple[str, int, int, int]], list[tuple[int, str, bool]]]:
-    """(blocks, paths) of the candidates of a page.
+def blocks_of(page: str) -> tuple[list[tuple[str, int, int]], list[tuple[int, int, bool]]]:
+    """(blocks, paths) of a page.
 
-    A block is (text, path, characters of links, whether in a content element or box); a path is
-    (parent path, tag, whether it is or lies in an article or main element). Path 0 is the root.
+    A block is (text, path, characters of links). A path is (standing, path of its box, whether a heading): the
+    standing is 2 in an article or main element, 1 in a box named as content, -1 in what is named as no content, else 0.
     """
-    paths, number = [(-1, "", False)], {}
-    # Open elements: tag, path, no content, standing of the content (2 in article or main, 1 in a box so named), in a link.
-    stack = [("", 0, False, 0, False)]
+    paths, number = [(0, 0, False)], {}
+    # Open elements: tag, path, never text, in a link.
+    stack = [("", 0, False, False)]
     held = {}  # open elements by tag
     blocks, buffer, links = [], [], 0
 
@@ -100,11 +105,11 @@ def blocks_of(page: str) -> tuple[list[tuple[str, int, int, int]], list[tuple[in
         if buffer:
             text = " ".join("".join(buffer).split())
             if text:
-                blocks.append((text, stack[-1][1], links, stack[-1][3]))
+                blocks.append((text, stack[-1][1], links))
             buffer, links = [], 0
 
     def pop_to(n):
-        if any(x[0] not in _INLINE for x in stack[n:]):
+        if stack[-1][1] != stack[n - 1][1] or any(x[0] not in _INLINE for x in stack[n:]):
             flush()
         for x in stack[n:]:
             held[x[0]] -= 1
@@ -116,7 +121,7 @@ def blocks_of(page: str) -> tuple[list[tuple[str, int, int, int]], list[tuple[in
             if not stack[-1][2]:
                 text = html.unescape(text)
                 buffer.append(text)
-                if stack[-1][4]:
+                if stack[-1][3]:
                     links += len("".join(text.split()))
             continue
         tag = m.group(3)
@@ -135,9 +140,8 @@ def blocks_of(page: str) -> tuple[list[tuple[str, int, int, int]], list[tuple[in
         if tag in _VOID:
             if tag == "br":
                 buffer.append("\n")
-            elif tag != "wbr" and tag not in _INLINE:
-                if tag == "hr":
-                    flush()
+            elif tag == "hr":
+                flush()
             continue
         if tag not in _INLINE:
             flush()
@@ -146,91 +150,87 @@ def blocks_of(page: str) -> tuple[list[tuple[str, int, int, int]], list[tuple[in
             while stack[n][0] != "p":
                 n -= 1
             pop_to(n)
-        if tag in _CLOSED_BY_SAME:
+        if tag in _CLOSED_BY_SAME and any(held.get(x) for x in _CLOSED_BY_SAME[tag]):
             n = len(stack) - 1
             while n and stack[n][0] not in _SCOPES[tag] and stack[n][0] not in _CLOSED_BY_SAME[tag]:
                 n -= 1
             if n and stack[n][0] in _CLOSED_BY_SAME[tag]:
                 pop_to(n)
-        _, path, no, standing, link = stack[-1]
-        inside = paths[path][2]
-        label, own = _attributes(m.group(4), inside) if m.group(4) else ("", 0)
-        no = no or tag in _NO_CONTENT or tag == "header" and not inside or own < 0 and tag not in ("html", "body", "article", "main") and not (tag in _HEADINGS)
-        if own < 0 and tag in ("article", "main"):
-            no = no or re.search(r"comment|repl(y|ies)|promo|related|sponsor|\bad", label, re.I) is not None
-        if tag not in _INLINE:
-            key = (path, f"{tag}.{label}" if label else tag)
+        _, path, never, link = stack[-1]
+        standing, box, _ = paths[path]
+        label, own, hidden = _attributes(m.group(4), standing == 2) if m.group(4) else ("", 0, False)
+        never = never or tag in _NEVER or hidden and tag not in ("html", "body")
+        if own < 0:
+            if tag in ("article", "main"):
+                own = -1 if re.search(r"comment|repl(y|ies)|promo|related|sponsor|\bad", label, re.I) else 0
+            elif tag in ("html", "body") or tag in _HEADINGS:
+                own = 0
+        if tag in _OTHER or tag == "header" and standing < 2:
+            own = -1
+        if tag not in _INLINE or own < 0:
+            key = (path, tag, label)
             if key not in number:
                 number[key] = len(paths)
-                paths.append((path, tag, inside or tag in _CONTENT))
+                standing = -1 if standing < 0 or own < 0 else 2 if tag in _CONTENT else max(standing, own)
+                paths.append((standing, len(paths) if tag in _BOXES and (tag == "div" or paths[path][0] < 2 or standing < 0) else box, tag in _HEADINGS))
+            if tag in _INLINE:
+                flush()
             path = number[key]
-            standing = 2 if tag in _CONTENT else max(standing, own)
-        stack.append((tag, path, no, standing, link or tag == "a"))
+        stack.append((tag, path, never, link or tag == "a"))
         held[tag] = held.get(tag, 0) + 1
     flush()
     return blocks, paths
 
 
-def _chosen(blocks, paths) -> list[str]:
-    """The texts of the blocks that are content, in page order."""
-    if not blocks:
-        return []
-    path = np.array([b[1] for b in blocks])
+def ratios(blocks, paths) -> np.ndarray:
+    """The fused ratio of each path; 0 for a path without a block of its own."""
+    k = len(paths)
+    path = np.array([b[1] for b in blocks], np.int64)
     size = np.array([len(b[0]) for b in blocks], float)
     marks = np.array([len(_MARK.findall(b[0])) for b in blocks], float)
     link = np.minimum(np.array([b[2] for b in blocks], float), size)
-    favour = np.array([(1.0, FAVOUR / 2, FAVOUR)[b[3]] for b in blocks])
-    n = np.bincount(path, minlength=len(paths)).astype(float)
-    some = np.maximum(n, 1)
-    linked = np.bincount(path, link, len(paths)) / np.maximum(np.bincount(path, size, len(paths)), 1)
-    ratio = np.bincount(path, size, len(paths)) / some * (1 + np.bincount(path, marks, len(paths)) / some) * (1 - linked)
-    row = np.pad(ratio[path] * favour, 1, mode="edge")
-    smooth = SMOOTH[0] * row[:-2] + SMOOTH[1] * row[1:-1] + SMOOTH[2] * row[2:]
-    fused = np.bincount(path, smooth, len(paths)) / some
-    used = np.flatnonzero(n)
-    content = set(used[fused[used] >= min(THRESHOLD * fused[used].std(), fused[used].max())].tolist())
-
-    def line(p):
-        out = []
-        while p >= 0:
-            out.append(p)
-            p = paths[p][0]
-        return out[::-1]
-
-    # The enclosing element: the innermost article or main around the strongest path, or what the content paths share.
-    lines = {p: line(p) for p in used.tolist()}
-    best = max(content, key=lambda p: (fused[p] * n[p], -p))
-    around = [p for p in lines[best] if paths[p][1] in _CONTENT]
-    if around:
-        outer = around[-1]
-    else:
-        shared = lines[best]
-        for p in content:
-            k = next((i for i, (x, y) in enumerate(zip(shared, lines[p])) if x != y), min(len(shared), len(lines[p])))
-            shared = shared[:k]
-        outer = shared[-1]
-        if paths[outer][1] in ("p", "") and len(shared) > 1:
-            outer = shared[-2]
-    whole = bool(around) or paths[outer][1] not in ("", "html", "body")
-    menu = {p for p in used.tolist() if linked[p] >= LINKS and paths[p][1] not in ("p", *_HEADINGS) and fused[p] < fused[best]}
-
-    def wanted(p):
-        if whole:
-            return outer in lines[p] and p not in menu or bool(around) and paths[p][1] == "h1" and paths[p][2]
-        return p in content or paths[p][1] in _HEADINGS or paths[p][1] in ("p", "li", "blockquote", "pre", "td") and paths[p][0] in {paths[c][0] for c in content} and p not in menu
-
-    keep = {p for p in used.tolist() if wanted(p)}
-    return [b[0] for b in blocks if b[1] in keep]
-
-
-def main_text(page: str) -> str:
+    standing = np.array([x[0] for x in paths])
+    box = np.array([x[1] for x in paths])
+    heading = np.array([x[2] for x in paths])
+
+    def ratio(of, n, size=size):
+        """The ratio of the blocks' groups ``of``: roots of characters and of marks a block."""
+        count = np.maximum(np.bincount(of, minlength=n), 1)
+        return np.sqrt(np.bincount(of, size, n) / count) * (1 + np.sqrt(np.bincount(of, marks, n) / count))
+
+    own, whole = ratio(path, k), ratio(box[path], k, size - link)
+    linked = np.bincount(path, link, k) / np.maximum(np.bincount(path, size, k), 1)
+    plain = np.where(heading, 1.0, np.maximum(1 - linked, LINKED))  # a heading may well be a link
+    # Smoothing over neighbours in page order, as far as they lie in the same box; at its ends a block stands for the missing one.
+    row, lies = own[path], box[path]
+    same = lies[1:] == lies[:-1]
+    before, after = row.copy(), row.copy()
+    before[1:][same], after[:-1][same] = row[:-1][same], row[1:][same]
+    smooth = SMOOTH[0] * before + SMOOTH[1] * row + SMOOTH[2] * after
+    n = np.bincount(path, minlength=k)
+    fused = (1 - BOX) * np.bincount(path, smooth, k) / np.maximum(n, 1) + BOX * whole[box]
+    outside = OUTSIDE if (standing[path] == 2).any() else 1.0
+    return fused * plain * np.array([outside, outside * NAMED, ARTICLE, OTHER])[standing] * (n > 0)
+
+
+def chosen(blocks, paths, threshold: float = THRESHOLD) -> list[str]:
+    """The texts of the blocks whose paths are content, in page order."""
+    if all(paths[b[1]][0] < 0 for b in blocks):
+        return []
+    fused = ratios(blocks, paths)
+    return [b[0] for b in blocks if fused[b[1]] >= threshold * fused.max()]
+
+
+def main_text(page: str, threshold: float = THRESHOLD) -> str:
     """The page's main text: blocks with single spaces inside, joined by a space; empty if there is none."""
-    return " ".join(_chosen(*blocks_of(page)))
+    return " ".join(chosen(*blocks_of(page), threshold))
 
 
-def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of pages: page_id, url, text, n_chars (code points of text).
 
+    ``threshold`` is the share of the page's highest fused ratio that makes a path content; 0 takes all blocks.
+
     The whole html is read, whatever its length; null and empty pages have an empty text, and so have
     pages without content; text without any tag is content. Rows that repeat are read each; an empty
     table gives an empty one; other columns are ignored. No shuffle.
@@ -238,7 +238,7 @@ def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
     def run(batches):
         for part in steps(batches, "html"):
-            text = [main_text(page) if page else "" for page in part.column("html").to_pylist()]
+            text = [main_text(page, threshold) if page else "" for page in part.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(text, pa.string()), pa.array([len(x) for x in text], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     plain = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
