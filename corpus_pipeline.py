@@ -17,16 +17,20 @@ def quality(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each class of near copies; documents without doc_id have no class and stay."""
-    later = dartminhash.near_duplicates(docs).where("doc_id is not null and not is_first").select("doc_id").distinct()
-    return docs.join(later, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each class of near copies: that of the least doc_id; documents without text stay."""
+    return dartminhash.distinct_documents(docs)
 
 
 def substring_dedup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without repeated spans of sentences; those that consist of such spans go."""
-    out = spans.deduplicated(docs, count_col="__removed").where("__removed = 0 or text <> ''")
-    n_chars = F.when(F.col("__removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return out.withColumn("n_chars", n_chars).select(*docs.columns)
+    removed = "removed_sentences"
+    while removed in docs.columns:
+        removed += "_"
+    out = spans.deduplicated(docs, count_col=removed).where(f"{removed} = 0 or text <> ''")
+    if "n_chars" in docs.columns:
+        n_chars = F.when(F.col(removed) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+        out = out.withColumn("n_chars", n_chars)
+    return out.select(*docs.columns)
 
 
 def mix_sources(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
