@@ -1,22 +1,27 @@
 """Blocks of vectors, and a stated query set against all rows, block by block.
 
-Vectors are packed into blocks of bounded size where they lie (no shuffle). Each block of queries
-meets each block of candidates under a key of both, so the work is split over many tasks and neither
-side is ever whole in one place; a task keeps only the best ``k`` of each query that it holds.
+Vectors are packed into blocks of bounded size where they lie (no shuffle): queries with their vectors,
+candidates with a short code only. Queries and candidates are dealt to a grid of groups, and each group of
+queries meets each group of candidates under a key of both, so the work is split over many tasks and neither side is
+ever whole in one place. What a scan finds likely is joined with the original vectors by id and scored
+again exactly.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a block of candidates, and about that many of a block of queries.
-BLOCK = 4096
-QUERY_BLOCK = 4096
-#: Groups that the blocks of candidates are dealt to, for each block of queries.
-DEALS = 8
+#: Rows of a block of candidates and of a block of queries.
+BLOCK, QUERY_BLOCK = 4096, 1024
+#: Multiplications that a cell of the grid is meant to hold, as far as there are no more cells than four times the shuffle's partitions.
+WORK = 1 << 29
+#: Found rows that a task holds before it passes them on.
+HELD = 1 << 20
 
 
 def usable(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -32,6 +37,41 @@ def vectors_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(zero_copy_only=False), column.value_lengths().to_numpy(zero_copy_only=False)
 
 
+def _of_one_length(batch) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(places in the batch, ids, matrix) for each length of vectors in a batch of vec_id and x."""
+    flat, size = vectors_of(batch.column("x"))
+    ids, begin = batch.column("vec_id").to_numpy(zero_copy_only=False), np.cumsum(size) - size
+    out = []
+    for dim in np.unique(size):
+        of = np.flatnonzero(size == dim)
+        out.append((of, ids[of], flat[begin[of][:, None] + np.arange(dim)]))
+    return out
+
+
+def first_copies(vectors: DataFrame, k: int) -> DataFrame:
+    """vectors without the rows that can be in no result of k rows: k rows of the same vector and id, or of k + 1 smaller ids, come before them.
+
+    So a vector that a great share of all rows holds is a bounded number of candidates. Tasks thin their
+    own rows out before the shuffle, which is by vector.
+    """
+
+    def thinned(batches):
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, bool)
+            for of, ids, matrix in _of_one_length(batch):
+                key = np.ascontiguousarray(np.column_stack([matrix, ids.view(np.float64)])).view(f"V{8 * (matrix.shape[1] + 1)}").ravel()
+                order = np.argsort(key, kind="stable")
+                new = np.append(True, key[order][1:] != key[order][:-1])
+                nth = np.arange(len(order)) - np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+                keep[of[order[nth < k]]] = True
+            yield batch.filter(pa.array(keep))
+
+    order = Window.partitionBy("x").orderBy("vec_id")
+    few = vectors.select("vec_id", "x").mapInArrow(thinned, "vec_id long, x array<double>")
+    few = few.withColumn("place", F.dense_rank().over(order)).where(F.col("place") <= k + 1)
+    return few.withColumn("nth", F.row_number().over(order) - F.rank().over(order)).where(F.col("nth") < k).select("vec_id", "x")
+
+
 def packed(vectors: DataFrame, encode, rows: int = BLOCK) -> DataFrame:
     """dim, n, ids and the fields of ``encode``: blocks of rows of one dimension, in order of vec_id within the block.
 
@@ -42,99 +82,121 @@ def packed(vectors: DataFrame, encode, rows: int = BLOCK) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            flat, size = vectors_of(batch.column("x"))
-            ids = batch.column("vec_id").to_numpy(zero_copy_only=False)
-            begin = np.cumsum(size) - size
-            for dim in np.unique(size):
-                of = np.flatnonzero(size == dim)
-                for part in np.array_split(of, -(-len(of) // rows)):
+            for _, ids, matrix in _of_one_length(batch):
+                for part in np.array_split(np.arange(len(ids)), -(-len(ids) // rows)):
                     part = part[np.argsort(ids[part], kind="stable")]
-                    matrix = flat[begin[part][:, None] + np.arange(dim)]
-                    data = {"dim": int(dim), "n": len(part), "ids": ids[part].astype(np.int64).tobytes()} | encode(matrix)
+                    data = {"dim": matrix.shape[1], "n": len(part), "ids": ids[part].astype(np.int64).tobytes()} | encode(matrix[part])
                     yield pa.RecordBatch.from_pylist([data], schema)
 
     return vectors.select("vec_id", "x").mapInArrow(run, "dim int, n int, ids binary, " + ", ".join(f"{f} binary" for f in fields))
 
 
-def grid(queries: DataFrame, candidates: DataFrame, query_blocks: int, deals: int = DEALS) -> DataFrame:
-    """Rows of (block of queries, block of candidates); the fields of queries are prefixed with q_.
+def _plain(matrix: np.ndarray) -> dict[str, bytes]:
+    return {"rows": matrix.astype(float).tobytes()}
 
-    queries: blocks with a column ``part`` in 0 .. query_blocks-1. The key is (dim, part, deal): a block
-    of queries goes to each deal, a block of candidates to one deal for each part.
-    """
-    left = queries.select(*[F.col(c).alias(f"q_{c}") for c in queries.columns]).withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(deals - 1))))
-    deal = F.pmod(F.xxhash64("ids"), F.lit(deals)).cast("int")
-    right = candidates.withColumn("deal2", deal).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-    return right.join(left, (F.col("part") == F.col("q_part")) & (F.col("deal2") == F.col("deal")) & (F.col("dim") == F.col("q_dim")))
-
-
-def best(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(score, ids) of the k highest of each row, ties to the smaller id; -inf scores are no candidates but may fill up."""
-    if score.shape[1] > 4 * k:
-        cut = -np.partition(-score, k - 1, axis=1)[:, k - 1 : k]
-        widest = int((score >= cut).sum(axis=1).max())
-        if widest <= 4 * k:
-            keep = np.argpartition(-score, widest - 1, axis=1)[:, :widest]
-            score, ids = np.take_along_axis(score, keep, 1), ids[keep] if ids.ndim == 1 else np.take_along_axis(ids, keep, 1)
-        else:  # many ties at the cut: one row at a time
-            s, i = np.full((len(score), k), -np.inf if score.dtype.kind == "f" else np.iinfo(score.dtype).min, score.dtype), np.full((len(score), k), -1, np.int64)
-            for r in range(len(score)):
-                at = np.flatnonzero(score[r] >= cut[r])
-                own = ids[at] if ids.ndim == 1 else ids[r, at]
-                order = np.lexsort((own, -score[r, at]))[:k]
-                s[r, : len(order)], i[r, : len(order)] = score[r, at][order], own[order]
-            return s, i
-    if ids.ndim == 1:
-        ids = np.broadcast_to(ids, score.shape)
-    order = np.lexsort((ids, -score), axis=1)[:, :k]
-    return np.take_along_axis(score, order, 1), np.take_along_axis(ids, order, 1)
 
+_plain.fields = ("rows",)
 
-def leading(own: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best (highest score, then smallest id) of each query ``own``."""
-    order = np.lexsort((ids, -score, own))
-    own, ids, score = own[order], ids[order], score[order]
-    first = np.r_[True, own[1:] != own[:-1]] if len(own) else np.zeros(0, bool)
-    begin = np.maximum.accumulate(np.where(first, np.arange(len(own)), 0))
-    keep = np.arange(len(own)) - begin < k
-    return own[keep], ids[keep], score[keep]
+
+def query_blocks(asked: DataFrame) -> DataFrame:
+    """Blocks of queries (vec_id, x) with their vectors."""
+    return packed(asked, _plain, QUERY_BLOCK)
+
+
+def shape_of(queries: DataFrame, candidates: DataFrame, bytes_a_candidate: int) -> tuple[int, int]:
+    """(groups of queries, groups of candidates) for blocks that are written: about WORK multiplications a cell, as little copying as that allows."""
+    asked = queries.agg(F.sum(F.col("n")), F.max("dim"), F.count("*")).first()
+    held = candidates.agg(F.sum(F.col("n")), F.count("*")).first()
+    if not asked[0] or not held[0]:
+        return 1, 1
+    partitions = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cells = min(max(1, asked[0] * held[0] * asked[1] // WORK), 4 * partitions)
+    # A block of queries is copied to each group of candidates and the other way round.
+    across = math.sqrt(cells * held[0] * bytes_a_candidate / (asked[0] * asked[1] * 8))
+    across = min(max(1, round(across)), held[1], cells)
+    return min(-(-cells // across), asked[2]), across
 
 
-def searched(blocks: DataFrame, search, k: int, score_type: str) -> DataFrame:
-    """query_id, rank, vec_id, score from the rows of grid(): search(row) gives (queries, ids, scores) of one pair of blocks.
+def grid(queries: DataFrame, candidates: DataFrame, shape: tuple[int, int]) -> DataFrame:
+    """Rows of (block of queries, block of candidates), each pair of one dimension once; the fields of queries are prefixed with q_."""
+    down, across = shape
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = queries.select(*[F.col(c).alias(f"q_{c}") for c in queries.columns], deal("ids", down).alias("down")).withColumn("across", every(across))
+    right = candidates.withColumn("across_", deal("ids", across)).withColumn("down_", every(down))
+    on = (F.col("down") == F.col("down_")) & (F.col("across") == F.col("across_")) & (F.col("q_dim") == F.col("dim"))
+    return left.hint("merge").join(right, on).drop("down", "across", "down_", "across_", "q_dim")
 
-    A task merges what its pairs of blocks give for the same queries before it passes rows on.
+
+def scanned(pairs: DataFrame, search, merge, kinds: str) -> DataFrame:
+    """query_id, vec_id and more columns ``kinds`` of what the rows of grid() find.
+
+    search(row) gives arrays (query ids, ids, ...) of one pair of blocks, and merge(arrays) drops of them what is
+    no longer needed; a task merges what its pairs give before it passes rows on.
     """
-    def out(held):
-        own, ids, score = leading(*(np.concatenate([h[i] for h in held]) for i in range(3)), k)
-        return pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(ids, pa.int64()), pa.array(score)], ["query_id", "vec_id", "score"])
+    names = ["query_id", "vec_id", *[x.split()[0] for x in kinds.split(", ")]]
 
     def run(batches):
-        held, part = [], None
+        held, size = [], 0
         for batch in batches:
             for r in range(batch.num_rows):
-                row = {name: batch.column(name)[r] for name in batch.schema.names}
-                key = (row["dim"].as_py(), row["part"].as_py())
-                if held and key != part:
-                    yield out(held)
-                    held = []
-                part = key
-                held.append(search(row))
-                if len(held) > 4:
-                    held = [leading(*(np.concatenate([h[i] for h in held]) for i in range(3)), k)]
+                held.append(search({name: batch.column(name)[r] for name in batch.schema.names}))
+                size += len(held[-1][0])
+                if size > HELD:
+                    held = [merge(*(np.concatenate(x) for x in zip(*held)))]
+                    size = len(held[0][0])
+                    if size > HELD // 2:
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in held[0]], names)
+                        held, size = [], 0
         if held:
-            yield out(held)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in merge(*(np.concatenate(x) for x in zip(*held)))], names)
+
+    return pairs.mapInArrow(run, f"query_id long, vec_id long, {kinds}")
 
-    found = blocks.sortWithinPartitions("dim", "part").mapInArrow(run, f"query_id long, vec_id long, score {score_type}")
+
+def rescored(likely: DataFrame, asked: DataFrame, vectors: DataFrame, score, kind: str) -> DataFrame:
+    """query_id, vec_id, score of the pairs ``likely`` (query_id, vec_id), on the vectors that belong to them.
+
+    score(a, b) gives a number for each row of two matrices. An id of several rows stands for each of them.
+    """
+
+    def run(batches):
+        for batch in batches:
+            flat, size = vectors_of(batch.column("q"))
+            other, _ = vectors_of(batch.column("x"))
+            begin, out = np.cumsum(size) - size, None
+            for dim in np.unique(size):
+                of = np.flatnonzero(size == dim)
+                at = begin[of][:, None] + np.arange(dim)
+                part = score(flat[at], other[at])
+                out = np.empty(len(size), part.dtype) if out is None else out
+                out[of] = part
+            if out is not None:
+                yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("vec_id"), pa.array(out)], ["query_id", "vec_id", "score"])
+
+    both = likely.select("query_id", "vec_id").join(vectors.select("vec_id", "x"), "vec_id").join(asked.select(F.col("vec_id").alias("query_id"), F.col("x").alias("q")), "query_id")
+    both = both.where(F.size("q") == F.size("x")).select("query_id", "vec_id", "q", "x")
+    return both.mapInArrow(run, f"query_id long, vec_id long, score {kind}")
+
+
+def ranked(found: DataFrame, k: int) -> DataFrame:
+    """query_id, rank, vec_id, score: the k highest scores of each query, ties to the smaller vec_id."""
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def query_blocks(asked: DataFrame) -> tuple[DataFrame, int]:
-    """(dim, part, rows) with about QUERY_BLOCK queries (vec_id, x) a part, and the number of parts."""
-    parts = max(1, -(-asked.count() // QUERY_BLOCK))
-    part = F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")
-    return asked.groupBy(F.size("x").alias("dim"), part.alias("part")).agg(F.collect_list(F.struct("vec_id", "x")).alias("rows")), parts
+def leading(own: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best (highest score, then smallest id) of each query ``own``."""
+    order = np.lexsort((ids, -score, own))
+    own, ids, score = own[order], ids[order], score[order]
+    keep = nth_of(own) < k
+    return own[keep], ids[keep], score[keep]
+
+
+def nth_of(own: np.ndarray) -> np.ndarray:
+    """The place of each row within its run of equal numbers."""
+    first = np.append(True, own[1:] != own[:-1])[: len(own)]
+    return np.arange(len(own)) - np.maximum.accumulate(np.where(first, np.arange(len(own)), 0))
 
 
 def bytes_of(row: dict, name: str, kind) -> np.ndarray:
@@ -143,5 +205,5 @@ def bytes_of(row: dict, name: str, kind) -> np.ndarray:
 
 def queries_of(row: dict) -> tuple[np.ndarray, np.ndarray]:
     """(ids, matrix) of a row's block of queries."""
-    rows, dim = row["q_rows"].values, row["dim"].as_py()
-    return rows.field("vec_id").to_numpy(zero_copy_only=False), rows.field("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+    ids = bytes_of(row, "q_ids", np.int64)
+    return ids, bytes_of(row, "q_rows", float).reshape(len(ids), -1)

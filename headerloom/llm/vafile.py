@@ -1,65 +1,71 @@
 """Exact top-k search with vector-approximation files (Weber, Schek and Blott, 1998).
 
-Each block stores, beside the exact vectors, an approximation of 4 bits a dimension: the number of the
-cell, between the block's least and greatest value in that dimension, that the component lies in. For
-a query the cells give an upper bound of every inner product. Exact vectors are read in the order of
-that bound until no unread one can still reach the k-th best result found; a tie can, so equal bounds
-are read too. All numbers are integers, so bounds and scores are exact.
+The file holds one byte a dimension: the number of the cell, between the block's least and greatest
+value in that dimension, that the component lies in. For a query the cells give a lower and an upper
+bound of every inner product; cells of a dimension are of one width, so both come from one product of
+matrices. A first pass scans the cells and keeps what can still be among the k best by the k-th best
+lower bound. A second reads exact vectors in the order of the upper bound: a few of each query first, then those that
+can still reach the k-th best result of these, ties included.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from headerloom.llm.blocks import bytes_of, grid, packed, queries_of, query_blocks, searched, usable
+from headerloom.llm.blocks import bytes_of, first_copies, grid, nth_of, packed, queries_of, query_blocks, ranked, rescored, scanned, shape_of, usable
 from headerloom.llm.shared import written
 
-CELLS = 16
-
-
-def _encode(matrix: np.ndarray) -> dict[str, bytes]:
-    """The exact integers, the edges of the cells of each dimension, and two cell numbers a byte."""
-    exact = matrix.astype(np.int64)
-    low, high = exact.min(axis=0), exact.max(axis=0)
-    # edges[j] <= x <= edges[j + 1] for the x of cell j
-    edges = low + ((high - low) // CELLS + 1) * np.arange(CELLS + 1)[:, None]
-    cell = np.minimum((exact - low) // ((high - low) // CELLS + 1), CELLS - 1).astype(np.uint8)
-    if cell.shape[1] % 2:
-        cell = np.pad(cell, ((0, 0), (0, 1)))
-    return {"exact": exact.tobytes(), "edges": edges.astype(np.int64).tobytes(), "cells": (cell[:, ::2] | (cell[:, 1::2] << 4)).tobytes()}
-
-
-_encode.fields = ("exact", "edges", "cells")
-
-
-def _search(query, own, ids, exact, edges, cells, k):
-    """(query ids, vec ids, scores) of each query's k best of the block."""
-    dim = query.shape[1]
-    both = np.empty((len(ids), cells.shape[1] * 2), np.uint8)
-    both[:, ::2], both[:, 1::2] = cells & 15, cells >> 4
-    both = both[:, :dim]
-    which = np.arange(dim)
-    low, high = edges[both, which].astype(float), edges[both + 1, which].astype(float)
-    q = query.astype(float)
-    bound = np.maximum(q, 0) @ high.T + np.minimum(q, 0) @ low.T
-    found = []
-    for r in range(len(query)):
-        order = np.argsort(-bound[r], kind="stable")
-        scores, read, size = np.zeros(0, np.int64), 0, 4 * k
-        while read < len(order):
-            batch = order[read : read + size]
-            scores = np.concatenate([scores, exact[batch] @ query[r]])
-            read, size = read + len(batch), 2 * size
-            others = scores[ids[order[:read]] != own[r]]
-            if len(others) >= k and read < len(order) and bound[r, order[read]] < np.partition(others, len(others) - k)[len(others) - k]:
-                break
-        at = order[:read]
-        keep = np.flatnonzero(ids[at] != own[r])
-        best = keep[np.lexsort((ids[at[keep]], -scores[keep]))[:k]]
-        found.append((np.full(len(best), own[r]), ids[at[best]], scores[best]))
-    return found
+CELLS = 256
+#: What bounds are widened by, as a share of the greatest product: rounding of doubles stays far below it.
+SLACK = 1e-9
+#: Queries whose bounds are worked out at once.
+AT_ONCE = 128
+
+
+def encode(matrix: np.ndarray) -> dict[str, bytes]:
+    """The least value and the width of the cells of each dimension, and the rows' cell numbers. The x of cell c lie in low + c * width + [0, width - 1]."""
+    low, high = matrix.min(axis=0), matrix.max(axis=0)
+    width = np.floor((high - low) / CELLS) + 1
+    cell = np.clip(np.floor((matrix - low) / width), 0, CELLS - 1).astype(np.uint8)
+    return {"low": low.tobytes(), "width": width.tobytes(), "cells": cell.tobytes()}
+
+
+encode.fields = ("low", "width", "cells")
+
+
+def bounds(query: np.ndarray, low: np.ndarray, width: np.ndarray, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(upper bounds of the inner products of each query and row, how far the lower ones are below them for each query)."""
+    slack = SLACK * (np.abs(query) @ np.maximum(np.abs(low), np.abs(low + width * CELLS))) + 1e-6
+    upper = (query * width) @ cells.T.astype(float)
+    upper += (query @ low + np.maximum(query, 0) @ (width - 1) + slack)[:, None]
+    return upper, np.abs(query) @ (width - 1) + 2 * slack
+
+
+def scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of rows of whole numbers, exact; what a long cannot hold is its nearest end."""
+    most = np.abs(a).max(axis=1) * np.abs(b).max(axis=1) * a.shape[1]
+    if (most < 2.0**53).all():
+        return (a * b).sum(axis=1).astype(np.int64)
+    ends = np.iinfo(np.int64)
+    return np.array([min(max(sum(int(x) * int(y) for x, y in zip(p, q)), ends.min), ends.max) for p, q in zip(a, b)], np.int64)
+
+
+def _merge(k: int):
+    def merge(own, ids, upper, lower):
+        """Without the rows whose upper bound is below the k-th best lower bound of their query."""
+        order = np.lexsort((-lower, own))
+        own, ids, upper, lower = own[order], ids[order], upper[order], lower[order]
+        nth = nth_of(own)
+        at = np.arange(len(own)) - nth + k - 1
+        some = at < len(own)
+        some[some] = own[at[some]] == own[some]
+        least = np.where(some, lower[np.where(some, at, 0)] if len(lower) else lower, -np.inf)
+        keep = upper >= least
+        return own[keep], ids[keep], upper[keep], lower[keep]
+
+    return merge
 
 
 def top_k(table: DataFrame, is_query, k: int = 10, scale: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -68,17 +74,41 @@ def top_k(table: DataFrame, is_query, k: int = 10, scale: int = 1024, id_col: st
     Components are floor(scale * x). ``is_query`` is a condition on vec_id; a query is compared with
     all rows but those of its own id. Rows whose vector is null, empty or holds null or non-finite
     components take no part; vectors of different lengths are not compared; rows that repeat an id
-    count each; fewer than k candidates give fewer rows. Scores must stay within 2**53.
+    count each; fewer than k candidates give fewer rows. Components and scores beyond the range of a long count as its
+    nearest end.
     """
     vectors = usable(table, id_col, vector_col).select("vec_id", F.transform("x", lambda v: F.floor(v * float(scale)).cast("double")).alias("x"))
-    blocks = written(packed(vectors, _encode))
-    queries, parts = query_blocks(vectors.where(is_query))
+    held = written(first_copies(vectors, k))
+    asked = written(vectors.where(is_query))
+    blocks, queries = written(packed(held, encode)), written(query_blocks(asked))
+    merge = _merge(k)
 
     def search(row):
         own, query = queries_of(row)
-        n, dim = row["n"].as_py(), row["dim"].as_py()
-        found = _search(query.astype(np.int64), own, bytes_of(row, "ids", np.int64), bytes_of(row, "exact", np.int64).reshape(n, dim), bytes_of(row, "edges", np.int64).reshape(-1, dim), bytes_of(row, "cells", np.uint8).reshape(n, -1), k)
-        return tuple(np.concatenate([f[i] for f in found]) for i in range(3))
-
-    pairs = grid(queries, blocks, parts).select("dim", "part", "n", "ids", "exact", "edges", "cells", "q_rows")
-    return searched(pairs, search, k, "long")
+        ids = bytes_of(row, "ids", np.int64)
+        cells = bytes_of(row, "cells", np.uint8).reshape(len(ids), -1)
+        low, width = bytes_of(row, "low", float), bytes_of(row, "width", float)
+        found = []
+        for begin in range(0, len(own), AT_ONCE):
+            o = own[begin : begin + AT_ONCE]
+            upper, gap = bounds(query[begin : begin + AT_ONCE], low, width, cells)
+            mine = o[:, None] == ids
+            upper[mine] = -np.inf
+            least = np.full(len(o), -np.inf)
+            if len(ids) > k:
+                least = np.partition(upper, len(ids) - k, axis=1)[:, len(ids) - k] - gap
+            q, at = np.nonzero((upper >= least[:, None]) & ~mine)
+            found.append((o[q], ids[at], upper[q, at], upper[q, at] - gap[q]))
+        return merge(*(np.concatenate(x) for x in zip(*found)))
+
+    pairs = grid(queries, blocks, shape_of(queries, blocks, 64))
+    found = scanned(pairs, search, merge, "upper double, lower double")
+    order = Window.partitionBy("query_id")
+    every = order.orderBy(F.desc("lower")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    found = found.withColumn("least", F.nth_value("lower", k).over(every)).where("least is null or upper >= least")
+    found = found.groupBy("query_id", "vec_id").agg(F.max("upper").alias("upper"))
+    found = written(found.withColumn("turn", F.row_number().over(order.orderBy(F.desc("upper"), "vec_id"))))
+    first = written(rescored(found.where(F.col("turn") <= 2 * k), asked, held, scores, "long"))
+    sure = ranked(first, k).where(F.col("rank") == k).select("query_id", F.col("score").alias("kth"))
+    rest = found.where(F.col("turn") > 2 * k).join(sure, "query_id", "left").where("kth is null or upper >= kth")
+    return ranked(first.unionByName(rescored(rest, asked, held, scores, "long")), k)
