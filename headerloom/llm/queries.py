@@ -78,7 +78,7 @@ def op9_va_topk(spark, sf_dir):
 def op10_sentence_spans(spark, sf_dir):
     """Every document without the sentences that repeat an earlier span, and how many those were."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return spans.deduplicated(docs, count_col="removed_sentences")
+    return spans.deduplicated(docs, words=spans.SHORT, count_col="removed_sentences")
 
 
 QUERIES = {f.__name__: f for f in (op1_dart_minhash, op2_source_mix, op3_additive_ann, op4_tag_paths, op5_url_filter, op6_hyper_lang, op7_qda_quality, op8_byte_bpe, op9_va_topk, op10_sentence_spans)}
@@ -87,7 +87,7 @@ ORACLE_SQL = {
     "op2_source_mix": r"""
         WITH sized AS (
           SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-                 md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':mix') AS key
+                 md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(md5(text), '')) AS key
           FROM documents),
         totals AS (
           SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),

@@ -22,6 +22,10 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 from headerloom.llm.shared import mixed, slice_hashes, steps, texts_of, words_of, written
 
 SENTENCES, WORDS, ALONE = 2, 25, 40
+#: Words of a run in the query and the pipeline. A passage of over 50 words that stands amid other sentences shares neither its
+#: first nor its last sentence with its copies: on sf0.1 runs of 20 words find 0.984 of those documents and leave 0.984 of clean ones
+#: alone, runs of 25 words 0.962 and 0.990. Single sentences of ALONE words find one document more and touch no clean one.
+SHORT = 20
 #: Spans that a task compares with each other before they are shuffled.
 TOGETHER = 1 << 19
 _STOP = np.zeros(256, bool)
@@ -182,25 +186,24 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ``count_col`` adds a column with the number of removed sentences. An empty table gives an empty one.
     """
     later = repeated(written(spans(docs, id_col, text_col, sentences, words, alone)))
-    gone = later.groupBy("d", "t").agg(F.collect_set(F.struct("at", "n")).alias("__gone")).select(F.col("d").alias("__d"), F.col("t").alias("__t"), "__gone")
-    own = docs.withColumn("__key", F.xxhash64(F.col(text_col).cast("string")))
-    rows = own.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("__d")) & (F.col("__key") == F.col("__t")), "left")
-    rows = rows.select(*docs.columns, "__gone")
-    place = docs.columns.index(text_col)
+    gone = later.groupBy("d", "t").agg(F.collect_set(F.struct("at", "n")).alias("gone"))
+    fields = [f"c{i}" for i in range(len(docs.columns))]  # names of their own, so that no column of docs clashes
+    id_, place = fields[docs.columns.index(id_col)], docs.columns.index(text_col)
+    own = docs.toDF(*fields).withColumn("key", F.xxhash64(F.col(fields[place]).cast("string")))
+    rows = own.join(gone, F.col(id_).cast("long").eqNullSafe(F.col("d")) & (F.col("key") == F.col("t")), "left").select(*fields, "gone")
+    names = fields + (["count"] if count_col else [])
 
     def run(batches):
-        for part in steps(batches, text_col):
-            gone = [{s for x in those or () for s in range(x["at"], x["at"] + x["n"])} for those in part.column("__gone").to_pylist()]
-            columns = [part.column(c) for c in docs_columns]
+        for part in steps(batches, fields[place]):
+            gone = [{s for x in those or () for s in range(x["at"], x["at"] + x["n"])} for those in part.column("gone").to_pylist()]
+            columns = [part.column(c) for c in fields]
             if any(gone):
-                new = _without(*texts_of(part.column(text_col)), gone)
                 old = columns[place]
+                new = _without(*texts_of(old), gone)
                 hit = pa.array([x is not None for x in new])
                 columns[place] = pc.if_else(hit, pa.array(new, old.type), old)
             more = [pa.array([len(x) for x in gone], pa.int32())] if count_col else []
             yield pa.RecordBatch.from_arrays(columns + more, names)
 
-    docs_columns = docs.columns
-    names = docs_columns + ([count_col] if count_col else [])
-    fields = [StructField(f.name, f.dataType) for f in docs.schema] + ([StructField(count_col, IntegerType())] if count_col else [])
-    return rows.mapInArrow(run, StructType(fields))
+    kinds = [StructField(c, f.dataType) for c, f in zip(fields, docs.schema)] + ([StructField("count", IntegerType())] if count_col else [])
+    return rows.mapInArrow(run, StructType(kinds)).toDF(*docs.columns, *([count_col] if count_col else []))
