@@ -26,7 +26,7 @@ def substring_dedup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     removed = "removed_sentences"
     while removed in docs.columns:
         removed += "_"
-    out = spans.deduplicated(docs, count_col=removed).where(f"{removed} = 0 or text <> ''")
+    out = spans.deduplicated(docs, words=spans.SHORT, count_col=removed).where(f"{removed} = 0 or text <> ''")
     if "n_chars" in docs.columns:
         n_chars = F.when(F.col(removed) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
         out = out.withColumn("n_chars", n_chars)
