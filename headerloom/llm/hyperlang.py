@@ -66,7 +66,9 @@ def grams_of(raw: np.ndarray, at: np.ndarray, n: int = GRAM) -> tuple[np.ndarray
     solid = code != SPACE
     keep = solid | (np.append(False, solid[:-1]) & ~edge)
     code, row = code[keep], row[keep]
-    heads = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else np.zeros(0, np.int64)
+    if not len(code):
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    heads = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
     some = np.searchsorted(heads, np.arange(len(code)), "right")
     full = np.full(len(code) + 2 * len(heads), SPACE, np.uint64)
     owner = np.empty(len(full), np.int64)
