@@ -4,14 +4,16 @@ A host is written with its labels reversed (``com/example/www/``), so a rule for
 subdomains is the interval of keys that start with the rule's key, and the intervals of rules are
 nested or apart. Keys are cut into ranges at points taken from a bounded sample (the points only
 balance the work); a rule goes to every range that its interval meets. Each range is sorted, and one
-sweep over it keeps the stack of rules whose intervals are open. URLs of one busy host are spread over
+sweep over it keeps the stack of hosts whose intervals are open, each with its rules by path: a URL looks its path's
+prefixes up, one for each length that the host's rules have, however many they are. URLs of one busy host are spread over
 several ranges by a hash of their id.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, insort
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,28 +42,51 @@ def host_key(host):
     return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), "/"), F.lit("/"))
 
 
+class _Host:
+    """The rules of one open host: key, host, verdict by path, and the lengths of these paths."""
+
+    def __init__(self, key: str, host: str):
+        self.key, self.host, self.verdicts, self.lengths = key, host, {}, []
+
+    def add(self, path: str, verdict: str) -> None:
+        n, at = len(path), bisect_left(self.lengths, len(path))
+        if at == len(self.lengths) or self.lengths[at] != n:
+            insort(self.lengths, n)
+        self.verdicts[path] = max(verdict, self.verdicts.get(path, verdict))
+
+    def longest(self, path: str) -> str | None:
+        """The longest of the paths that this one starts with."""
+        for n in reversed(self.lengths[: bisect_left(self.lengths, len(path) + 1)]):
+            if path[:n] in self.verdicts:
+                return path[:n]
+        return None
+
+
 def _swept(parts):
     """Rows sorted by range, key and kind (rules first): each URL gets the longest rule that is open and fits its path."""
-    stack: list[tuple[str, list[tuple[int, str, str, str]]]] = []
+    stack: list[_Host] = []
     at = None
     for part in parts:
         rules, verdicts = [], []
         for zone, key, is_url, host, path, verdict in zip(part["zone"], part["key"], part["is_url"], part["host"], part["path"], part["verdict"]):
             if zone != at:
                 at, stack = zone, []
-            while stack and not key.startswith(stack[-1][0]):
+            while stack and not key.startswith(stack[-1].key):
                 stack.pop()
             if not is_url:
-                if not stack or stack[-1][0] != key:
-                    stack.append((key, []))
-                stack[-1][1].append((len(host) + len(path), host + path, path, verdict))
+                if not stack or stack[-1].key != key:
+                    stack.append(_Host(key, host))
+                stack[-1].add(path, verdict)
                 rules.append(None)
                 verdicts.append(None)
                 continue
-            fit = [r for _, those in stack for r in those if path.startswith(r[2])]
-            best = max(fit, key=lambda r: (r[0], r[1], r[3])) if fit else (0, None, "", None)
+            best = (0, None, None)
+            for one in stack:
+                own = one.longest(path)
+                if own is not None:
+                    best = max(best, (len(one.host) + len(own), one.host + own, one.verdicts[own]), key=lambda x: (x[0], x[1] or ""))
             rules.append(best[1])
-            verdicts.append(best[3])
+            verdicts.append(best[2])
         part = part.assign(rule=rules, verdict=verdicts)
         yield part.loc[part["is_url"], ["page_id", "host", "path", "rule", "verdict"]]
 
@@ -85,7 +110,7 @@ def judged(pages: DataFrame, rules: DataFrame, default: str = "allow", id_col: s
 
     @F.pandas_udf("int")
     def zone_of(spread: pd.Series) -> pd.Series:
-        return spread.map(lambda x: bisect_right(cuts, x)).astype("int32")
+        return pd.Series(np.searchsorted(np.array(cuts, object), spread.to_numpy(object), "right").astype(np.int32) if cuts else np.zeros(len(spread), np.int32))
 
     urls = rows.select(zone_of("spread").alias("zone"), "key", F.lit(True).alias("is_url"), "page_id", "host", "path", F.lit(None).cast("string").alias("verdict"))
     named = rules.select("host", "path", "verdict").where("host <> ''").withColumn("key", host_key(F.col("host")))
