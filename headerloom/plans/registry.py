@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from headerloom.plans import assembly, families, reads, scores, selection, store
+from headerloom.plans import arrivals, assembly, families, listing, reads, scores, selection, store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-for module in (assembly, families, store, reads, selection, scores):
+for module in (assembly, families, store, reads, selection, scores, listing, arrivals):
     QUERIES |= module.QUERIES
     ORACLE_SQL |= module.ORACLE_SQL
