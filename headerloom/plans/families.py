@@ -33,8 +33,8 @@ def fileset_candidates(spark, sf_dir):
 
 def base_stem_split_join(spark, sf_dir):
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("binary_id"), F.lower("p_brand").alias("family_key"), F.upper("p_name").alias("base_stem"))
-    family = part.where("binary_id < 40").select(F.lit("release_family").alias("key_kind"), F.col("family_key").alias("key"))
-    stem = part.where("binary_id % 17 = 0").select(F.lit("base_stem").alias("key_kind"), F.lower("base_stem").alias("key"))
+    family = part.select(F.lit("release_family").alias("key_kind"), F.col("family_key").alias("key"))
+    stem = part.select(F.lit("base_stem").alias("key_kind"), F.lower("base_stem").alias("key"))
     return readiness.members_by_key_kind(family.unionByName(stem).distinct(), part).groupBy("key_kind", "key").agg(F.count("*").alias("files"), F.min("binary_id").alias("first_binary"), F.max("binary_id").alias("last_binary"))
 
 
@@ -136,8 +136,8 @@ ORACLE_SQL = {
     "base_stem_split_join": """
         WITH part2 AS (SELECT p_partkey AS binary_id, lower(p_brand) AS family_key, upper(p_name) AS base_stem FROM part),
         keys AS (
-          SELECT 'release_family' AS key_kind, family_key AS key FROM part2 WHERE binary_id < 40
-          UNION SELECT 'base_stem', lower(base_stem) FROM part2 WHERE binary_id % 17 = 0)
+          SELECT 'release_family' AS key_kind, family_key AS key FROM part2
+          UNION SELECT 'base_stem', lower(base_stem) FROM part2)
         SELECT key_kind, key, count(*) AS files, min(binary_id) AS first_binary, max(binary_id) AS last_binary
         FROM keys JOIN part2 ON key_kind = 'release_family' AND key = family_key OR key_kind = 'base_stem' AND key = lower(base_stem)
         GROUP BY key_kind, key""",

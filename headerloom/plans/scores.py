@@ -48,7 +48,7 @@ def scene_title_score(spark, sf_dir):
 def external_title_match(spark, sf_dir):
     k = F.col("id")
     year = titles.tags(F.col("title"))["year"]
-    score = titles.external_title_score(F.col("title"), [F.col("other"), F.lower("title")], year, F.when(k % 4 > 0, 2018 + k % 3), k % 2 == 0, F.when(k % 7 > 0, k % 5 == 0))
+    score = titles.external_title_score(F.col("title"), [F.col("other"), F.concat_ws(" ", F.reverse("other"), F.lit("the film"))], year, F.when(k % 4 > 0, 2018 + k % 3), k % 2 == 0, F.when(k % 7 > 0, k % 5 == 0))
     return _titled(spark, sf_dir).select("id", "other", score.alias("score"))
 
 
@@ -110,9 +110,9 @@ ORACLE_SQL = {
                  + CASE WHEN hours <= 72 THEN 0.08 WHEN hours <= 720 THEN 0.04 WHEN hours > 8760 THEN -0.08 ELSE 0 END::DOUBLE)), 4) AS score
         FROM t""",
     "external_title_match": f"""WITH {_PAIRS},
-        t AS (SELECT *, CAST({_TAG("a", _YEAR)} AS INTEGER) AS y, CASE WHEN id % 4 > 0 THEN 2018 + id % 3 END AS ey, CASE WHEN id % 7 > 0 THEN id % 5 = 0 END AS tv FROM keyed)
-        SELECT id, other, round(least(1, 0.35::DOUBLE + 0.55::DOUBLE + 0.12::DOUBLE + CASE WHEN y = ey THEN 0.10 WHEN abs(y - ey) = 1 THEN 0.04 WHEN y <> ey THEN -0.06 ELSE 0 END::DOUBLE
-                 + CASE WHEN id % 2 = 0 AND tv THEN 0.08 WHEN (id % 2 = 0) <> tv THEN -0.10 ELSE 0 END::DOUBLE), 4) AS score
+        t AS (SELECT *, trim(regexp_replace(lower(concat(reverse(other), ' the film')), '[^a-z0-9]+', ' ', 'g')) AS c, CAST({_TAG("a", _YEAR)} AS INTEGER) AS y, CASE WHEN id % 4 > 0 THEN 2018 + id % 3 END AS ey, CASE WHEN id % 7 > 0 THEN id % 5 = 0 END AS tv FROM keyed)
+        SELECT id, other, round(greatest(0, least(1, 0.35::DOUBLE + 0.55::DOUBLE * greatest({_SIM("a", "b")}, {_SIM("a", "c")}) + CASE WHEN a = b OR a = c THEN 0.12 ELSE 0 END::DOUBLE + CASE WHEN y = ey THEN 0.10 WHEN abs(y - ey) = 1 THEN 0.04 WHEN y <> ey THEN -0.06 ELSE 0 END::DOUBLE
+                 + CASE WHEN id % 2 = 0 AND tv THEN 0.08 WHEN (id % 2 = 0) <> tv THEN -0.10 ELSE 0 END::DOUBLE)), 4) AS score
         FROM t""",
     "yenc_headers": """
         SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_linenumber <> 3 THEN CAST(l_linenumber AS INTEGER) END AS part_number, CASE WHEN l_linenumber <> 3 THEN 7::INTEGER END AS total_parts,

@@ -16,7 +16,7 @@ AS_OF = dt.datetime(2024, 1, 31)
 def insert_absent(spark, sf_dir):
     c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
     incoming = c.select(F.col("c_custkey").alias("poster_id"), F.col("c_name").alias("poster"))
-    return merge.insert_absent(o.select(F.col("o_custkey").alias("poster_id")), incoming, ["poster_id"])
+    return merge.insert_absent(o.where("o_orderstatus = 'F' and o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("poster_id")), incoming, ["poster_id"])
 
 
 def change_detection(spark, sf_dir):
@@ -92,7 +92,7 @@ def crosspost_explode(spark, sf_dir):
 
 def ordinality_explode(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
-    return c.select("conv_id", "turn", F.posexplode(F.split("text", " ")).alias("at", "word")).where("at < 3").select("conv_id", "turn", (F.col("at") + 1).cast("long").alias("place"), "word")
+    return c.select("conv_id", "turn", F.posexplode(F.split("text", " ")).alias("at", "word")).select("conv_id", "turn", (F.col("at") + 1).cast("long").alias("place"), "word")
 
 
 def json_rerun_predicate(spark, sf_dir):
@@ -109,7 +109,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
-    "insert_absent": "SELECT c_custkey AS poster_id, c_name AS poster FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
+    "insert_absent": "SELECT c_custkey AS poster_id, c_name AS poster FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F' AND o_orderpriority = '1-URGENT')",
     "change_detection": """
         WITH old AS (SELECT * FROM orders WHERE o_orderkey % 10 <> 0),
         new AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderstatus END AS s, o_orderpriority AS p FROM orders WHERE o_orderkey % 9 <> 0)
@@ -168,7 +168,7 @@ ORACLE_SQL = {
         SELECT group_name, count(DISTINCT doc_id) AS articles, count(*) AS posts FROM w WHERE group_name <> '' GROUP BY 1""",
     "ordinality_explode": """
         WITH w AS (SELECT conv_id, turn, string_split(text, ' ') AS s FROM conversations)
-        SELECT conv_id, turn, CAST(i AS BIGINT) AS place, s[i] AS word FROM w, (VALUES (1), (2), (3)) v(i) WHERE i <= len(s)""",
+        SELECT conv_id, turn, unnest(generate_series(1, len(s))) AS place, unnest(s) AS word FROM w""",
     "json_rerun_predicate": """
         WITH k AS (SELECT event_type, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)
         SELECT event_type, k, count(*) AS n FROM k WHERE k % 10 = 0 OR k > 95 GROUP BY 1, 2""",
