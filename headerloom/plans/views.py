@@ -98,3 +98,13 @@ RELEASES = """releases AS (
          CAST(p_size % 9 AS INTEGER) AS file_count, CAST(p_size % 4 AS INTEGER) AS par_file_count, CAST(p_size % 5 AS INTEGER) AS expected_archive_files,
          CASE WHEN p_size % 6 = 0 THEN NULL ELSE p_size % 6 = 1 END AS passworded
   FROM part)"""
+
+
+def seen(spark, sf_dir, source: str, exprs: list[str], where: str = "true"):
+    """A table as other rows, by expressions that both engines know."""
+    return table(spark, sf_dir, source).where(where).selectExpr(*exprs)
+
+
+def seen_sql(name: str, source: str, exprs: list[str], where: str = "true") -> str:
+    """The same as a common table expression."""
+    return f"{name} AS (SELECT {', '.join(exprs)} FROM {source} WHERE {where})"
