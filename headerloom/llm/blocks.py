@@ -3,21 +3,24 @@
 Vectors are packed into blocks of bounded size where they lie (no shuffle): queries with their vectors,
 candidates with a short code only. Queries and candidates are dealt to a grid of groups, and each group of
 queries meets each group of candidates under a key of both, so the work is split over many tasks and neither side is
-ever whole in one place. What a scan finds likely is joined with the original vectors by id and scored
-again exactly.
+ever whole in one place. A pilot scan of one row in PILOT gives each query a score below which no row is wanted, so
+what the scan of all rows passes on does not grow with the number of groups. What it finds likely is
+joined with the original vectors by id and scored again exactly.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from headerloom.llm.shared import written
+
 #: Rows of a block of candidates and of a block of queries.
 BLOCK, QUERY_BLOCK = 4096, 1024
+#: Groups of candidates, or more if a group would be of more than GROUP bytes; one in PILOT candidates is scanned first.
+ACROSS, GROUP, PILOT = 4, 1 << 28, 64
 #: Multiplications that a cell of the grid is meant to hold, as far as there are no more cells than four times the shuffle's partitions.
 WORK = 1 << 29
 #: Found rows that a task holds before it passes them on.
@@ -72,23 +75,33 @@ def first_copies(vectors: DataFrame, k: int) -> DataFrame:
     return few.withColumn("nth", F.row_number().over(order) - F.rank().over(order)).where(F.col("nth") < k).select("vec_id", "x")
 
 
+def piloted(vectors: DataFrame) -> DataFrame:
+    """About one in PILOT of the vectors, by a hash."""
+    return vectors.where(F.pmod(F.xxhash64("vec_id", "x"), F.lit(PILOT)) == 0)
+
+
 def packed(vectors: DataFrame, encode, rows: int = BLOCK) -> DataFrame:
     """dim, n, ids and the fields of ``encode``: blocks of rows of one dimension, in order of vec_id within the block.
 
-    encode(matrix) gives a dict of field name to bytes for a (n, dim) matrix of doubles; its key set is encode.fields.
+    encode(matrix) gives a dict of field name to bytes for a (n, dim) matrix of doubles; its key set is
+    encode.fields. A column ``least`` (double) of vectors is a field more.
     """
-    fields = encode.fields
+    limits = "least" in vectors.columns
+    fields = encode.fields + (("least",) if limits else ())
     schema = pa.schema([("dim", pa.int32()), ("n", pa.int32()), ("ids", pa.binary())] + [(f, pa.binary()) for f in fields])
 
     def run(batches):
         for batch in batches:
-            for _, ids, matrix in _of_one_length(batch):
+            least = batch.column("least").to_numpy(zero_copy_only=False) if limits else None
+            for of, ids, matrix in _of_one_length(batch):
                 for part in np.array_split(np.arange(len(ids)), -(-len(ids) // rows)):
                     part = part[np.argsort(ids[part], kind="stable")]
                     data = {"dim": matrix.shape[1], "n": len(part), "ids": ids[part].astype(np.int64).tobytes()} | encode(matrix[part])
+                    if limits:
+                        data["least"] = least[of[part]].astype(float).tobytes()
                     yield pa.RecordBatch.from_pylist([data], schema)
 
-    return vectors.select("vec_id", "x").mapInArrow(run, "dim int, n int, ids binary, " + ", ".join(f"{f} binary" for f in fields))
+    return vectors.mapInArrow(run, "dim int, n int, ids binary, " + ", ".join(f"{f} binary" for f in fields))
 
 
 def _plain(matrix: np.ndarray) -> dict[str, bytes]:
@@ -99,21 +112,35 @@ _plain.fields = ("rows",)
 
 
 def query_blocks(asked: DataFrame) -> DataFrame:
-    """Blocks of queries (vec_id, x) with their vectors."""
-    return packed(asked, _plain, QUERY_BLOCK)
+    """Blocks of queries (vec_id, x, least) with their vectors and the score below which nothing is wanted."""
+    return packed(asked.select("vec_id", "x", "least"), _plain, QUERY_BLOCK)
+
 
+def scan_of(asked: DataFrame, candidates: DataFrame, encode, bytes_a_row: int, search, merge, kinds: str, pilot_column: str, pilot_place: int) -> DataFrame:
+    """What ``search`` finds of all candidates for all queries asked, as of scanned().
 
-def shape_of(queries: DataFrame, candidates: DataFrame, bytes_a_candidate: int) -> tuple[int, int]:
-    """(groups of queries, groups of candidates) for blocks that are written: about WORK multiplications a cell, as little copying as that allows."""
+    The pilot's row of place ``pilot_place`` in its order by ``pilot_column``, highest first, gives a query its least score; a query
+    for which the pilot finds fewer has none.
+    """
+    first = written(query_blocks(asked.withColumn("least", F.lit(float("-inf")))))
+    pilot = written(packed(piloted(candidates), encode))
+    found = scanned(grid(first, pilot, shape_of(first, pilot, bytes_a_row, 1)), search, merge, kinds)
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(pilot_column)))
+    least = found.withColumn("place", place).where(F.col("place") == pilot_place).select(F.col("query_id").alias("vec_id"), F.col(pilot_column).cast("double").alias("least"))
+    asked = asked.join(least, "vec_id", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf"))))
+    queries, blocks = written(query_blocks(asked)), written(packed(candidates, encode))
+    return scanned(grid(queries, blocks, shape_of(queries, blocks, bytes_a_row)), search, merge, kinds)
+
+
+def shape_of(queries: DataFrame, candidates: DataFrame, bytes_a_row: int, groups: int | None = None) -> tuple[int, int]:
+    """(groups of queries, groups of candidates) for blocks that are written: about WORK multiplications a cell."""
     asked = queries.agg(F.sum(F.col("n")), F.max("dim"), F.count("*")).first()
     held = candidates.agg(F.sum(F.col("n")), F.count("*")).first()
     if not asked[0] or not held[0]:
         return 1, 1
     partitions = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cells = min(max(1, asked[0] * held[0] * asked[1] // WORK), 4 * partitions)
-    # A block of queries is copied to each group of candidates and the other way round.
-    across = math.sqrt(cells * held[0] * bytes_a_candidate / (asked[0] * asked[1] * 8))
-    across = min(max(1, round(across)), held[1], cells)
+    across = groups or min(max(ACROSS, held[0] * bytes_a_row // GROUP), held[1])
     return min(-(-cells // across), asked[2]), across
 
 
@@ -203,7 +230,7 @@ def bytes_of(row: dict, name: str, kind) -> np.ndarray:
     return np.frombuffer(row[name].as_buffer(), kind)
 
 
-def queries_of(row: dict) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, matrix) of a row's block of queries."""
+def queries_of(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, matrix, least scores) of a row's block of queries."""
     ids = bytes_of(row, "q_ids", np.int64)
-    return ids, bytes_of(row, "q_rows", float).reshape(len(ids), -1)
+    return ids, bytes_of(row, "q_rows", float).reshape(len(ids), -1), bytes_of(row, "q_least", float)

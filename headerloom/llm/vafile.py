@@ -4,7 +4,7 @@ The file holds one byte a dimension: the number of the cell, between the block's
 value in that dimension, that the component lies in. For a query the cells give a lower and an upper
 bound of every inner product; cells of a dimension are of one width, so both come from one product of
 matrices. A first pass scans the cells and keeps what can still be among the k best by the k-th best
-lower bound. A second reads exact vectors in the order of the upper bound: a few of each query first, then those that
+lower bound, of a pilot share of the rows and of the rows at hand. A second reads exact vectors in the order of the upper bound: a few of each query first, then those that
 can still reach the k-th best result of these, ties included.
 """
 
@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from headerloom.llm.blocks import bytes_of, first_copies, grid, nth_of, packed, queries_of, query_blocks, ranked, rescored, scanned, shape_of, usable
+from headerloom.llm.blocks import bytes_of, first_copies, nth_of, queries_of, ranked, rescored, scan_of, usable
 from headerloom.llm.shared import written
 
 CELLS = 256
@@ -80,11 +80,10 @@ def top_k(table: DataFrame, is_query, k: int = 10, scale: int = 1024, id_col: st
     vectors = usable(table, id_col, vector_col).select("vec_id", F.transform("x", lambda v: F.floor(v * float(scale)).cast("double")).alias("x"))
     held = written(first_copies(vectors, k))
     asked = written(vectors.where(is_query))
-    blocks, queries = written(packed(held, encode)), written(query_blocks(asked))
     merge = _merge(k)
 
     def search(row):
-        own, query = queries_of(row)
+        own, query, limit = queries_of(row)
         ids = bytes_of(row, "ids", np.int64)
         cells = bytes_of(row, "cells", np.uint8).reshape(len(ids), -1)
         low, width = bytes_of(row, "low", float), bytes_of(row, "width", float)
@@ -94,15 +93,14 @@ def top_k(table: DataFrame, is_query, k: int = 10, scale: int = 1024, id_col: st
             upper, gap = bounds(query[begin : begin + AT_ONCE], low, width, cells)
             mine = o[:, None] == ids
             upper[mine] = -np.inf
-            least = np.full(len(o), -np.inf)
+            least = limit[begin : begin + AT_ONCE]
             if len(ids) > k:
-                least = np.partition(upper, len(ids) - k, axis=1)[:, len(ids) - k] - gap
+                least = np.maximum(least, np.partition(upper, len(ids) - k, axis=1)[:, len(ids) - k] - gap)
             q, at = np.nonzero((upper >= least[:, None]) & ~mine)
             found.append((o[q], ids[at], upper[q, at], upper[q, at] - gap[q]))
         return merge(*(np.concatenate(x) for x in zip(*found)))
 
-    pairs = grid(queries, blocks, shape_of(queries, blocks, 64))
-    found = scanned(pairs, search, merge, "upper double, lower double")
+    found = scan_of(asked, held, encode, 64, search, merge, "upper double, lower double", "lower", k)
     order = Window.partitionBy("query_id")
     every = order.orderBy(F.desc("lower")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     found = found.withColumn("least", F.nth_value("lower", k).over(every)).where("least is null or upper >= least")
