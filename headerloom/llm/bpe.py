@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from headerloom.llm.shared import mixed, slice_hashes, steps, texts_of
+from headerloom.llm.shared import STEP_BYTES, mixed, slice_hashes, steps, texts_of
 
 # Symbols. APOS2 and APOS3 are apostrophes that a contraction of two or three characters follows; WHITE is
 # white space before white space or the end; LAST is the last of a run but a space, SPACE a last space.
@@ -33,7 +33,11 @@ LETTER, NUMBER, OTHER, APOS2, APOS3, WHITE, LAST, SPACE, TEXT = range(9)
 NEW, IN_LETTERS, IN_NUMBERS, IN_OTHERS, AFTER_SPACE, IN_WHITE, SHORT1, SHORT2 = range(8)
 #: Slices that a worker keeps the ids of.
 CACHE = 200_000
+#: Ids that are decoded at once.
+AT_ONCE = 1 << 16
 NO_RANK = np.int32(0x7FFFFFFF)
+_LETTER = np.zeros(256, bool)
+_LETTER[list(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")] = True
 
 
 def _step(state: int, symbol: int) -> tuple[int, bool]:
@@ -280,11 +284,39 @@ class Codec:
     def sizes(self, ids: np.ndarray) -> np.ndarray:
         return self.begin[ids + 1] - self.begin[ids]
 
+    def encode_long(self, raw: np.ndarray) -> np.ndarray:
+        """The ids of one long text, piece by piece."""
+        cut = [*safe_cuts(raw), len(raw)]
+        return np.concatenate([self.encode(raw[i:j], np.array([0, j - i]))[0] for i, j in zip(cut, cut[1:])])
+
     def decode(self, ids: np.ndarray) -> np.ndarray:
         """The bytes of the ids."""
-        size = self.sizes(ids)
-        nth = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        return self.words[np.repeat(self.begin[ids], size) + nth]
+        out = []
+        for at in range(0, max(len(ids), 1), AT_ONCE):
+            part = ids[at : at + AT_ONCE]
+            size = self.sizes(part)
+            nth = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            out.append(self.words[np.repeat(self.begin[part], size) + nth])
+        return np.concatenate(out)
+
+
+def safe_cuts(raw: np.ndarray, every: int | None = None) -> list[int]:
+    """Places about ``every`` bytes apart, 0 first, at which a pre-token begins whatever surrounds them: a space between two ASCII letters."""
+    every = every or STEP_BYTES
+    cuts = [0]
+    while len(raw) - cuts[-1] > 2 * every:
+        at = cuts[-1] + every
+        while at < len(raw) - 1:
+            part = raw[at - 1 : at + every]
+            letter = _LETTER[part]
+            found = np.flatnonzero((part[1:-1] == 32) & letter[:-2] & letter[2:])
+            if len(found):
+                break
+            at += every - 1
+        else:
+            break
+        cuts.append(at + int(found[0]))
+    return cuts
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -328,7 +360,11 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
         codec = _codec(name, shared)
         for part in steps(batches):
             raw, at = texts_of(part.column(1))
-            ids, count = codec.encode(raw, at)
+            if part.num_rows == 1 and len(raw) > 2 * STEP_BYTES:
+                ids = codec.encode_long(raw)
+                count = np.array([len(ids)])
+            else:
+                ids, count = codec.encode(raw, at)
             rows = np.append(0, np.cumsum(count))
             reach = np.cumsum(codec.sizes(ids)) - np.repeat(at[:-1], count)
             at32 = pa.array(rows, pa.int32())

@@ -23,6 +23,8 @@ SPACE = 32
 #: N-grams whose vectors a worker keeps, and those that one product of matrices takes at once.
 CACHE, AT_ONCE = 1 << 16, 4096
 TEXTS_AT_ONCE = 256
+#: Bytes of a long text that are read at once.
+LONG = 1 << 20
 
 
 @functools.cache
@@ -102,6 +104,28 @@ def grams_of(raw: np.ndarray, at: np.ndarray, n: int = GRAM) -> tuple[np.ndarray
     return owner[new], gram[new], np.diff(np.append(new, len(gram)))
 
 
+def long_grams(raw: np.ndarray, n: int = GRAM, at_once: int = LONG) -> tuple[np.ndarray, np.ndarray]:
+    """(gram, count) of one text, read piece by piece; the last letters of a piece go before the next one."""
+    grams, counts, rest, begin = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.full(1, SPACE, np.uint32), 0
+    while begin < len(raw):
+        end = min(begin + at_once, len(raw))
+        while end < len(raw) and raw[end] & 0xC0 == 0x80:
+            end += 1
+        code = np.concatenate([rest, _letters()[np.frombuffer(raw[begin:end].tobytes().decode().encode("utf-32-le"), "<u4")]])
+        if end == len(raw):
+            code = np.append(code, np.uint32(SPACE))
+        code = code[np.append(True, (code[1:] != SPACE) | (code[:-1] != SPACE))]
+        size = max(len(code) - n + 1, 0)
+        gram = np.zeros(size, np.uint64)
+        for j in range(n):
+            gram = gram << np.uint64(21) | code[j : j + size].astype(np.uint64)
+        both, of = np.concatenate([grams, gram]), np.concatenate([counts, np.ones(size, np.int64)])
+        grams, which = np.unique(both, return_inverse=True)
+        counts = np.bincount(which, of, len(grams)).astype(np.int64)
+        rest, begin = code[max(len(code) - n + 1, 0) :], end
+    return grams, counts
+
+
 class Bundler:
     """Sums of n-gram vectors, with a cache of the vectors."""
 
@@ -128,7 +152,11 @@ class Bundler:
         out = np.zeros((rows, self.width), np.float32)
         for lo in range(0, rows, TEXTS_AT_ONCE):
             hi = min(rows, lo + TEXTS_AT_ONCE)
-            row, gram, count = grams_of(raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], self.n)
+            if at[hi] - at[lo] > 4 * LONG and hi == lo + 1:
+                gram, count = long_grams(raw[at[lo] : at[hi]], self.n)
+                row = np.zeros(len(gram), np.int64)
+            else:
+                row, gram, count = grams_of(raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], self.n)
             distinct, which = np.unique(gram, return_inverse=True)
             for i in range(0, len(distinct), AT_ONCE):
                 part = (which >= i) & (which < i + AT_ONCE)

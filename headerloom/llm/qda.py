@@ -51,10 +51,11 @@ def statistics(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
         new = np.append(True, (key[:, 1:] != key[:, :-1]).any(axis=0))
         return np.bincount(key[0][new].astype(np.int64), minlength=n).astype(float)
 
-    sums = np.zeros((6, len(raw) + 1), np.int64)
-    for k in range(1, 6):
-        np.cumsum(_KIND[raw] == k, out=sums[k, 1:])
-    count = (sums[:, at[1:]] - sums[:, at[:-1]]).astype(float)
+    kind, count = _KIND[raw], np.zeros((6, n))
+    full_ = np.flatnonzero(at[1:] > at[:-1])
+    if len(full_):
+        for k in range(1, 6):
+            count[k, full_] = np.add.reduceat(kind == k, at[full_], dtype=np.int64)
     solid = np.maximum(count[1:].sum(axis=0), 1)
     last = raw[end - 1] if len(end) else np.zeros(0, np.uint8)
     stop = _STOP[last]

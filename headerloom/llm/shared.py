@@ -108,24 +108,46 @@ def mixed(x: np.ndarray) -> np.ndarray:
 _powers: list[np.ndarray] = []
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, for at least n positions."""
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, STEP_BYTES + 1)
-        _powers[:] = []
+def _power_tables() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse modulo 2**64, for the positions of one step."""
+    if not _powers:
         for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-            table = np.full(size, np.uint64(base))
+            table = np.full(STEP_BYTES + 1, np.uint64(base))
             table[0] = 1
             _powers.append(np.multiply.accumulate(table))
     return _powers[0], _powers[1]
 
 
 def slice_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of raw[start:end] for each slice: equal bytes give equal hashes, wherever they stand."""
-    up, down = _power_tables(len(raw) + 1)
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=sums[1:])
-    return mixed((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+    """A 64-bit hash of raw[start:end] for each slice, in order of their starts: equal bytes give equal hashes, wherever they stand.
+
+    The hash is a polynomial of the bytes. It is worked out for slices within one step of bytes at a time, and for longer ones
+    step by step, so memory does not grow with the text.
+    """
+    up, down = _power_tables()
+    out = np.empty(len(start), np.uint64)
+    i = 0
+    while i < len(start):
+        begin = int(start[i])
+        j = max(int(np.searchsorted(start, begin + STEP_BYTES, "left")), i + 1)
+        if end[j - 1] > begin + STEP_BYTES:  # the last one reaches beyond
+            j -= 1
+        if j > i:
+            part = raw[begin : int(end[i:j].max())]
+            sums = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[: len(part)], out=sums[1:])
+            lo, hi = start[i:j] - begin, end[i:j] - begin
+            out[i:j] = (sums[hi] - sums[lo]) * down[lo]
+            i = j
+        else:
+            total, factor = 0, 1
+            for at in range(begin, int(end[i]), STEP_BYTES):
+                part = raw[at : min(at + STEP_BYTES, int(end[i]))]
+                total += int(((part.astype(np.uint64) + np.uint64(1)) * up[: len(part)]).sum(dtype=np.uint64)) * factor
+                factor = factor * int(up[STEP_BYTES]) % 2**64
+            out[i] = total % 2**64
+            i += 1
+    return mixed(out + (end - start).astype(np.uint64))
 
 
 def run_hashes(values: np.ndarray, size: int) -> np.ndarray:

@@ -45,8 +45,8 @@ def sentences_of(raw: np.ndarray, at: np.ndarray):
         long = (end - start >= 3) & (last == mark[2])
         long[long] = (raw[end[long] - 3] == mark[0]) & (raw[end[long] - 2] == mark[1])
         final |= long
-    feeds = np.append(0, np.cumsum(raw == 10))
-    broken = feeds[start[1:]] > feeds[end[:-1]]  # a line feed between the words
+    feeds = np.flatnonzero(raw == 10)
+    broken = np.searchsorted(feeds, start[1:]) > np.searchsorted(feeds, end[:-1])  # a line feed between the words
     new = np.append(True, final[:-1] | broken | (row[1:] != row[:-1]))
     return start, end, row, np.cumsum(new) - 1
 
