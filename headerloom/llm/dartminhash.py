@@ -38,6 +38,8 @@ _POISSON = np.cumsum([math.exp(-1) / math.factorial(n) for n in range(16)])
 NARROW = (640, 10)
 #: Darts that a task holds at once, at some hundred bytes each.
 DARTS = 1 << 20
+#: Elements whose darts are thrown at once.
+AT_ONCE = 1 << 17
 #: Members of a bucket that are laid together, to be compared with another such block.
 BLOCK = 256
 #: A key with more than one HOT-th of all rows is hot: there are fewer than HOT of them, whatever the data.
@@ -72,8 +74,9 @@ def signatures(element: np.ndarray, weight: np.ndarray, row: np.ndarray, rows: i
     low = np.zeros(rows, np.int64)
     high = np.ceil(k * (math.log(k) + 3) / np.maximum(total, 1e-9)).clip(1, 1 << 14).astype(np.int64)
     while open_.any():
-        mine = open_[row]
-        _throw(element[mine], weight[mine], row[mine], low, high, k, seed, out)
+        for at in range(0, len(element), AT_ONCE):
+            mine = open_[row[at : at + AT_ONCE]]
+            _throw(element[at : at + AT_ONCE][mine], weight[at : at + AT_ONCE][mine], row[at : at + AT_ONCE][mine], low, high, k, seed, out)
         open_ &= (out == NONE).any(axis=1)
         low, high = high, high * 2
     return out
@@ -332,11 +335,11 @@ def text_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def sets_of(ids):
         plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), _digest(text_col).alias("digest"), F.col(text_col).cast("string").alias("text")).where("text is not null")
-        wanted = equal.select("digest", "n", "node", "made").join(ids, "node")
+        wanted = written(equal.select("digest", "n", "node", "made").join(ids, "node"))
         own = plain.groupBy("doc_id", "digest").agg(F.first("text").alias("text")) if repeated else plain
         texts = own.join(wanted.where("not made").select(F.col("node").alias("doc_id"), "digest"), ["doc_id", "digest"]).select(F.col("doc_id").alias("node"), "text")
         if nameless:
-            found = by_key(plain.select("digest", "text"), written(wanted.where("made").select("digest", "n", "node")), "digest", total)
+            found = by_key(plain.select("digest", "text"), wanted.where("made").select("digest", "n", "node"), "digest", total)
             texts = texts.unionByName(found.groupBy("node").agg(F.first("text").alias("text")))
         return shingle_sets(texts, "node", "text", shingle)
 
