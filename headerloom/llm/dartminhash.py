@@ -337,7 +337,8 @@ def text_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), _digest(text_col).alias("digest"), F.col(text_col).cast("string").alias("text")).where("text is not null")
         wanted = written(equal.select("digest", "n", "node", "made").join(ids, "node"))
         own = plain.groupBy("doc_id", "digest").agg(F.first("text").alias("text")) if repeated else plain
-        texts = own.join(wanted.where("not made").select(F.col("node").alias("doc_id"), "digest"), ["doc_id", "digest"]).select(F.col("doc_id").alias("node"), "text")
+        named = wanted.where("not made").select(F.col("node").alias("doc_id"), "digest").hint("merge")  # the same plan at every size
+        texts = own.join(named, ["doc_id", "digest"]).select(F.col("doc_id").alias("node"), "text")
         if nameless:
             found = by_key(plain.select("digest", "text"), wanted.where("made").select("digest", "n", "node"), "digest", total)
             texts = texts.unionByName(found.groupBy("node").agg(F.first("text").alias("text")))
@@ -406,7 +407,7 @@ def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     on = of["id"].eqNullSafe(chosen["d"]) & (of["digest"] == chosen["g"])
     fields = [f"c{i}" for i in range(len(docs.columns))]
     back = [F.col(f).alias(c) for f, c in zip(fields, docs.columns)]
-    out = of.join(chosen.where("many = 1"), on, "left_semi").select(*fields).unionByName(of.where("digest is null").select(*fields))
+    out = of.join(chosen.where("many = 1").hint("merge"), on, "left_semi").select(*fields).unionByName(of.where("digest is null").select(*fields))
     if not chosen.where("many > 1").isEmpty():
         row = F.first(F.struct(*fields)).alias("x")  # combined in each task before it shuffles
         hot = F.broadcast(chosen.where((F.col("many") > 1) & (F.col("many") * HOT > total)))
