@@ -1,6 +1,6 @@
 """Mixing sources to target weights: random order by hash, distributed prefix sums, exact cuts.
 
-Each document's place within its source is a hash of its id. The range of hashes is divided into
+Each document's place within its source is a hash of its id and text. The range of hashes is divided into
 slots of about ``SLOT_ROWS`` documents (more slots for larger sources), slot totals give each slot's
 offset, and a window inside the slot gives the document's own prefix sum: no source is ever sorted in
 one task. A source's budget is whole epochs of all its documents and then the documents in hash order
@@ -17,13 +17,22 @@ from headerloom.llm.shared import written
 #: A run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 SLOT_ROWS = 4_000
+#: What is known of the sources is broadcast up to so many of them, at some hundred bytes each.
+SOURCES = 50_000
+
+
+def _keys(id_col: str, text_col: str):
+    """(words of the text, 0 for null; the hash that orders the documents of a source; the text's digest) as columns."""
+    text = F.col(text_col).cast("string")
+    digest = F.coalesce(F.md5(text.cast("binary")), F.lit(""))
+    size = F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
+    return size, F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), digest).cast("binary")), digest
 
 
 def sized(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """doc_id, source, size (words; 0 for null), the hash that orders the documents of a source and the text's digest."""
-    size = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
-    key = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":mix")).cast("binary"))
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), key.alias("key"), F.xxhash64(F.col(text_col).cast("string")).alias("digest"))
+    size, key, digest = _keys(id_col, text_col)
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), key.alias("key"), digest.alias("digest"))
 
 
 def targets(sizes: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: int = 2) -> DataFrame:
@@ -67,11 +76,11 @@ def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: int = 2, i
     its own; rows that repeat a doc_id count each; an empty table gives an empty one. Other columns
     are ignored.
     """
-    return _planned(docs, weights, share, most, id_col, source_col, text_col).drop("digest")
+    return _planned(docs, weights, share, most, id_col, source_col, text_col).drop("digest", "key", "epochs")
 
 
 def _planned(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: int = 2, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """mix() with the digest of each row's text."""
+    """mix() with the digest of each row's text, its key and its source's whole epochs."""
     one = written(sized(docs, id_col, source_col, text_col))
     totals = one.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("documents"))
     goal = targets(totals, weights, share, most).withColumn("slots", F.ceil(F.col("documents") / SLOT_ROWS))
@@ -89,7 +98,7 @@ def _planned(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: int =
     epochs = F.when(F.col("source_size") > 0, F.expr("cast(floor(target) as bigint) div source_size")).otherwise(F.lit(0).cast("long"))
     rest = budget - epochs * F.col("source_size") - F.col("before")
     taken = epochs * F.col("size") + F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), rest))
-    return rows.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "digest")
+    return rows.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "digest", "key", epochs.alias("epochs"))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
@@ -97,27 +106,41 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 
     docs: doc_id, text, source and any other columns; n_chars, if there, is brought up to date.
 
-    The plan finds its rows by doc_id, source and text digest. Rows equal in these stand together in
-    the mix's order, so at most one group of them in each source has the cut within it; only that one's
-    rows are numbered, the others take the same each.
+    In a source's order all documents before the cut are taken once more than its whole epochs, and those after it
+    are not. So a row needs its own place and what is known of its source, no text is shuffled. Rows
+    equal in doc_id, source and text stand together in that order; only where the cut is within such a group its rows are numbered.
     """
-    same = ["doc_id", "source", "size", "digest"]
-    plan = _planned(docs, **options).groupBy(*same).agg(F.count("*").alias("many"), F.sum("taken").alias("sum"), F.min("taken").alias("least")).where("sum > 0")
-    plan = plan.withColumn("base", F.expr("least div size * size")).withColumn("rest", F.expr("sum - many * base"))
-    plan = written(plan.select(*[F.col(c).alias(f"__{c}") for c in (*same, "base", "rest", "many")]))
-    rows = docs.withColumn("__key", F.xxhash64(F.col("text").cast("string")))
-    on = F.col("doc_id").eqNullSafe(F.col("__doc_id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__key") == F.col("__digest"))
-    split = "__rest > 0 and __many > 1"
-    whole = rows.join(plan.where(f"not ({split})"), on).withColumn("__taken", F.col("__base") + F.col("__rest"))
-    nth = F.row_number().over(Window.partitionBy("__doc_id", "__source", "__size", "__digest").orderBy("__size")) - 1
-    last = F.greatest(F.lit(0).cast("long"), F.least(F.col("__size"), F.col("__rest") - nth * F.col("__size")))
-    cut = rows.join(F.broadcast(plan.where(split)), on).withColumn("__taken", F.col("__base") + last)
-    first = whole.unionByName(cut).where("__taken > 0")
-    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda x: x != "")
-    left = F.col("__taken") - (F.col("__copy") - 1) * F.col("__size")
-    copies = first.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("__taken") / F.col("__size")))))
-    text = F.when(left >= F.col("__size"), F.col("text")).otherwise(F.array_join(F.slice(words, F.lit(1), left.cast("int")), " "))
-    out = copies.withColumn("text", text)
+    place = F.struct("key", "doc_id", "size", "digest")
+    extra = F.col("taken") - F.col("epochs") * F.col("size")
+    plan = written(_planned(docs, **options))
+    facts = plan.groupBy("source").agg(F.first("epochs").alias("epochs"), F.max(F.when(extra > 0, place)).alias("cut"))
+    facts = written(facts.select(F.col("source").alias("__s"), "epochs", "cut"))
+    last = plan.join(facts.select("__s", "cut"), F.col("source").eqNullSafe(F.col("__s"))).where(place == F.col("cut"))
+    last = last.groupBy("__s").agg(F.sum(extra).alias("rest"), F.count("*").alias("many")).withColumnRenamed("__s", "__t")
+    facts = written(facts.join(last, F.col("__s").eqNullSafe(F.col("__t")), "left").drop("__t"))
+    within = not facts.where("many > 1").isEmpty()  # whether a cut lies within a group of equal rows
+    if facts.count() <= SOURCES:
+        facts = F.broadcast(facts)
+
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}  # names of their own, so that no column of docs clashes
+    size, key, digest = _keys(names["doc_id"], names["text"])
+    rows = docs.toDF(*names.values()).withColumns({"size": size, "key": key, "digest": digest})
+    rows = rows.join(facts, F.col(names["source"]).eqNullSafe(F.col("__s")))
+    own = F.struct("key", F.col(names["doc_id"]).alias("doc_id"), "size", "digest")
+    whole = F.col("epochs") * F.col("size")
+    at_cut = F.coalesce(own == F.col("cut"), F.lit(False))
+    more = F.when(at_cut, F.col("rest")).when(F.coalesce(own < F.col("cut"), F.lit(False)), F.col("size")).otherwise(0)
+    first = rows.withColumn("taken", whole + more)
+    if within:
+        nth = F.row_number().over(Window.partitionBy("__s").orderBy("key")) - 1
+        group = rows.where(at_cut & (F.col("many") > 1)).withColumn("taken", whole + F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.col("rest") - nth * F.col("size"))))
+        first = first.where(~(at_cut & F.coalesce(F.col("many") > 1, F.lit(False)))).unionByName(group)
+    first = first.where("taken > 0")
+    text = F.col(names["text"]).cast("string")
+    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda x: x != "")
+    left = F.col("taken") - (F.col("copy") - 1) * F.col("size")
+    copies = first.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("taken") / F.col("size")))))
+    out = copies.withColumn(names["text"], F.when(left >= F.col("size"), text).otherwise(F.array_join(F.slice(words, F.lit(1), left.cast("int")), " ")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        out = out.withColumn(names["n_chars"], F.length(names["text"]).cast(docs.schema["n_chars"].dataType))
+    return out.select(*[F.col(n).alias(c) for c, n in names.items()])
