@@ -37,7 +37,7 @@ encode.fields = ("low", "width", "cells")
 
 def bounds(query: np.ndarray, low: np.ndarray, width: np.ndarray, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(upper bounds of the inner products of each query and row, how far the lower ones are below them for each query)."""
-    slack = SLACK * (np.abs(query) @ np.maximum(np.abs(low), np.abs(low + width * CELLS))) + 1e-6
+    slack = np.where(query.any(axis=1), SLACK * (np.abs(query) @ np.maximum(np.abs(low), np.abs(low + width * CELLS))) + 1e-6, 0)
     upper = (query * width) @ cells.T.astype(float)
     upper += (query @ low + np.maximum(query, 0) @ (width - 1) + slack)[:, None]
     return upper, np.abs(query) @ (width - 1) + 2 * slack
@@ -54,7 +54,7 @@ def scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _merge(k: int):
     def merge(own, ids, upper, lower):
-        """Without the rows whose upper bound is below the k-th best lower bound of their query."""
+        """Without the rows whose upper bound is below the k-th best lower bound of their query, and of those with an exact score those behind the k best."""
         order = np.lexsort((-lower, own))
         own, ids, upper, lower = own[order], ids[order], upper[order], lower[order]
         nth = nth_of(own)
@@ -63,6 +63,9 @@ def _merge(k: int):
         some[some] = own[at[some]] == own[some]
         least = np.where(some, lower[np.where(some, at, 0)] if len(lower) else lower, -np.inf)
         keep = upper >= least
+        exact = np.flatnonzero(keep & (upper == lower))
+        exact = exact[np.lexsort((ids[exact], -upper[exact], own[exact]))]
+        keep[exact[nth_of(own[exact]) >= k]] = False
         return own[keep], ids[keep], upper[keep], lower[keep]
 
     return merge
