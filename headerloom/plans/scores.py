@@ -8,7 +8,7 @@ from headerloom.functions import titles
 from headerloom.operators import scoring
 from headerloom.sources.tables import table
 
-TAILS = ["", "S01E02 720p x264", "S01E03 1080p", "2019 1080p x265 dts", "2020 ac3", "2x05 xvid"]
+TAILS = ["", "S01E02 720p x264", "S01E03 1080p", "2019 1080p x265 dts", "2020 ac3", "2x05 xvid", "2018 mkv", "x265 part02 rar"]
 
 
 def _titled(spark, sf_dir):
@@ -66,7 +66,7 @@ QUERIES = {f.__name__: f for f in (release_scores, identity_status, media_tags,
 _PAIRS = f"""tails AS (SELECT {[t for t in TAILS]} AS t),
 titled AS (SELECT p_partkey AS k, p_name, t FROM part, tails),
 pairs AS (
-  SELECT a.k AS id, replace(concat_ws('.', a.p_name, a.t[a.k % 6 + 1]), ' ', '.') AS title, replace(concat_ws('.', b.p_name, b.t[(b.k * 5 + 1) % 6 + 1]), ' ', '.') AS other
+  SELECT a.k AS id, replace(concat_ws('.', a.p_name, a.t[a.k % 8 + 1]), ' ', '.') AS title, replace(concat_ws('.', b.p_name, b.t[(b.k * 5 + 1) % 8 + 1]), ' ', '.') AS other
   FROM titled a JOIN titled b ON a.k = CASE WHEN b.k % 3 = 0 THEN b.k ELSE b.k - 1 END),
 keyed AS (SELECT *, trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) AS a, trim(regexp_replace(lower(other), '[^a-z0-9]+', ' ', 'g')) AS b FROM pairs)"""
 _TAG = lambda c, p: f"nullif(regexp_extract(' ' || {c} || ' ', '{p}', 1), '')"
@@ -74,7 +74,8 @@ _YEAR, _RES, _VIDEO, _AUDIO = " (19[5-9]\\d|20\\d\\d) ", " (2160p|1080p|720p|576
 _SEASON = lambda c: f"CAST(coalesce({_TAG(c, ' s(\\d+)e\\d+ ')}, {_TAG(c, ' (\\d+)x\\d+ ')}) AS INTEGER)"
 _EPISODE = lambda c: f"CAST(coalesce({_TAG(c, ' s\\d+e(\\d+) ')}, {_TAG(c, ' \\d+x(\\d+) ')}) AS INTEGER)"
 _SIM = lambda a, b: f"CASE WHEN {a} = {b} THEN 1.0 ELSE len(list_intersect(list_distinct(string_split({a}, ' ')), list_distinct(string_split({b}, ' '))))::DOUBLE / greatest(len(string_split({a}, ' ')), len(string_split({b}, ' '))) END::DOUBLE"
-_PRE = "(starts_with(a, b) OR starts_with(b, a))"
+_PRE = lambda a, b: f"(starts_with({a}, {b}) OR starts_with({b}, {a}))"
+_BARE = lambda c: f"trim(regexp_replace({c}, '(?: (?:part\\d+|rar|mkv))+$', ''))"
 
 ORACLE_SQL = {
     "release_scores": """
@@ -102,8 +103,8 @@ ORACLE_SQL = {
         SELECT {_TAG("a", _RES)} AS resolution, {_TAG("a", _VIDEO)} AS video_codec, {_TAG("a", _AUDIO)} AS audio_codec, CAST({_TAG("a", _YEAR)} AS INTEGER) AS year, {_SEASON("a")} AS season, {_EPISODE("a")} AS episode, count(*) AS n
         FROM keyed GROUP BY ALL""",
     "scene_title_score": f"""WITH {_PAIRS},
-        t AS (SELECT *, CASE WHEN id % 5 > 0 THEN id * 40 END AS hours, CAST({_TAG("a", _YEAR)} AS INTEGER) AS ya, CAST({_TAG("b", _YEAR)} AS INTEGER) AS yb, {_SEASON("a")} AS sa, {_SEASON("b")} AS sb, {_EPISODE("a")} AS ea, {_EPISODE("b")} AS eb FROM keyed)
-        SELECT id, title, other, round(greatest(0, least(1, 0.25::DOUBLE + 0.45::DOUBLE * ({_SIM("a", "b")}) + CASE WHEN {_PRE} THEN 0.34 ELSE 0 END::DOUBLE + 0.20::DOUBLE * ({_SIM("a", "b")})
+        t AS (SELECT *, {_BARE("a")} AS ca, {_BARE("b")} AS cb, CASE WHEN id % 5 > 0 THEN id * 40 END AS hours, CAST({_TAG("a", _YEAR)} AS INTEGER) AS ya, CAST({_TAG("b", _YEAR)} AS INTEGER) AS yb, {_SEASON("a")} AS sa, {_SEASON("b")} AS sb, {_EPISODE("a")} AS ea, {_EPISODE("b")} AS eb FROM keyed)
+        SELECT id, title, other, round(greatest(0, least(1, 0.25::DOUBLE + 0.45::DOUBLE * ({_SIM("a", "b")}) + CASE WHEN {_PRE("a", "b")} THEN 0.22 ELSE 0 END::DOUBLE + 0.20::DOUBLE * ({_SIM("ca", "cb")}) + CASE WHEN {_PRE("ca", "cb")} THEN 0.12 ELSE 0 END::DOUBLE
                  + CASE WHEN sa = sb AND ea = eb THEN 0.18 WHEN sa IS NOT NULL AND sb IS NOT NULL THEN -0.10 ELSE 0 END::DOUBLE
                  + CASE WHEN ya = yb THEN 0.10 WHEN abs(ya - yb) = 1 THEN 0.04 WHEN ya <> yb THEN -0.04 ELSE 0 END::DOUBLE
                  + CASE WHEN {_TAG("a", _RES)} = {_TAG("b", _RES)} THEN 0.04 ELSE 0 END::DOUBLE + CASE WHEN {_TAG("a", _VIDEO)} = {_TAG("b", _VIDEO)} THEN 0.03 ELSE 0 END::DOUBLE + CASE WHEN {_TAG("a", _AUDIO)} = {_TAG("b", _AUDIO)} THEN 0.02 ELSE 0 END::DOUBLE

@@ -155,8 +155,30 @@ targets AS (
 _TOKEN = r"vol\d+ \d+|part\d+|rar|zip|7z|par2|nfo|sfv|srr|mkv|mp4|avi|mov|mp3|flac|m4a|wav|nzb|iso|r\d{2}|(?:rar|zip|7z|par2|nfo|sfv|srr|mkv|mp4|avi|mov|mp3|flac|m4a|wav|nzb|iso) \d+"
 _KEY = lambda name: rf"trim(regexp_replace(trim(regexp_replace(lower({name}), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), '(?: (?:{_TOKEN}))+$', ''))"
 _LIST = lambda values: "[" + ", ".join(f"'{v}'" for v in values) + "]"
-_WORDS = ", ".join(f"('{k}', {n}, '{w}')" for n, (k, words) in enumerate(category.KIND_WORDS.items()) for w in words)
-_IDS = ", ".join(f"('{k}', {n}, {i}, '{w}')" for k, rules in category.CHOICES.items() for n, (i, words) in enumerate(rules) for w in words)
+# The words and ids of the categories as the SQL knows them, stated apart from the operator's tables.
+_WORDS = (
+    "('xxx', 0, 'xxx'), ('xxx', 0, 'porn'), ('xxx', 0, 'nsfw'), ('xxx', 0, 'onlyfans'), ('xxx', 0, 'brazzers'), ('xxx', 0, 'playboy'), ('xxx', 0, 'erotica'), ('console', 1, 'ps3'), ('console', 1, 'ps4'), "
+    "('console', 1, 'ps5'), ('console', 1, 'playstation'), ('console', 1, 'xbox'), ('console', 1, 'x360'), ('console', 1, 'xboxone'), ('console', 1, 'switch'), ('console', 1, 'nintendo'), ('console', 1, 'wii'), "
+    "('console', 1, 'psp'), ('console', 1, 'nds'), ('console', 1, '3ds'), ('movie', 2, 'bluray'), ('movie', 2, 'bdrip'), ('movie', 2, 'dvdrip'), ('movie', 2, 'remux'), ('audio', 3, 'flac'), ('audio', 3, 'mp3'), "
+    "('audio', 3, 'album'), ('audio', 3, 'discography'), ('audio', 3, 'podcast'), ('audio', 3, 'audiobook'), ('books', 4, 'ebook'), ('books', 4, 'epub'), ('books', 4, 'mobi'), ('books', 4, 'pdf'), "
+    "('books', 4, 'comic'), ('books', 4, 'magazine'), ('books', 4, 'manga'), ('pc', 5, 'windows'), ('pc', 5, 'mac'), ('pc', 5, 'android'), ('pc', 5, 'ios'), ('pc', 5, 'ipa'), ('pc', 5, 'apk'), ('pc', 5, 'game'), "
+    "('pc', 5, 'steam'), ('pc', 5, 'software'), ('pc', 5, '0day'), ('pc', 5, 'trainer'), ('pc', 5, 'stl'), ('pc', 5, 'steinberg'), ('pc', 5, 'cubase'), ('pc', 5, 'nuendo'), ('pc', 5, 'ableton'), "
+    "('pc', 5, 'autodesk'), ('pc', 5, 'adobe'), ('pc', 5, 'microsoft office')"
+)
+_IDS = (
+    "('xxx', 0, 6060, 'imgset'), ('xxx', 0, 6060, 'photoset'), ('xxx', 1, 6050, 'pack'), ('xxx', 2, 6020, 'wmv'), ('xxx', 3, 6010, 'dvd'), ('console', 0, 1035, 'switch'), ('console', 0, 1035, 'nintendo switch'), "
+    "('console', 1, 1100, 'ps4'), ('console', 1, 1100, 'playstation 4'), ('console', 2, 1080, 'ps3'), ('console', 2, 1080, 'playstation 3'), ('console', 3, 1090, 'xbox one'), ('console', 3, 1090, 'xbone'), "
+    "('console', 4, 1050, 'xbox 360'), ('console', 4, 1050, 'x360'), ('console', 5, 1040, 'xbox'), ('console', 6, 1030, 'wii'), ('console', 7, 1020, 'psp'), ('console', 8, 1010, 'nds'), ('console', 8, 1010, '3ds'), "
+    "('tv', 0, 5070, 'anime'), ('tv', 1, 5080, 'documentary'), ('tv', 1, 5080, 'docu'), ('tv', 2, 5060, 'sport'), ('tv', 2, 5060, 'sports'), ('tv', 2, 5060, 'ufc'), ('tv', 2, 5060, 'wwe'), ('tv', 2, 5060, 'formula'), "
+    "('tv', 2, 5060, 'motogp'), ('tv', 2, 5060, 'nba'), ('tv', 2, 5060, 'nfl'), ('tv', 2, 5060, 'mlb'), ('tv', 2, 5060, 'nhl'), ('tv', 3, 5020, 'foreign'), ('tv', 3, 5020, 'german'), ('tv', 3, 5020, 'french'), "
+    "('tv', 3, 5020, 'spanish'), ('tv', 3, 5020, 'nlsubs'), ('movie', 0, 2060, '3d'), ('movie', 1, 2010, 'foreign'), ('movie', 1, 2010, 'french'), ('movie', 1, 2010, 'german'), ('movie', 1, 2010, 'spanish'), "
+    "('movie', 1, 2010, 'ita'), ('movie', 1, 2010, 'nlsubs'), ('audio', 0, 3030, 'audiobook'), ('audio', 1, 3050, 'podcast'), ('audio', 2, 3040, 'flac'), ('audio', 2, 3040, 'lossless'), ('audio', 3, 3010, 'mp3'), "
+    "('audio', 4, 3020, 'music video'), ('audio', 4, 3020, 'concert'), ('books', 0, 7030, 'comic'), ('books', 0, 7030, 'comics'), ('books', 0, 7030, 'manga'), ('books', 1, 7010, 'magazine'), "
+    "('books', 1, 7010, 'mags'), ('pc', 0, 4070, 'android'), ('pc', 0, 4070, 'apk'), ('pc', 1, 4060, 'ios'), ('pc', 1, 4060, 'iphone'), ('pc', 1, 4060, 'ipad'), ('pc', 1, 4060, 'ipa'), ('pc', 2, 4040, 'mobile'), "
+    "('pc', 3, 4030, 'mac'), ('pc', 3, 4030, 'osx'), ('pc', 3, 4030, 'macos'), ('pc', 4, 4050, 'game'), ('pc', 4, 4050, 'steam'), ('pc', 4, 4050, 'gog'), ('pc', 4, 4050, 'repack'), ('pc', 5, 4020, 'iso'), "
+    "('pc', 6, 4080, 'stl'), ('pc', 6, 4080, '3d print'), ('pc', 6, 4080, '3dprint'), ('pc', 7, 4010, '0day'), ('pc', 7, 4010, 'steinberg'), ('pc', 7, 4010, 'cubase'), ('pc', 7, 4010, 'nuendo'), "
+    "('pc', 7, 4010, 'ableton'), ('pc', 7, 4010, 'autodesk'), ('pc', 7, 4010, 'adobe'), ('pc', 7, 4010, 'microsoft office'), ('pc', 7, 4010, 'software')"
+)
 
 ORACLE_SQL = {
     "header_dedupe_resolve": """
