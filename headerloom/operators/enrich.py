@@ -52,9 +52,21 @@ def token_similarity(a: Column, b: Column) -> Column:
 
 
 def similar_titles(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
-    """id, other_id, similarity of title pairs (id, title) that share a token: joined on tokens, each pair compared once."""
-    token = lambda df, i, t: df.select(F.col("id").alias(i), F.col("title").alias(t), F.explode(F.array_distinct(F.split("title", " "))).alias("token"))
-    pairs = token(left, "id", "title").join(token(right, "other_id", "other_title"), "token").drop("token").distinct()
+    """id, other_id, similarity of title pairs (id, title) of at least ``least`` that share a token, each pair compared once.
+
+    Titles as similar as that share at least one of each other's rarest tokens: of d different tokens, the d - c + 1 that the
+    fewest titles have, where c is the number that must be common. Only these are joined, so a common word meets no pairs.
+    """
+    token = lambda df: df.select("id", "title", F.explode(F.array_distinct(F.split("title", " "))).alias("token"))
+    count = token(left).unionByName(token(right)).groupBy("token").agg(F.count("*").alias("n"))
+    needed = F.ceil(F.size(F.split("title", " ")) * (least - 5e-5) - 1e-9)  # similarities are rounded to four digits
+    rare = F.slice("s", F.lit(1), F.greatest(F.lit(1), F.least(F.size("s"), (F.size("s") - needed + 1).cast("int"))))
+
+    def prefix(df: DataFrame, i: str, t: str) -> DataFrame:
+        ordered = token(df).join(count, "token").groupBy("id", "title").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("s"))
+        return ordered.select(F.col("id").alias(i), F.col("title").alias(t), F.explode(rare.getField("token")).alias("token"))
+
+    pairs = prefix(left, "id", "title").join(prefix(right, "other_id", "other_title"), "token").drop("token").distinct()
     return pairs.withColumn("similarity", F.round(token_similarity(F.col("title"), F.col("other_title")), 4)).where(F.col("similarity") >= least).select("id", "other_id", "similarity")
 
 
