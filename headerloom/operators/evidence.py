@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from headerloom.functions import category
 from headerloom.operators.enrich import hour_points, size_points
 
 #: The least score and the most seconds between posts at which a match is applied without a look.
@@ -50,3 +51,15 @@ def weak_page(identities: DataFrame, stats: DataFrame, releases: DataFrame, limi
     free = identities.where(F.col("strength").isin("weak", "provisional")).join(releases.select("binary_id").distinct(), "binary_id", "left_anti")
     page = free.orderBy(F.desc_nulls_last("updated_at"), "binary_id").offset(offset).limit(limit)
     return page.join(stats, "binary_id", "left")
+
+
+def refreshed_categories(releases: DataFrame, matches: DataFrame) -> DataFrame:
+    """release_id, kind and category_id of the releases whose stored category differs once the chosen match's category counts.
+
+    releases: release_id, title, media_type, resolution, category_id (stored); matches: release_id, category. Releases without a match are resolved as they are.
+    """
+    none, zero = F.lit(None).cast("string"), F.lit(0)
+    rows = releases.join(matches.select("release_id", F.col("category").alias("matched")), "release_id", "left").withColumn("text", category.words_of(F.col("title")))
+    rows = rows.withColumn("kind", category.category_kind(F.col("text"), none, F.col("media_type"), F.col("matched"), none, zero, zero))
+    found = rows.withColumn("now", category.category_id(F.col("kind"), F.col("text"), F.col("resolution")))
+    return found.where(~F.col("now").eqNullSafe(F.col("category_id"))).select("release_id", "kind", F.col("now").alias("category_id"))

@@ -36,7 +36,18 @@ def weak_files_page(spark, sf_dir):
     return evidence.weak_page(identities, stats, seen(spark, sf_dir, "orders", ["o_orderkey AS binary_id"], "o_orderkey % 4 = 0"), 40, 20)
 
 
-QUERIES = {f.__name__: f for f in (metadata_fallback, weak_files_page)}
+_TITLED = [
+    "p_partkey AS release_id", "concat(p_name, CASE p_partkey % 6 WHEN 0 THEN ' S01E02 720p' WHEN 1 THEN '.1999.BluRay' WHEN 2 THEN ' xbox' WHEN 3 THEN ' flac' ELSE '' END) AS title", "CASE WHEN p_partkey % 11 = 3 THEN 'movie' END AS media_type", "CASE WHEN p_partkey % 2 = 0 THEN '1080p' ELSE '' END AS resolution",
+    "CASE p_partkey % 3 WHEN 0 THEN 8010 WHEN 1 THEN 5040 END AS category_id",
+]
+_MATCHED = ["p_partkey AS release_id", "CASE p_partkey % 4 WHEN 0 THEN 'TV-X264' WHEN 1 THEN 'Movies-HD' ELSE 'GAMES' END AS category"]
+
+
+def category_refresh(spark, sf_dir):
+    return evidence.refreshed_categories(seen(spark, sf_dir, "part", _TITLED), seen(spark, sf_dir, "part", _MATCHED, "p_partkey % 5 > 0"))
+
+
+QUERIES = {f.__name__: f for f in (metadata_fallback, weak_files_page, category_refresh)}
 
 ORACLE_SQL = {
     "metadata_fallback": f"""WITH {seen_sql("a", "orders", _MINE)}, {seen_sql("b", "orders", _ENTRY)},
@@ -52,6 +63,15 @@ ORACLE_SQL = {
                    + CASE WHEN sec IS NULL THEN 0 WHEN sec <= 86400 THEN 0.22 WHEN sec <= 259200 THEN 0.15 WHEN sec <= 864000 THEN 0.06 ELSE -0.08 END::DOUBLE)), 4) END::DOUBLE AS score FROM j),
         k AS (SELECT *, CAST(row_number() OVER (PARTITION BY release_id ORDER BY score DESC, sec ASC NULLS LAST, title) AS INTEGER) AS rank FROM s WHERE score > 0)
         SELECT release_id, rank, title, score, rank = 1 AND score >= 0.9 AND coalesce(sec <= 1800, false) AS applied FROM k WHERE rank <= 3""",
+    "category_refresh": f"""WITH {seen_sql("r", "part", _TITLED)},
+        k AS (
+          SELECT *, release_id % 6 AS tail, CASE WHEN release_id % 5 > 0 THEN release_id % 4 END AS m FROM r),
+        d AS (
+          SELECT *, CASE WHEN tail = 2 THEN 'console' WHEN tail = 0 THEN 'tv' WHEN media_type = 'movie' THEN 'movie' WHEN m = 0 THEN 'tv' WHEN m = 1 THEN 'movie' WHEN tail = 1 THEN 'movie' WHEN tail = 3 THEN 'audio' ELSE 'misc' END AS kind FROM k),
+        i AS (
+          SELECT release_id, kind, category_id AS stored, CASE kind WHEN 'console' THEN 1040 WHEN 'audio' THEN 3040 WHEN 'misc' THEN 8010 WHEN 'tv' THEN CASE WHEN resolution = '1080p' THEN 5040 ELSE 5050 END
+                   ELSE CASE WHEN resolution = '1080p' THEN 2040 WHEN tail = 1 THEN 2050 ELSE 2020 END END::INTEGER AS category_id FROM d)
+        SELECT release_id, kind, category_id FROM i WHERE category_id IS DISTINCT FROM stored""",
     "weak_files_page": """
         WITH p AS (
           SELECT o_orderkey AS binary_id, CASE WHEN o_custkey % 3 = 0 THEN 'weak' ELSE 'provisional' END AS strength, CASE WHEN o_orderkey % 17 > 0 THEN o_orderdate END AS updated_at FROM orders
