@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from headerloom.llm import additive, bpe, dartminhash, hyperlang, mix, qda, spans, tagpaths, urlfilter, vafile
+from headerloom.llm import additive, bpe, crosstok, dartminhash, hyperlang, mix, partcodes, qda, spans, tagpaths, urlfilter, vafile, warc
 from headerloom.llm.shared import crc32_mod
 from headerloom.sources.tables import table
 
@@ -81,7 +81,62 @@ def op10_sentence_spans(spark, sf_dir):
     return spans.deduplicated(docs, words=spans.SHORT, count_col="removed_sentences")
 
 
-QUERIES = {f.__name__: f for f in (op1_dart_minhash, op2_source_mix, op3_additive_ann, op4_tag_paths, op5_url_filter, op6_hyper_lang, op7_qda_quality, op8_byte_bpe, op9_va_topk, op10_sentence_spans)}
+def op11_part_codes(spark, sf_dir):
+    """Every vector as four codes of codebooks of 256 entries that all rows train."""
+    coded = partcodes.compressed(table(spark, sf_dir, "embeddings"), scale=1024, words=256, rounds=4)
+    return coded.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def op12_warc(spark, sf_dir):
+    """What the records of all pages say, written to archives, normalised and read back."""
+    return warc.page_records(table(spark, sf_dir, "pages"), least=0)
+
+
+def op13_cross_tokens(spark, sf_dir):
+    """How every document's tokens of two vocabularies align."""
+    paths = [public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    return crosstok.aligned_documents(table(spark, sf_dir, "documents"), *paths)
+
+
+QUERIES = {f.__name__: f for f in (op1_dart_minhash, op2_source_mix, op3_additive_ann, op4_tag_paths, op5_url_filter, op6_hyper_lang, op7_qda_quality, op8_byte_bpe, op9_va_topk, op10_sentence_spans, op11_part_codes, op12_warc, op13_cross_tokens)}
+
+
+def _part_codes_sql() -> str:
+    """The four rounds, one after the other."""
+    out = """
+        WITH sound AS MATERIALIZED (
+          SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v,
+                 row_number() OVER () AS r
+          FROM embeddings
+          WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        parts AS MATERIALIZED (
+          SELECT r, vec_id, p, v[p * (len(v) // 4) + 1 : (p + 1) * (len(v) // 4)] AS x FROM sound, range(4) t(p)),
+        book0 AS MATERIALIZED (
+          SELECT p, CAST(row_number() OVER (PARTITION BY p ORDER BY vec_id, r) - 1 AS INTEGER) AS e, x
+          FROM parts WHERE r IN (SELECT r FROM sound WHERE vec_id IS NOT NULL ORDER BY vec_id, r LIMIT 256)),"""
+    step = """
+        near{i} AS MATERIALIZED (
+          SELECT r, p, min(d) AS d, arg_min(e, (d, e)) AS e
+          FROM (SELECT s.r, s.p, b.e, CAST(list_sum(list_transform(list_zip(s.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d
+                FROM parts s JOIN book{i} b ON s.p = b.p) GROUP BY r, p),"""
+    move = """
+        mean{i} AS MATERIALIZED (
+          SELECT p, e, list(CAST(floor(total / n) AS BIGINT) ORDER BY j) AS x
+          FROM (SELECT n.p, n.e, j, sum(s.x[j]) AS total, count(*) AS n
+                FROM near{i} n JOIN parts s ON s.r = n.r AND s.p = n.p, range(1, 17) t(j) GROUP BY n.p, n.e, j) GROUP BY p, e),
+        book{j} AS MATERIALIZED (
+          SELECT b.p, b.e, coalesce(m.x, b.x) AS x FROM book{i} b LEFT JOIN mean{i} m ON m.p = b.p AND m.e = b.e),"""
+    for i in range(4):
+        out += step.format(i=i) + move.format(i=i, j=i + 1)
+    return out + step.format(i=4) + """
+        coded AS (
+          SELECT s.vec_id, s.label, string_agg(printf('%02x', n.e), '' ORDER BY n.p) AS code, CAST(sum(n.d) AS BIGINT) AS error
+          FROM sound s JOIN near4 n ON n.r = s.r GROUP BY s.r, s.vec_id, s.label),
+        books AS (
+          SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) AS digest FROM book4)
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, digest AS codebooks_sha256
+        FROM coded, books"""
+
 
 ORACLE_SQL = {
     "op2_source_mix": r"""
@@ -145,4 +200,18 @@ ORACLE_SQL = {
           SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
           FROM scored)
         SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10""",
+    "op11_part_codes": _part_codes_sql(),
+    "op12_warc": """
+        WITH hashed AS (
+          SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
+        encoded AS (
+          SELECT *, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                   CAST((CAST('0x' || substr(hex, i // 4 * 5 + 1, 5) AS INTEGER) >> (15 - 5 * (i % 4))) & 31 AS INTEGER) + 1, 1)), '') AS payload_digest
+          FROM hashed),
+        placed AS (
+          SELECT *, row_number() OVER same AS place, first_value(page_id) OVER same AS first_id
+          FROM encoded WINDOW same AS (PARTITION BY payload_digest, payload_bytes ORDER BY page_id ASC NULLS LAST))
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN place = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN place > 1 THEN first_id END AS refers_to
+        FROM placed""",
 }
