@@ -1,82 +1,269 @@
-"""Release clustering: files of a family join the best open cluster in posting order."""
+"""Release clustering: files of a family join the best cluster before them in posting order, auxiliary files after all others.
+
+Which cluster a file joins depends on all files before it, so a family is one sequence. It is cut where no choice can cross: a
+file never joins a cluster of another declared total, so a family whose files all declare one is a sequence for each total.
+A sequence is read as a stream, sorted by the shuffle, and held as one summary a cluster: what the rule asks of a cluster
+(dominant poster, first stem and title, taken indexes, sizes, times) is kept up to date as files join, never looked up in their rows.
+"""
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: The least score that joins a cluster, and hours after which a cluster is closed.
-JOIN_AT, OPEN_HOURS = 0.55, 24
-SCHEMA = "family_key long, binary_id long, cluster_id long, score double"
+from headerloom.functions.matching import canonical_key
+from headerloom.functions.text import search_title
 
+# The least score that joins a cluster, and what near times weigh for files and for auxiliary files.
+JOIN_AT = 0.55
+HOURS = (2, 12, 24)
+NEAR, NEAR_AUXILIARY = (0.16, 0.10, 0.05), (0.18, 0.10, 0.05)
+SCHEMA = "known boolean, family_key long, binary_id long, cluster_id long, score double"
+_HOUR = 3_600_000_000
+_FAR = 365 * 24 * _HOUR
+#: Columns of files that may be missing, and what then stands for them.
+DEFAULTS = {"first_article_number": 0, "file_name": "", "family_title": "", "is_auxiliary": False}
 
-def posting_runs(files: DataFrame) -> DataFrame:
-    """The files with ``run``: the first of the consecutive UTC days on which their family posts.
 
-    Clusters close after a day without files, so none reaches over two runs. Days are counted per family
-    first, so the window sees one row a family and day however many files a hot family holds.
-    """
-    days = files.select("family_key", F.to_date("posted_at").alias("day")).distinct()
-    start = F.datediff("day", F.lag("day").over(Window.partitionBy("family_key").orderBy("day"))) > 1
-    runs = days.withColumn("s", F.when(F.coalesce(start, F.lit(True)), F.col("day")))
-    runs = runs.select("family_key", "day", F.last("s", ignorenulls=True).over(Window.partitionBy("family_key").orderBy("day")).alias("run"))
-    return files.withColumn("day", F.to_date("posted_at")).join(runs, ["family_key", "day"]).drop("day")
-
-
-def related(a: str, b: str) -> bool:
-    """Enough common words: 0.6 of the shorter text's."""
-    x, y = set(a.split()), set(b.split())
-    return bool(x and y) and len(x & y) / min(len(x), len(y)) >= 0.6
-
-
-def join_score(row, cluster: dict) -> float:
-    """How well a file fits a cluster; 0 where a file of that index is in it or the declared totals differ."""
-    total, index = row.expected_files or 0, row.file_index or 0
-    if (total and cluster["total"] and total != cluster["total"]) or (total > 1 and index in cluster["indexes"]):
-        return 0.0
-    hours = (row.posted_at - cluster["last"]).total_seconds() / 3600
-    near = 0.16 if hours <= 2 else 0.10 if hours <= 12 else 0.05 if hours <= 24 else 0.0
-    low, high = min(cluster["indexes"]), max(cluster["indexes"])
-    mean = cluster["bytes"] / cluster["n"]
-    return (
-        0.22 + 0.16 * (row.poster == cluster["poster"]) + near + 0.16 * (bool(row.stem) and row.stem == cluster["stem"]) + 0.08 * related(row.title, cluster["title"])
-        + 0.07 * (total > 1 and total == cluster["total"]) + 0.05 * (abs(row.size_bytes - mean) <= 0.15 * max(row.size_bytes, mean)) + 0.12 * (low - 1 <= index <= high + 1) + 0.10 * row.confidence
-    )
+def sequences(files: DataFrame) -> DataFrame:
+    """files with ``unit``: 0, or the declared total where every file of the family declares one."""
+    open_ = files.where("coalesce(expected_files, 0) <= 0").select("family_key").distinct().withColumn("open", F.lit(True))
+    return files.join(open_, "family_key", "left").withColumn("unit", F.when(F.col("open") | F.col("family_key").isNull(), 0).otherwise(F.col("expected_files"))).drop("open")
+
+
+def _related(one: str, other: str) -> bool:
+    return bool(one and other) and (one in other or other in one)
+
+
+def _alike(one: str, other: str) -> bool:
+    """0.6 of the shorter text's words are the other's."""
+    x, y = one.split(), other.split()
+    return bool(x and y) and (one == other or sum(w in y for w in x) / min(len(x), len(y)) >= 0.6)
+
+
+class _Codes:
+    """Numbers of texts, and for a text which numbers' texts it goes with; what was found is kept."""
+
+    def __init__(self, test):
+        self.test, self.texts, self.code, self.known = test, [], {}, {}
+
+    def __getitem__(self, text: str) -> int:
+        if text not in self.code:
+            self.code[text] = len(self.texts)
+            self.texts.append(text)
+        return self.code[text]
+
+    def fits(self, text: str) -> np.ndarray:
+        have = self.known.get(text)
+        if have is None or len(have) < len(self.texts):
+            begin = 0 if have is None else len(have)
+            more = np.fromiter((self.test(text, other) for other in self.texts[begin:]), bool)
+            have = self.known[text] = more if have is None else np.append(have, more)
+        return have
+
+
+class Sequence:
+    """The clusters of one sequence of files."""
+
+    def __init__(self):
+        self.n = 0
+        self.first: list[int] = []
+        self.column = {name: np.zeros(8, np.int64) for name in ("total", "low", "high", "poster", "stem", "title", "last", "other", "companion")}
+        self.stems, self.titles = _Codes(_related), _Codes(_alike)
+        self.counts: list[dict[str, int]] = []
+        self.leading: list[tuple[str, int]] = []
+        self.times: list[list[int]] = []
+        self.sizes: list[list[int]] = []
+        self.names: list[set[str]] = []
+        self.given: list[list[str]] = []  # first stem of a file that is no companion, first stem of any, first title
+        self.taken: dict[int, list[int]] = defaultdict(list)
+        self.posters: dict[str, int] = {}
+
+    def _poster(self, poster: str) -> int:
+        return self.posters.setdefault(poster.lower(), len(self.posters) + 1) if poster else 0
+
+    def _size_fits(self, c: int, size: int) -> bool:
+        sizes = self.sizes[c]
+        if size <= 0 or not sizes:
+            return False
+        at = bisect_left(sizes, size)
+        return any(abs(x - size) / max(x, size) <= 0.15 for x in sizes[max(at - 1, 0) : at + 1])
+
+    def _complements(self, row, c: int) -> bool:
+        kind = row.name_kind
+        if kind == "repair":
+            return bool(self.column["other"][c])
+        if kind == "info":
+            return any(_related(row.stem, other) for other in self.names[c])
+        return bool(self.column["companion"][c])
+
+    def _near(self, row, weights) -> np.ndarray:
+        """What the time to each cluster's nearest file weighs."""
+        if not row.dated:
+            return np.zeros(self.n)
+        gap = np.abs(self.column["last"][: self.n] - row.posted)
+        if row.is_auxiliary:  # files lie on both sides of it
+            for c in range(self.n):
+                at = bisect_left(self.times[c], row.posted)
+                gap[c] = min((abs(t - row.posted) for t in self.times[c][max(at - 1, 0) : at + 1]), default=_FAR)
+        else:
+            gap[np.array([not t for t in self.times], bool)] = _FAR
+        return np.select([gap <= h * _HOUR for h in HOURS], weights, 0.0)
+
+    def best(self, row) -> tuple[float, int]:
+        """(score, place) of the best cluster, the earliest of equal ones; (0, -1) if none fits at all."""
+        n, total, index = self.n, max(row.expected_files, 0), row.file_index
+        if not n:
+            return 0.0, -1
+        have = {name: column[:n] for name, column in self.column.items()}
+        fits = (have["total"] == 0) | (have["total"] == total) if total else np.ones(n, bool)
+        poster = self._poster(row.poster)
+        same = (have["poster"] == poster) & (poster > 0)
+        stem = self.stems.fits(row.stem)[have["stem"]]
+        near = self._near(row, NEAR_AUXILIARY if row.is_auxiliary else NEAR)
+        trust = min(max(row.confidence, 0.0), 1.0)
+        if row.is_auxiliary:
+            rough = 0.10 + 0.38 * stem + 0.18 * same + near + 0.10 + trust * 0.06
+        else:
+            layout = np.maximum(have["total"], total) > 1
+            if index > 0:
+                taken = np.array(self.taken.get(index, ()), np.int64)
+                fits[taken[layout[taken]]] = False
+            title = self.titles.fits(row.title)[have["title"]]
+            low, high = have["low"], have["high"]
+            inside = layout & (index > 0) & (low > 0) & ((index == low - 1) | (index == high + 1) | ((low < index) & (index < high)))
+            rough = 0.22 + 0.16 * same + near + 0.16 * stem + 0.08 * title + 0.12 + 0.12 * inside + trust * 0.10
+        some = np.flatnonzero(fits)
+        if not len(some):
+            return 0.0, -1
+        slack = 0.10 if row.is_auxiliary else 0.12
+        some = some[rough[some] >= rough[some].max() - slack - 1e-9]
+        score, place = 0.0, -1
+        for c in some.tolist():  # in the rule's order of sums, so that equal evidence is equal
+            if row.is_auxiliary:
+                x = 0.10
+                if stem[c]:
+                    x += 0.38
+                if same[c]:
+                    x += 0.18
+                x += near[c]
+                if self._complements(row, c):
+                    x += 0.10
+                x += trust * 0.06
+            else:
+                x = 0.22
+                if same[c]:
+                    x += 0.16
+                x += near[c]
+                if stem[c]:
+                    x += 0.16
+                if title[c]:
+                    x += 0.08
+                if self._complements(row, c):
+                    x += 0.07
+                if self._size_fits(c, row.size_bytes):
+                    x += 0.05
+                if inside[c]:
+                    x += 0.12
+                x += trust * 0.10
+            x = min(x, 1.0)
+            if x > score:
+                score, place = float(x), c
+        return score, place
+
+    def add(self, row, c: int) -> int:
+        """Puts a file into cluster c, or a new one if c is -1, and returns the cluster's first file."""
+        column = self.column
+        if c < 0:
+            c, self.n = self.n, self.n + 1
+            if self.n > len(column["total"]):
+                for name in column:
+                    column[name] = np.append(column[name], np.zeros(self.n, np.int64))
+            self.first.append(row.binary_id)
+            self.counts.append({})
+            self.leading.append(("", 0))
+            self.times.append([])
+            self.sizes.append([])
+            self.names.append(set())
+            self.given.append(["", "", ""])
+        if row.expected_files > 0:
+            column["total"][c] = row.expected_files
+        index = row.file_index
+        if index > 0:
+            self.taken[index].append(c)
+            column["low"][c] = min(column["low"][c] or index, index)
+            column["high"][c] = max(column["high"][c], index)
+        if row.poster:
+            count = self.counts[c][row.poster] = self.counts[c].get(row.poster, 0) + 1
+            if count > self.leading[c][1]:
+                self.leading[c] = row.poster, count
+                column["poster"][c] = self._poster(row.poster)
+        if row.dated:
+            insort(self.times[c], row.posted)
+            column["last"][c] = self.times[c][-1]
+        if row.size_bytes > 0:
+            insort(self.sizes[c], row.size_bytes)
+        column["other"][c] |= row.name_kind != "repair"
+        column["companion"][c] |= row.name_kind in ("repair", "info", "archive")
+        self.names[c].add(row.stem)
+        given = self.given[c]
+        if not row.is_companion:
+            given[0] = given[0] or row.stem
+        given[1] = given[1] or row.stem
+        given[2] = given[2] or row.own_title
+        stem = given[0] or given[1]
+        column["stem"][c] = self.stems[stem]
+        column["title"][c] = self.titles[row.family_title or given[2] or stem]
+        return self.first[c]
 
 
 def _assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    group, open_ = None, []
+    group, held = None, Sequence()
     for batch in batches:
         out = []
         for row in batch.itertuples(index=False):
-            if group != (row.family_key, row.run):
-                group, open_ = (row.family_key, row.run), []
-            open_ = [c for c in open_ if (row.posted_at - c["last"]).total_seconds() <= OPEN_HOURS * 3600]
-            scored = [(join_score(row, c), -c["id"], c) for c in open_]
-            score, _, best = max(scored, key=lambda s: s[:2], default=(0.0, 0, None))
-            if best is None or score < JOIN_AT - 1e-9:
-                score, best = 1.0, {"id": row.binary_id, "poster": row.poster, "stem": row.stem, "title": row.title, "total": row.expected_files or 0, "indexes": set(), "bytes": 0, "n": 0}
-                open_.append(best)
-            best["indexes"].add(row.file_index or 0)
-            best["bytes"] += row.size_bytes
-            best["n"] += 1
-            best["last"] = row.posted_at
-            out.append((row.family_key, row.binary_id, best["id"], round(score, 4)))
-        yield pd.DataFrame(out, columns=["family_key", "binary_id", "cluster_id", "score"])
+            if group != (row.known, row.family_key, row.unit):
+                group, held = (row.known, row.family_key, row.unit), Sequence()
+            score, c = held.best(row)
+            if score < JOIN_AT:
+                score, c = 1.0, -1
+            out.append((row.known, row.family_key, row.binary_id, held.add(row, c), round(score, 4)))
+        yield pd.DataFrame(out, columns=["known", "family_key", "binary_id", "cluster_id", "score"])
 
 
 def release_clusters(files: DataFrame) -> DataFrame:
-    """family_key, binary_id, cluster_id (its first binary_id), score of every file with a posting time.
+    """family_key, binary_id, cluster_id (its first binary_id), score (1 of a first file) of every file.
 
-    files: family_key, binary_id, posted_at, poster, stem, title, file_index, expected_files, size_bytes,
-    confidence; blank texts and zeros stand for nulls. Rows arrive sorted and are read as a stream, so a
-    task holds only the clusters of the last day. Ties go to the older cluster.
+    files: family_key, binary_id, posted_at, poster, stem, title, file_index, expected_files, size_bytes, confidence, and if there
+    first_article_number, file_name, family_title (the family's own title), is_auxiliary. Files come by posting time (null
+    is 1970), first article and id; auxiliary files come after all others. Blank texts and zeros stand for nulls; a null family is one family; of equal scores the older cluster wins.
+    A file without a stem has its name's. Sums are compared as they come, without rounding. A sequence (see above) is one task's work, in memory of some numbers a file.
     """
-    rows = posting_runs(files.where("posted_at is not null")).select(
-        "family_key", "run", F.col("posted_at"), "binary_id", *[F.coalesce(c, F.lit("")).alias(c) for c in ("poster", "stem", "title")],
-        *[F.coalesce(c, F.lit(0)).alias(c) for c in ("file_index", "expected_files", "size_bytes")], F.coalesce("confidence", F.lit(0.0)).alias("confidence"),
+    for name, value in DEFAULTS.items():
+        if name not in files.columns:
+            files = files.withColumn(name, F.lit(value))
+    text = lambda c: F.trim(F.coalesce(F.col(c), F.lit("")))
+    whole = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
+    name = F.lower(text("file_name"))
+    kind = (
+        F.when(name.rlike(r"\.par2$|\.vol"), "repair").when(name.endswith(".nfo"), "info")
+        .when(name.rlike(r"\.(rar|zip|7z|(7z|zip)\.\d{3}|r\d{2,3})$"), "archive").otherwise("")
+    )
+    stem = search_title(F.when(text("stem") != "", text("stem")).otherwise(canonical_key(text("file_name"))))
+    rows = sequences(files.withColumn("expected_files", whole("expected_files"))).select(
+        F.col("family_key").isNotNull().alias("known"), whole("family_key").alias("family_key"), "unit", "binary_id",
+        F.col("posted_at").isNotNull().alias("dated"), F.coalesce(F.unix_micros(F.col("posted_at").cast("timestamp")), F.lit(0)).alias("posted"), whole("first_article_number").alias("article"),
+        F.coalesce("is_auxiliary", F.lit(False)).alias("is_auxiliary"), text("poster").alias("poster"), stem.alias("stem"), kind.alias("name_kind"),
+        name.rlike(r"\.(par2|nzb|nfo|sfv|srr)$|\.vol").alias("is_companion"), search_title(text("title")).alias("own_title"), search_title(text("family_title")).alias("family_title"),
+        whole("file_index").alias("file_index"), "expected_files", whole("size_bytes").alias("size_bytes"), F.coalesce("confidence", F.lit(0.0)).cast("double").alias("confidence"),
     )
-    return rows.repartition("family_key", "run").sortWithinPartitions("family_key", "run", "posted_at", "binary_id").mapInPandas(_assign, SCHEMA)
+    titled = F.when(F.col("own_title") != "", F.col("own_title")).when(F.col("family_title") != "", F.col("family_title")).otherwise(F.col("stem"))
+    order = ("known", "family_key", "unit", "is_auxiliary", "posted", "article", "binary_id")
+    found = rows.withColumn("title", titled).repartition("family_key", "unit").sortWithinPartitions(*order).mapInPandas(_assign, SCHEMA)
+    return found.select(F.when(F.col("known"), F.col("family_key")).alias("family_key"), "binary_id", "cluster_id", "score")

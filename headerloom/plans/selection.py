@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from headerloom.functions import category, matching
 from headerloom.functions.text import counters
-from headerloom.operators import clusters, regroup
+from headerloom.operators import regroup
 from headerloom.plans.views import FILES, SUBJECTS, files, subjects
 from headerloom.sources.folders import shared_path
 from headerloom.sources.tables import table
@@ -117,15 +117,6 @@ def category_resolver(spark, sf_dir):
     return rows.select("p_partkey", "kind", category.category_id(F.col("kind"), F.col("text"), F.col("resolution")).alias("category_id"))
 
 
-def release_clusters(spark, sf_dir):
-    o = table(spark, sf_dir, "orders")
-    rows = o.select(
-        (F.col("o_custkey") % 40).alias("family_key"), F.col("o_orderkey").alias("binary_id"), "o_orderdate", F.col("o_orderpriority").alias("poster"), F.col("o_orderstatus").alias("stem"),
-        F.lower("o_orderpriority").alias("title"), (F.col("o_orderkey") % 7).alias("file_index"), (F.col("o_custkey") % 3).alias("expected_files"), F.floor("o_totalprice").cast("long").alias("size_bytes"), F.lit(0.9).alias("confidence"),
-    )
-    return clusters.release_clusters(rows.withColumnRenamed("o_orderdate", "posted_at"))
-
-
 def stream_observation_stats(spark, sf_dir):
     """Daily counts and whole values by event type, kept by a stream over the table and read back."""
     # A pattern, since a stream takes a plain path for a folder and the table may be one file.
@@ -141,7 +132,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         header_dedupe_resolve, priority_binaries, regroup_groups, regrouped_parts, superseded_edges, archive_recovery, reform_candidates, candidate_binaries_union, superseded_anti,
-        lateral_top1, lateral_agg, canonical_key, match_result, category_resolver, release_clusters, stream_observation_stats,
+        lateral_top1, lateral_agg, canonical_key, match_result, category_resolver, stream_observation_stats,
     )
 }
 

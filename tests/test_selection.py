@@ -27,22 +27,17 @@ def test_same_index_and_other_totals_are_kept_apart(spark):
     assert clustered(spark, [file(1, 0, index=1, expected=3), file(2, 1, index=1, expected=3), file(3, 1, index=2, expected=4)]) == {1: 1, 2: 2, 3: 3}
 
 
-def test_a_day_without_files_closes_clusters(spark):
-    assert clustered(spark, [file(1, 0), file(2, 25), file(3, 23), file(4, 100)]) == {1: 1, 3: 1, 2: 1, 4: 4}
+def test_clusters_stay_open_for_good(spark):
+    assert clustered(spark, [file(1, 0), file(2, 25), file(3, 23), file(4, 100)]) == {1: 1, 3: 1, 2: 1, 4: 1}
 
 
 def test_families_nulls_and_empty_tables(spark):
     assert clustered(spark, []) == {}
-    assert clustered(spark, [(1, 9, None, None, None, None, None, None, None, None)]) == {}
+    assert clustered(spark, [(1, 9, None, None, None, None, None, None, None, None)]) == {9: 9}
     nulls = (1, 5, AT, None, None, None, None, None, None, None)
     assert clustered(spark, [nulls, file(6, 0, family=2), file(7, 0, family=3)]) == {5: 5, 6: 6, 7: 7}
 
 
-def test_runs_of_days(spark):
-    rows = spark.createDataFrame([file(1, 0), file(2, 30), file(3, 80)], FILES)
-    assert {r.binary_id: str(r.run) for r in clusters.posting_runs(rows).collect()} == {1: "2024-01-01", 2: "2024-01-01", 3: "2024-01-04"}
-
-
 def test_regroup_keeps_the_largest_copy(spark):
     parts = spark.createDataFrame([("k", 1, 1, 10, 5), ("k", 2, 1, 20, 6), ("k", 2, 2, 7, 7), ("one", 3, 1, 1, 1), (None, 4, 1, 1, 1)], "group_key string, binary_id long, part_number int, segment_bytes long, article_id long")
     assert sorted((r.target_binary_id, r.part_number, r.segment_bytes, r.source_binary_id, r.copies) for r in regroup.regrouped_parts(parts).collect()) == [(1, 1, 20, 2, 2), (1, 2, 7, 2, 1)]
