@@ -21,14 +21,14 @@ def blanked_keys(identities: DataFrame) -> DataFrame:
     return identities.withColumns({c: F.when(weak, "").otherwise(F.col(c)) for c in ("family_key", "file_set_key", "base_stem")})
 
 
-def assembled(headers: DataFrame) -> tuple[DataFrame, DataFrame]:
+def assembled(headers: DataFrame, identity: tuple[str, ...] = ("file_name", "kind")) -> tuple[DataFrame, DataFrame]:
     """(files, parts) of matched headers: one file per (group_id, binary_key) with the identity of its surest header, and its parts.
 
-    headers: header_id, group_id, binary_key, confidence, file_name, kind, part_number, total_parts, bytes. A file's id is a hash of its key.
+    headers: header_id, group_id, binary_key, confidence, file_name, part_number, total_parts, bytes and the columns of ``identity``. A file's id is a hash of its key.
     """
     keyed = headers.where("trim(binary_key) <> ''").withColumn("binary_id", F.xxhash64("group_id", "binary_key"))
     order = F.struct("confidence", (-F.col("header_id")).alias("h"), "file_name")
-    files = keyed.groupBy("binary_id", "group_id", "binary_key").agg(F.max_by(F.struct("confidence", "file_name", "kind"), order).alias("w"), F.max("total_parts").alias("total_parts"), F.count("*").alias("headers"))
+    files = keyed.groupBy("binary_id", "group_id", "binary_key").agg(F.max_by(F.struct("confidence", *identity), order).alias("w"), F.max("total_parts").alias("total_parts"), F.count("*").alias("headers"))
     return files.select("binary_id", "group_id", "binary_key", "w.*", "total_parts", "headers"), keyed.select("binary_id", "header_id", "part_number", "bytes")
 
 
