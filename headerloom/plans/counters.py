@@ -59,8 +59,8 @@ def release_files_by_id(spark, sf_dir):
 
 def binary_details(spark, sf_dir):
     """Suppliers in full: a JSON object with their parts and nation."""
-    s = seen(spark, sf_dir, "supplier", ["s_suppkey AS id", "s_name AS name", "s_nationkey AS nation"], "s_suppkey % 5 = 1")
-    lines = seen(spark, sf_dir, "lineitem", ["l_suppkey AS id", "l_linenumber AS n", "l_returnflag AS flag"], "l_linenumber < 3").distinct()
+    s = seen(spark, sf_dir, "supplier", ["s_suppkey AS id", "s_name AS name", "s_nationkey AS nation"])
+    lines = seen(spark, sf_dir, "lineitem", ["l_suppkey AS id", "l_linenumber AS n", "l_returnflag AS flag"]).distinct()
     found = admin.details(s, "id", lines=lines)
     return found.select("id", F.get_json_object("detail", "$.name").alias("name"), F.get_json_object("detail", "$.lines[0].flag").alias("first"), F.coalesce(F.json_array_length(F.get_json_object("detail", "$.lines")), F.lit(0)).alias("lines"))
 
@@ -160,8 +160,8 @@ ORACLE_SQL = {
     "release_files_by_id": """
         SELECT l_orderkey AS release_id, l_linenumber AS file_index, l_partkey AS binary_id, p_name AS file_name, p_size AS observed_parts FROM lineitem LEFT JOIN part ON p_partkey = l_partkey WHERE l_orderkey IN (1, 7, 33)""",
     "binary_details": """
-        WITH l AS (SELECT DISTINCT l_suppkey AS id, l_linenumber AS n, l_returnflag AS flag FROM lineitem WHERE l_linenumber < 3)
-        SELECT s_suppkey AS id, s_name AS name, min(flag) FILTER (n = (SELECT min(n) FROM l k WHERE k.id = s_suppkey)) AS "first", CAST(count(n) AS INTEGER) AS lines FROM supplier LEFT JOIN l ON l.id = s_suppkey WHERE s_suppkey % 5 = 1 GROUP BY 1, 2""",
+        WITH l AS (SELECT DISTINCT l_suppkey AS id, l_linenumber AS n, l_returnflag AS flag FROM lineitem)
+        SELECT s_suppkey AS id, s_name AS name, min(flag) FILTER (n = (SELECT min(n) FROM l k WHERE k.id = s_suppkey)) AS "first", CAST(count(n) AS INTEGER) AS lines FROM supplier LEFT JOIN l ON l.id = s_suppkey GROUP BY 1, 2""",
     "popular_groups": """
         WITH c AS (SELECT CAST(user_id % 200 AS VARCHAR) AS group_name, count(*) AS articles, count(DISTINCT event_type) AS posters FROM events GROUP BY 1)
         SELECT *, CAST(row_number() OVER (ORDER BY articles DESC, posters DESC, group_name) AS INTEGER) AS place FROM c QUALIFY place <= 25""",

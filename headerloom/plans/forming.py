@@ -114,7 +114,7 @@ def replaced_children(spark, sf_dir):
     """Matches of orders: those of the orders that were matched again are the new ones, even if there are none."""
     match = ["l_orderkey AS release_id", "l_partkey AS match_id", "l_returnflag AS chosen"]
     parents = seen(spark, sf_dir, "orders", ["o_orderkey AS release_id"], "o_custkey % 3 = 0")
-    out = merge.replace_children(seen(spark, sf_dir, "lineitem", match, "l_linenumber < 3"), seen(spark, sf_dir, "lineitem", match, "l_linenumber > 4"), parents, "release_id")
+    out = merge.replace_children(seen(spark, sf_dir, "lineitem", match, "l_linenumber <= 3"), seen(spark, sf_dir, "lineitem", match, "l_linenumber > 3"), parents, "release_id")
     return out.groupBy("chosen").agg(F.count("*").alias("n"), F.sum("release_id").alias("releases"), F.sum("match_id").alias("matches"))
 
 
@@ -248,7 +248,7 @@ ORACLE_SQL = {
                CASE o_custkey % 4 WHEN 0 THEN 'done' WHEN 1 THEN 'cooldown' ELSE 'active' END AS status FROM orders GROUP BY o_custkey""",
     "replaced_children": """
         SELECT l_returnflag AS chosen, count(*) AS n, CAST(sum(l_orderkey) AS BIGINT) AS releases, CAST(sum(l_partkey) AS BIGINT) AS matches FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey AND o_custkey % 3 = 0
-        WHERE o_orderkey IS NULL AND l_linenumber < 3 OR o_orderkey IS NOT NULL AND l_linenumber > 4 GROUP BY 1""",
+        WHERE o_orderkey IS NULL AND l_linenumber <= 3 OR o_orderkey IS NOT NULL AND l_linenumber > 3 GROUP BY 1""",
     "standalone_buckets": """
         WITH f AS (SELECT o_orderkey AS family_key, o_custkey % 5 AS kind, o_orderkey % 3 AS n, o_custkey % 2 AS main, o_orderkey % 4 - 1 AS expected, o_custkey % 5 <> 0 AND o_custkey % 20 >= 17 AND o_orderkey % 5 IN (0, 1) AND o_custkey % 3 <> 0 AS alone FROM orders)
         SELECT family_key, CASE WHEN n = 0 THEN 'stale_cleanup_only' WHEN n = 1 AND main = 1 AND expected <= 0 AND NOT alone THEN 'weak_single_binary' WHEN main = 0 THEN 'fragment_only' WHEN kind IN (1, 2) THEN 'weak_obfuscated_set' ELSE 'actionable' END AS bucket FROM f""",

@@ -57,8 +57,8 @@ def feed_releases(spark, sf_dir):
         F.lit("</link>"), F.when(F.col("p_partkey") % 4 == 0, F.concat(F.lit("<size>"), F.col("p_size").cast("string"), F.lit("</size>"))).otherwise(""), F.lit("<category>a</category><category>b</category>"),
         F.when(F.col("p_partkey") % 5 > 1, F.concat(F.lit('<newznab:attr name="category" value="5040"/><newznab:attr name="size" value="'), (F.col("p_size") * 7).cast("string"), F.lit('"/>'))).otherwise(""), F.lit('<enclosure url="http://n/'), F.col("p_partkey").cast("string"), F.lit('" length="'), (F.col("p_size") * 11).cast("string"), F.lit('"/></item>'),
     )
-    rows = seen(spark, sf_dir, "part", ["*"]).withColumn("item", F.replace(item, F.lit("newznab:"), F.lit("")))
-    feeds = rows.groupBy("p_brand", (F.col("p_partkey") % 50).alias("page")).agg(F.concat(F.lit("<rss><channel><title>t</title>"), F.array_join(F.collect_list("item"), ""), F.lit("</channel></rss>")).alias("feed"))
+    rows = seen(spark, sf_dir, "part", ["*"]).withColumn("item", item)
+    feeds = rows.groupBy("p_brand", (F.col("p_partkey") % 50).alias("page")).agg(F.concat(F.lit('<rss version="2.0" xmlns:newznab="http://www.newznab.com/DTD/2010/feeds/attributes/"><channel><title>t</title>'), F.array_join(F.collect_list("item"), ""), F.lit("</channel></rss>")).alias("feed"))
     return documents.feed_releases(feeds.drop("page")).select(F.col("p_brand").alias("brand"), "guid", "title", "link", "size", "category")
 
 

@@ -33,7 +33,7 @@ def priority_binaries(spark, sf_dir):
 
 
 def _fragments(spark, sf_dir):
-    l = table(spark, sf_dir, "lineitem").where("l_returnflag <> 'N'")
+    l = table(spark, sf_dir, "lineitem")
     key = F.concat_ws("/", F.col("l_suppkey").cast("string"), F.date_format("l_shipdate", "yyyyMM"))
     return l.select(key.alias("group_key"), F.col("l_orderkey").alias("binary_id"), F.col("l_linenumber").alias("part_number"), F.floor("l_extendedprice").cast("long").alias("segment_bytes"), F.col("l_partkey").alias("article_id"))
 
@@ -61,7 +61,7 @@ def reform_candidates(spark, sf_dir):
 
 def candidate_binaries_union(spark, sf_dir):
     f = files(spark, sf_dir)
-    by_family, by_set = f.where("family_key % 10 = 1"), f.where("file_index = 3 and is_complete")
+    by_family, by_set = f.where("is_main"), f.where("file_index = 3 and is_complete")
     return by_family.select("binary_id", "family_key").union(by_set.select("binary_id", "family_key")).distinct()
 
 
@@ -139,7 +139,7 @@ QUERIES = {
 _FRAGMENTS = """parts AS (
   SELECT concat_ws('/', l_suppkey, strftime(l_shipdate, '%Y%m')) AS group_key, l_orderkey AS binary_id, l_linenumber AS part_number,
          CAST(floor(l_extendedprice) AS BIGINT) AS segment_bytes, l_partkey AS article_id
-  FROM lineitem WHERE l_returnflag <> 'N'),
+  FROM lineitem),
 targets AS (
   SELECT group_key, min(binary_id) AS target_binary_id FROM parts GROUP BY group_key
   HAVING count(DISTINCT binary_id) > 1 AND count(DISTINCT part_number) > 1)"""
@@ -196,7 +196,7 @@ ORACLE_SQL = {
         SELECT c_custkey AS family_key, c_custkey % 15 AS release_files, payload_files, expected FROM customer JOIN payload ON c_custkey = family_key
         WHERE c_custkey % 3 <> 0 AND (payload_files > c_custkey % 15 OR expected > c_custkey % 15 AND payload_files >= expected)""",
     "candidate_binaries_union": f"""WITH {FILES}
-        SELECT binary_id, family_key FROM files WHERE family_key % 10 = 1 UNION SELECT binary_id, family_key FROM files WHERE file_index = 3 AND is_complete""",
+        SELECT binary_id, family_key FROM files WHERE is_main UNION SELECT binary_id, family_key FROM files WHERE file_index = 3 AND is_complete""",
     "superseded_anti": "SELECT c_custkey, c_mktsegment FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')",
     "lateral_top1": """
         SELECT c_custkey, last_order FROM customer

@@ -56,9 +56,12 @@ def nzb_segments(documents: DataFrame, text: str = "nzb") -> DataFrame:
 
 
 def feed_releases(feeds: DataFrame, text: str = "feed") -> DataFrame:
-    """The other columns of feeds with guid, title, link, published, size, category of every item; the size is the item's, else the attribute's, else the enclosure's."""
+    """The other columns of feeds with guid, title, link, published, size, category of every item; the size is the item's, else the attribute's, else the enclosure's.
+
+    Attributes may stand in a namespace (``newznab:attr``) or in none.
+    """
     rest = [c for c in feeds.columns if c != text]
-    items = feeds.select(*rest, F.explode(F.from_xml(F.col(text), FEED)["channel"]["item"]).alias("i"))
+    items = feeds.select(*rest, F.explode(F.from_xml(F.col(text), FEED, {"ignoreNamespace": "true"})["channel"]["item"]).alias("i"))
     attr = lambda name: F.get(F.filter("i.attr", lambda a: a["_name"] == name), F.lit(0))["_value"]
     size = F.coalesce(F.nullif("i.size", F.lit(0).cast("long")), F.nullif(attr("size").cast("long"), F.lit(0).cast("long")), F.col("i.enclosure._length"), F.lit(0))
     return items.select(*rest, F.coalesce(F.nullif("i.guid", F.lit("")), F.col("i.link")).alias("guid"), F.trim("i.title").alias("title"), F.coalesce("i.enclosure._url", "i.link").alias("link"), F.col("i.pubDate").alias("published"), size.alias("size"), F.coalesce(attr("category"), F.get("i.category", F.lit(0))).alias("category"))
