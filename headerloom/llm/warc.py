@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import json
 import re
 import uuid
@@ -71,22 +72,28 @@ def fields_of(head: bytes) -> dict[bytes, bytes]:
 
 def inflated(chunks: Iterator[bytes]) -> Iterator[bytes]:
     """The bytes of a gzip file of one or more members, or of a plain one, in pieces of bounded size."""
-    stream, first = None, True
-    for chunk in chunks:
-        if first:
-            first, plain = False, chunk[:2] != b"\x1f\x8b"
-        if plain:
-            yield chunk
-            continue
+    chunks = iter(chunks)
+    first = b""
+    while len(first) < 2 and (chunk := next(chunks, None)) is not None:
+        first += chunk
+    if first[:2] != b"\x1f\x8b":
+        yield first
+        yield from chunks
+        return
+    stream = None
+    for chunk in itertools.chain([first], chunks):
         while chunk:
             if stream is None:
+                chunk = chunk.lstrip(b"\0")  # padding between members
+                if not chunk:
+                    break
                 stream = zlib.decompressobj(GZIP)
             piece = stream.decompress(chunk, CHUNK)
             if piece:
                 yield piece
             chunk = stream.unconsumed_tail
             if stream.eof:
-                chunk, stream = stream.unused_data.lstrip(b"\0"), None
+                chunk, stream = stream.unused_data, None
     if stream is not None:
         piece = stream.flush()
         if piece:
