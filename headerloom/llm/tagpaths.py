@@ -1,13 +1,14 @@
 """Main text of HTML pages by tag-path ratios (Wu, Li, Hu and Wang, 2013).
 
 A page is cut into blocks of text, each with its path from the root: block-level tags with their class
-or id. Text in markup that never holds an article's text (scripts, forms, navigation, hidden elements)
-is no block. For every path of a page, characters and punctuation marks a block are taken, and their
+or id. For every path of a page, characters and punctuation marks a block are taken, and their
 square roots multiplied. This ratio is smoothed over neighbouring blocks of one box (div, section, cell ...; in an
-article or main element only div), and fused with the ratio of the whole box, with the path's share of link
-text, and with what the markup says of it: article and main elements count more, elements that class, id or tag name
-as something else (advert, footer, sidebar, comments ...) count next to nothing. Paths whose fused ratio is at least a
-share of the page's highest are content, whatever element they lie in. A page with such other text only has none.
+article or main element only div), and fused with the ratio of the whole box (a heading's with that of the best box in its own), with the path's share of link
+text, and with the weight of the box: at each level the root of its share of the text of the largest box beside it.
+Paths whose fused ratio is at least a share of the page's highest are content, whatever element they lie in. What HTML's own elements say
+(article and main; footer, aside, and header outside of these) shifts a ratio by a factor of at most 2 between them: it settles near ties and nothing else.
+Names of classes and ids tell paths apart and are never read. Only markup that holds no text of a page (head, scripts, navigation, controls of
+forms, hidden elements) is no block.
 """
 
 from __future__ import annotations
@@ -23,19 +24,18 @@ from pyspark.sql import functions as F
 from headerloom.llm.shared import steps
 
 #: A path is content if its fused ratio is at least this share of the page's highest.
-THRESHOLD = 0.2
+THRESHOLD = 0.45
 #: Neighbours' weights in smoothing, and the share of the box's ratio in the fused one.
 SMOOTH, BOX = (0.25, 0.5, 0.25), 0.5
-#: What the markup multiplies ratios by: in an article or main element, in a box named as content, outside of both
-#: if the page has either with text, and in what is named as no content.
-ARTICLE, NAMED, OUTSIDE, OTHER = 4.0, 2.0, 0.04, 0.002
+#: What a ratio is multiplied by in an article or main element, elsewhere, and in a footer, aside or outer header: no more than 2 apart.
+ARTICLE, OTHER = 2**0.5, 0.5**0.5
 #: What is left of a ratio whose text is all links.
 LINKED = 0.05
 
 # Tags of HTML by their part in a page.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark meter output q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-_NEVER = frozenset("head nav form noscript template button select option object iframe svg canvas dialog menu audio video map".split())
+_NEVER = frozenset("head nav noscript template button select option object iframe svg canvas dialog menu audio video map".split())
 _OTHER = frozenset(("footer", "aside"))
 _BOXES = frozenset("html body div section article main aside footer td th figure details fieldset blockquote center".split())
 _CONTENT = frozenset(("article", "main"))
@@ -43,58 +43,33 @@ _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 _CLOSED_BY_SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _SCOPES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
-# Words of class, id and role attributes that name what is no content, or content.
-_BAD_WORDS = frozenset(
-    "ad ads adbox adslot advert adverts advertisement advertising banner breadcrumb breadcrumbs byline-share comment comments commentlist consent cookie cookies dialog disclaimer disqus footer gdpr header "
-    "login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup privacy promo promoted promotion recommended related replies reply respond search share sharing "
-    "sidebar signup social sponsor sponsored subscribe subscription tags toolbar topbar widget widgets complementary contentinfo".split()
-)
-_GOOD_WORDS = frozenset("article articlebody body content entry main page post story text".split())
-_UNDECIDED = frozenset(("with", "has", "no", "without"))
-
 _TOKEN = re.compile(
     r"<!--(?:.*?-->|.*)|<(script|style|title|textarea|xmp|noembed)\b[^>]*>(?:.*?</\1\s*>|.*)|<(/?)([a-zA-Z][^\s/>]*+)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>|<[/!?][^>]*>|<[a-zA-Z][^>]*>?|([^<]+|<)",
     re.S | re.I,
 )
-_ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop|style|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
-_WORD = re.compile(r"[a-z]+")
+_ATTRIBUTE = re.compile(r"\b(class|id|style|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 _MARK = re.compile(r"[.,;:!?。，！？；、…]")
 
 
-def _named(value: str, inside: bool) -> int:
-    """-1 for a class, id or role that names no content, 1 for content, else 0. ``inside``: within a content element."""
-    for one in value.lower().split():
-        words = _WORD.findall(one)
-        if not words or _UNDECIDED.intersection(words):
-            continue
-        if words[-1] in _BAD_WORDS or words[0] in _BAD_WORDS:
-            if inside and "header" in (words[0], words[-1]):
-                continue
-            return -1
-    return int(any(w in _GOOD_WORDS for w in _WORD.findall(value.lower())))
-
-
-def _attributes(text: str, inside: bool) -> tuple[str, int, bool]:
-    """(label of the class or id, standing as of _named, whether hidden)."""
-    label, standing = "", 0
+def _attributes(text: str) -> tuple[str, bool]:
+    """(class or id without digits, whether hidden)."""
+    label = ""
     for name, value in _ATTRIBUTE.findall(text):
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return label, standing, True
-        if name in ("class", "id", "role", "itemprop"):
+            return label, True
+        if name in ("class", "id"):
             label = label or re.sub(r"\d+", "", value)
-            now = _named(value, inside)
-            standing = now if now < 0 or standing < 0 else max(standing, now)
-    return label, standing, False
+    return label, False
 
 
-def blocks_of(page: str) -> tuple[list[tuple[str, int, int]], list[tuple[int, int, bool]]]:
+def blocks_of(page: str) -> tuple[list[tuple[str, int, int]], list[tuple[int, int, bool, int]]]:
     """(blocks, paths) of a page.
 
-    A block is (text, path, characters of links). A path is (standing, path of its box, whether a heading): the
-    standing is 2 in an article or main element, 1 in a box named as content, -1 in what is named as no content, else 0.
+    A block is (text, path, characters of links). A path is (standing, path of its box, whether a heading, path around it): the
+    standing is 1 in an article or main element, -1 in a footer, aside or outer header, else 0.
     """
-    paths, number = [(0, 0, False)], {}
+    paths, number = [(0, 0, False, 0)], {}
     # Open elements: tag, path, never text, in a link.
     stack = [("", 0, False, False)]
     held = {}  # open elements by tag
@@ -157,24 +132,18 @@ def blocks_of(page: str) -> tuple[list[tuple[str, int, int]], list[tuple[int, in
             if n and stack[n][0] in _CLOSED_BY_SAME[tag]:
                 pop_to(n)
         _, path, never, link = stack[-1]
-        standing, box, _ = paths[path]
-        label, own, hidden = _attributes(m.group(4), standing == 2) if m.group(4) else ("", 0, False)
+        standing, box, _, _ = paths[path]
+        label, hidden = _attributes(m.group(4)) if m.group(4) else ("", False)
         never = never or tag in _NEVER or hidden and tag not in ("html", "body")
-        if own < 0:
-            if tag in ("article", "main"):
-                own = -1 if re.search(r"comment|repl(y|ies)|promo|related|sponsor|\bad", label, re.I) else 0
-            elif tag in ("html", "body") or tag in _HEADINGS:
-                own = 0
-        if tag in _OTHER or tag == "header" and standing < 2:
-            own = -1
-        if tag not in _INLINE or own < 0:
+        if tag not in _INLINE:
             key = (path, tag, label)
             if key not in number:
                 number[key] = len(paths)
-                standing = -1 if standing < 0 or own < 0 else 2 if tag in _CONTENT else max(standing, own)
-                paths.append((standing, len(paths) if tag in _BOXES and (tag == "div" or paths[path][0] < 2 or standing < 0) else box, tag in _HEADINGS))
-            if tag in _INLINE:
-                flush()
+                if tag in _OTHER or tag == "header" and standing < 1:
+                    standing = -1
+                elif tag in _CONTENT and standing == 0:
+                    standing = 1
+                paths.append((standing, len(paths) if tag in _BOXES and (tag == "div" or paths[path][0] < 1) else box, tag in _HEADINGS, path))
             path = number[key]
         stack.append((tag, path, never, link or tag == "a"))
         held[tag] = held.get(tag, 0) + 1
@@ -199,6 +168,12 @@ def ratios(blocks, paths) -> np.ndarray:
         return np.sqrt(np.bincount(of, size, n) / count) * (1 + np.sqrt(np.bincount(of, marks, n) / count))
 
     own, whole = ratio(path, k), ratio(box[path], k, size - link)
+    under = whole.copy()  # a heading goes with the best box that its own box holds
+    for p in range(k - 1, 0, -1):
+        if box[p] == p:
+            around = box[paths[p][3]]
+            under[around] = max(under[around], under[p])
+    whole = np.where(heading, under[box], whole[box])
     linked = np.bincount(path, link, k) / np.maximum(np.bincount(path, size, k), 1)
     plain = np.where(heading, 1.0, np.maximum(1 - linked, LINKED))  # a heading may well be a link
     # Smoothing over neighbours in page order, as far as they lie in the same box; at its ends a block stands for the missing one.
@@ -208,14 +183,32 @@ def ratios(blocks, paths) -> np.ndarray:
     before[1:][same], after[:-1][same] = row[:-1][same], row[1:][same]
     smooth = SMOOTH[0] * before + SMOOTH[1] * row + SMOOTH[2] * after
     n = np.bincount(path, minlength=k)
-    fused = (1 - BOX) * np.bincount(path, smooth, k) / np.maximum(n, 1) + BOX * whole[box]
-    outside = OUTSIDE if (standing[path] == 2).any() else 1.0
-    return fused * plain * np.array([outside, outside * NAMED, ARTICLE, OTHER])[standing] * (n > 0)
+    fused = (1 - BOX) * np.bincount(path, smooth, k) / np.maximum(n, 1) + BOX * whole
+    return fused * plain * weights(paths, np.bincount(path, size - link, k)) * np.array([1.0, ARTICLE, OTHER])[standing] * (n > 0)
+
+
+def weights(paths, size: np.ndarray) -> np.ndarray:
+    """The weight of each path's box by the text in it: the product of the roots of its share at each level; boxes within an article or main element have that one's."""
+    total = size.astype(float)
+    for p in range(len(paths) - 1, 0, -1):  # a path comes after the one around it
+        total[paths[p][3]] += total[p]
+    most = {}
+    for p, (_, box, _, around) in enumerate(paths):
+        if p and box == p:
+            beside = paths[around][1]
+            most[beside] = max(most.get(beside, 0.0), total[p])
+    out = np.ones(len(paths))
+    for p, (standing, box, _, around) in enumerate(paths):
+        if p:
+            out[p] = out[around]
+            if box == p and not (standing == 1 and paths[around][0] == 1):
+                out[p] *= (total[p] / max(most[paths[around][1]], 1.0)) ** 0.5
+    return out
 
 
 def chosen(blocks, paths, threshold: float = THRESHOLD) -> list[str]:
     """The texts of the blocks whose paths are content, in page order."""
-    if all(paths[b[1]][0] < 0 for b in blocks):
+    if not blocks:
         return []
     fused = ratios(blocks, paths)
     return [b[0] for b in blocks if fused[b[1]] >= threshold * fused.max()]
