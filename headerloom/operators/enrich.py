@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from headerloom.functions.text import micros
+from headerloom.sources.folders import written
+
+#: The steps of size_points() whose points outweigh any nearness in time within ten days.
+SIZE_STEPS = (0.08, 0.15, 0.25)
 
 
 def payload_size(files: DataFrame) -> DataFrame:
@@ -28,21 +34,56 @@ def hour_points(hours: Column) -> Column:
     return F.when(hours <= 24, 0.22).when(hours <= 72, 0.15).when(hours <= 240, 0.06).otherwise(-0.08)
 
 
+def counts_at(times: DataFrame, bounds: DataFrame) -> DataFrame:
+    """at, before, upto: for each time ``at`` of bounds, once, how many rows of times are earlier, and how many are not later.
+
+    Prefix sums over different times: within each hour, and over the hours, of which the calendar bounds the number.
+    """
+    points = times.groupBy("at").agg(F.count("*").alias("n")).unionByName(bounds.select("at", F.lit(0).cast("long").alias("n"))).groupBy("at").agg(F.sum("n").alias("n"), F.min("n").alias("asked"))
+    points = written(points.withColumn("hour", F.date_trunc("HOUR", "at")))
+    hours = points.groupBy("hour").agg(F.sum("n").alias("m"))
+    hours = hours.select("hour", (F.sum("m").over(Window.orderBy("hour").rowsBetween(Window.unboundedPreceding, 0)) - F.col("m")).alias("hours_before"))
+    upto = F.sum("n").over(Window.partitionBy("hour").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
+    rows = points.withColumn("upto", upto).join(hours, "hour").where("asked = 0")
+    return rows.select("at", (F.col("hours_before") + F.col("upto") - F.col("n")).alias("before"), (F.col("hours_before") + F.col("upto")).alias("upto"))
+
+
 def window_match(releases: DataFrame, entries: DataFrame, before_days: int = 10, after_days: int = 3) -> DataFrame:
-    """The best entry of each release posted from ``before_days`` before to ``after_days`` after it, by size and time.
+    """The best entry of each release posted from ``before_days`` before to ``after_days`` after it, by size and time, and how many there are.
 
-    releases: release_id, posted_at, size_bytes; entries: entry_id, posted_at, size_bytes. Entries meet
-    releases by day, so the range join is an equi-join on (day) with a residual; ties go to the smaller entry_id.
+    releases: release_id, posted_at, size_bytes; entries: entry_id, posted_at, size_bytes. Ties go to the smaller entry_id; releases without an entry in their window are left out.
+    A nearer size outweighs any nearness in time, so releases first meet the entries of about their size only: by day and by the logarithm
+    of the size, in steps as wide as the best size points reach. Those that find none go on to the next points; what is left meets all entries of its days.
+    Equal times and sizes meet once, whatever their number. Counts are differences of prefix sums, without pairs.
     """
-    r = releases.withColumn("day", F.explode(F.sequence(F.date_sub(F.to_date("posted_at"), before_days), F.date_add(F.to_date("posted_at"), after_days))))
-    e = entries.select("entry_id", F.col("posted_at").alias("entry_at"), F.col("size_bytes").alias("entry_bytes"), F.to_date("posted_at").alias("day"))
+    low, high = F.expr(f"posted_at - interval {before_days} days"), F.expr(f"posted_at + interval {after_days} days")
+    asked = written(releases.where("posted_at is not null").select("release_id", "posted_at", "size_bytes", low.alias("low"), high.alias("high")))
+    at = entries.where("posted_at is not null").select(F.col("posted_at").alias("at"))
+    counts = written(counts_at(at, asked.select(F.col("low").alias("at")).unionByName(asked.select(F.col("high").alias("at"))).distinct()))
+    asked = asked.join(counts.select(F.col("at").alias("low"), "before"), "low").join(counts.select(F.col("at").alias("high"), "upto"), "high").withColumn("candidates", F.col("upto") - F.col("before")).where("candidates > 0")
+    asked = written(asked.select("release_id", "posted_at", "size_bytes", "candidates"))
+    known = written(entries.where("posted_at is not null").groupBy(F.col("posted_at").alias("entry_at"), F.col("size_bytes").alias("entry_bytes")).agg(F.min("entry_id").alias("entry_id")))
+
     delta = micros(F.col("entry_at")) - micros(F.col("posted_at"))
     day = 86_400_000_000
-    both = r.join(e, "day").where((delta >= -before_days * day) & (delta <= after_days * day))
     ratio = F.abs(F.col("entry_bytes") - F.col("size_bytes")) / F.greatest(F.col("entry_bytes"), F.col("size_bytes"), F.lit(1.0))
-    score = F.round(size_points(ratio) + hour_points(F.abs(delta) / 3_600_000_000), 2)
-    scored = both.select("release_id", "entry_id", score.alias("score"))
-    return scored.groupBy("release_id").agg(F.max_by(F.struct("entry_id", "score"), F.struct("score", -F.col("entry_id"))).alias("w"), F.count("*").alias("candidates")).select("release_id", "w.*", "candidates")
+    score = F.round(F.coalesce(size_points(ratio), F.lit(0.0)) + hour_points(F.abs(delta) / 3_600_000_000), 2)
+    days = F.explode(F.sequence(F.date_sub(F.to_date("posted_at"), before_days), F.date_add(F.to_date("posted_at"), after_days)))
+    left, found = asked.select("posted_at", "size_bytes").distinct(), None
+    for most in (*(SIZE_STEPS if max(before_days, after_days) <= 10 else ()), None):
+        step = lambda c: F.floor(F.log(F.greatest(F.col(c).cast("double"), F.lit(1.0))) / -math.log(1 - most - 1e-9)) if most else F.lit(0)  # noqa: B023, E731
+        near = left.withColumn("day", days).withColumn("step", F.explode(F.array(*[step("size_bytes") + i for i in ((-1, 0, 1) if most else (0,))])))
+        both = near.join(known.withColumns({"day": F.to_date("entry_at"), "step": step("entry_bytes")}), ["day", "step"]).where((delta >= -before_days * day) & (delta <= after_days * day))
+        if most:
+            both = both.where(ratio <= most)
+        best = both.select("posted_at", "size_bytes", "entry_id", score.alias("score")).groupBy("posted_at", "size_bytes").agg(F.max_by(F.struct("entry_id", "score"), F.struct("score", -F.col("entry_id"))).alias("w"))
+        best = written(best)
+        found = best if found is None else found.unionByName(best)
+        same = [left[c].eqNullSafe(best[c]) for c in ("posted_at", "size_bytes")]
+        left = written(left.join(best, same[0] & same[1], "left_anti")) if most else left
+    asked, found = asked.alias("a"), found.alias("f")
+    same = F.col("a.posted_at").eqNullSafe(F.col("f.posted_at")) & F.col("a.size_bytes").eqNullSafe(F.col("f.size_bytes"))
+    return asked.join(found, same).select("release_id", "f.w.*", "candidates")
 
 
 def token_similarity(a: Column, b: Column) -> Column:

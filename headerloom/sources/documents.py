@@ -45,6 +45,33 @@ def nzb_documents(segments: DataFrame, titles: DataFrame | None = None) -> DataF
     return whole.select("release_id", F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?><nzb xmlns="http://www.newzbin.com/DTD/2003/nzb">'), meta, F.col("files"), F.lit("</nzb>")).alias("nzb"))
 
 
+def release_documents(releases: DataFrame, files: DataFrame, articles: DataFrame, groups: DataFrame) -> DataFrame:
+    """release_id, nzb: the document of each release that has a newsgroup and a file with segments, files by file_id.
+
+    releases: release_id, title, poster, published_epoch; files: release_id, file_id, subject, file_name, poster, posted_epoch, group_name;
+    articles: file_id, part_number, bytes, message_id, posted_at, article_number, article_id; groups: release_id, group_name.
+    A part's segment is its earliest article, then that of the smallest number, then id; one without a message id is left out. A file without a subject
+    has its name, then the release's title; without a poster the release's, then ``unknown``; without a time the release's; without a group of its own all
+    of the release's, sorted. Articles are put together by file before files are by release, so only a file's own segments meet in one row first.
+    """
+    blank = lambda c: F.nullif(F.trim(F.col(c)), F.lit(""))
+    first = F.struct("posted_at", "article_number", "article_id", "message_id", "bytes")
+    parts = articles.groupBy("file_id", "part_number").agg(F.min(first).alias("s")).withColumn("id", F.trim("s.message_id")).where("id <> ''")
+    line = F.concat(F.lit('<segment bytes="'), F.coalesce(F.col("s.bytes"), F.lit(0)).cast("string"), F.lit('" number="'), F.col("part_number").cast("string"), F.lit('">'), escaped(F.col("id")), F.lit("</segment>"))
+    segments = parts.groupBy("file_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("part_number", line.alias("line")))).getField("line"), "").alias("segments"))
+    named = groups.select("release_id", F.trim("group_name").alias("name")).where("name <> ''").groupBy("release_id").agg(F.array_sort(F.collect_set("name")).alias("all_groups"))
+    about = releases.select("release_id", F.col("title").alias("r_title"), F.col("poster").alias("r_poster"), "published_epoch").join(named, "release_id")
+    rows = files.join(segments, "file_id").join(about, "release_id")
+    own = blank("group_name")
+    of_file = F.transform(F.when(own.isNotNull(), F.array(own)).otherwise(F.col("all_groups")), lambda g: F.concat(F.lit("<group>"), escaped(g), F.lit("</group>")))
+    file = F.concat(
+        F.lit('<file poster="'), escaped(F.coalesce(blank("poster"), F.nullif("r_poster", F.lit("")), F.lit("unknown"))), F.lit('" date="'), F.coalesce("posted_epoch", "published_epoch", F.lit(0)).cast("string"),
+        F.lit('" subject="'), escaped(F.coalesce(blank("subject"), blank("file_name"), F.col("r_title"))), F.lit('"><groups>'), F.array_join(of_file, ""), F.lit("</groups><segments>"), F.col("segments"), F.lit("</segments></file>"),
+    )
+    whole = rows.groupBy("release_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("file_id", file.alias("file")))).getField("file"), "").alias("files"))
+    return whole.select("release_id", F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?><nzb xmlns="http://www.newzbin.com/DTD/2003/nzb">'), "files", F.lit("</nzb>")).alias("nzb"))
+
+
 def nzb_segments(documents: DataFrame, text: str = "nzb") -> DataFrame:
     """The other columns of documents with title, subject, poster, posted_epoch, groups, number, bytes, message_id of every segment; files without segments have none."""
     rest = [c for c in documents.columns if c != text]
