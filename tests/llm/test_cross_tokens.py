@@ -25,11 +25,11 @@ def pair():
 def by_walk(pair, texts):
     counts, found = collections.Counter(), []
     for text in texts:
-        whole = pair.encode([" " + text])[0] if text else None
+        whole = pair.encode(" " + text) if text else None
         if whole is None:
             found.append(None)
             continue
-        a, b = whole
+        a, b = (x.tolist() for x in whole)
         i = j = at_a = at_b = 0
         links, groups, own = [], [], ([], [])
         while i < len(a) and j < len(b):
