@@ -1,20 +1,27 @@
 """Cross-tokenizer alignment: which tokens of two vocabularies stand for the same bytes, and how often.
 
-Texts are encoded once and their ids written. An alignment is arithmetic on arrays: the cumulative sums of token lengths are the ends,
-np.intersect1d of both gives the common cuts, np.searchsorted labels tokens with their groups and finds the tokens that
-overlap, and np.repeat expands them into links. Links of an id pair are counted in each task, added up under a salt and
-then without it. Counts come back to the documents in two ways: the commonest pairs, of a bounded number, as a
-broadcast; all others by a join on the pair.
+A text is cut into chunks at spaces between two characters that are no white space: both tokenizers encode a chunk as they would in the whole
+text, so both have a token that ends there. A worker encodes and aligns each chunk that it does not remember once. An alignment is
+arithmetic on arrays of many chunks at a time: the cumulative sums of token lengths are the ends, np.intersect1d of both gives the common cuts,
+np.searchsorted labels tokens with their groups and finds the tokens that overlap, and np.repeat expands them into links. Links of an id pair are counted in each task,
+added up under a salt and then without it. A task writes its documents as the numbers of their chunks with the pairs of each, so that texts
+are encoded once. Counts come back to the documents in two ways: the commonest pairs, of a
+bounded number, as a broadcast; all others by a join on the pair.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
+import json
 import os
+import re
 from functools import cache
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,8 +29,11 @@ from headerloom.llm.shared import STEP_BYTES, steps, written
 
 #: A pair with more than one COMMON-th of all links is common: there are fewer than COMMON of them, whatever the data.
 COMMON = 1 << 20
-#: Tokens of one vectorised step; distinct pairs that a task holds; parts that a pair's counts are first added up in.
-TOKENS, HELD, SALTS = 1 << 16, 1 << 20, 16
+#: Chunks and characters that a worker remembers; distinct pairs that a task holds; parts that a pair's counts are first added up in.
+CHUNKS, CHARACTERS, HELD, SALTS = 1 << 16, 1 << 22, 1 << 19, 16
+#: Characters of a chunk from which on the tokenizer whose work does not grow with the square of a word is taken.
+LONG = 256
+_CUT = re.compile(r"(?<=\S)(?= \S)")
 
 
 @cache
@@ -34,56 +44,175 @@ def _bytes_by_character() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+def _fast(said: dict):
+    """A quicker tokenizer of the same file, or None: byte-level pieces of the usual pattern whose merges are made in the order of their ids are what ranks stand for."""
+    known, model, pieces = _bytes_by_character(), said["model"], said.get("pre_tokenizer") or {}
+    plain = pieces.get("type") == "ByteLevel" and pieces.get("use_regex", True) and not pieces.get("add_prefix_space") and model["type"] == "BPE" and said.get("normalizer") is None
+    if not plain or model.get("ignore_merges") or model.get("dropout"):
+        return None
+    made = [model["vocab"]["".join(pair) if isinstance(pair, list) else pair.replace(" ", "")] for pair in model["merges"]]
+    special = {x["id"] for x in said.get("added_tokens") or ()}
+    ranks = {bytes(known[c] for c in token): i for token, i in model["vocab"].items() if i not in special}
+    if any(b <= a for a, b in zip(made, made[1:])) or sum(len(token) == 1 for token in ranks) < 256:
+        return None
+    return tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 class Pair:
     """The two tokenizers of a worker, with the bytes of their tokens."""
 
     def __init__(self, byte_level: bytes, pieces: bytes):
         import sentencepiece
-        from tokenizers import Tokenizer
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        self.a = Tokenizer.from_str(byte_level.decode())
-        self.a.encode_special_tokens = True
+        self.file, said = byte_level, json.loads(byte_level)
+        self.fast, self.slow = _fast(said), None
         self.b = sentencepiece.SentencePieceProcessor(model_proto=pieces)
         known = _bytes_by_character()
-        self.bytes_a = [bytes(known[c] for c in self.a.id_to_token(i) or "" if c in known) for i in range(self.a.get_vocab_size())]
+        tokens = {i: token for token, i in said["model"]["vocab"].items()} | {x["id"]: "" for x in said.get("added_tokens") or ()}
+        self.bytes_a = [bytes(known[c] for c in tokens.get(i, "")) for i in range(max(tokens) + 1)]
         self.bytes_b = []
         for i in range(self.b.get_piece_size()):
             piece = self.b.id_to_piece(i)
             self.bytes_b.append(bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode())
-        self.encode_a = getattr(self.a, "encode_batch_fast", self.a.encode_batch)
 
-    def encode(self, pieces: list[str]) -> list[tuple[list[int], list[int]] | None]:
-        """The ids of each piece (which begins with a space) in both, or None where the ids' bytes are not the piece's."""
-        first = [x.ids for x in self.encode_a(pieces, add_special_tokens=False)]
-        second = self.b.encode([p[1:] for p in pieces], num_threads=1)
-        out = []
-        for piece, a, b in zip(pieces, first, second):
-            raw = piece.encode()
-            same = b"".join(map(self.bytes_a.__getitem__, a)) == raw and b"".join(map(self.bytes_b.__getitem__, b)) == raw
-            out.append((a, b) if same else None)
-        return out
+    def _slow(self):
+        if self.slow is None:
+            from tokenizers import Tokenizer
 
-    def sizes(self) -> tuple[np.ndarray, np.ndarray]:
-        return np.array([len(x) for x in self.bytes_a], np.int64), np.array([len(x) for x in self.bytes_b], np.int64)
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+            self.slow = Tokenizer.from_str(self.file.decode())
+            self.slow.encode_special_tokens = True
+        return self.slow
 
+    def encode(self, text: str, long: bool = True) -> tuple[np.ndarray, np.ndarray] | None:
+        """The ids of a text that begins with a space in both, or None where the ids' bytes are not the text's. ``long``: whether it may hold a long word."""
+        a = self._slow().encode(text, add_special_tokens=False).ids if long or self.fast is None else self.fast.encode_ordinary(text)
+        b = self.b.encode(text[1:])
+        raw = text.encode()
+        same = b"".join(map(self.bytes_a.__getitem__, a)) == raw and b"".join(map(self.bytes_b.__getitem__, b)) == raw
+        return (np.array(a, np.int64), np.array(b, np.int64)) if same else None
 
-_pairs: dict[str, Pair] = {}
+
+def aligned(size_a: np.ndarray, size_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(cuts, groups of a's tokens, of b's, token of a and token of b of each link) of two tokenizations of the same bytes, by their tokens' lengths."""
+    end_a, end_b = np.cumsum(size_a), np.cumsum(size_b)
+    cuts = np.intersect1d(end_a, end_b, assume_unique=True)
+    first = np.searchsorted(end_b, end_a - size_a, "right")
+    count = np.searchsorted(end_b - size_b, end_a, "left") - first
+    link_a = np.repeat(np.arange(len(end_a)), count)
+    link_b = np.arange(len(link_a)) - np.repeat(np.cumsum(count) - count - first, count)
+    return cuts, np.searchsorted(cuts, end_a), np.searchsorted(cuts, end_b), link_a, link_b
 
 
-def _pair(name: str, files) -> Pair:
-    if name not in _pairs:
-        _pairs.clear()
-        _pairs[name] = Pair(*files.value)
-    return _pairs[name]
+class Chunks:
+    """What a worker remembers of chunks: numbers of tokens, groups and links, the links' pairs, and the groups as text."""
+
+    def __init__(self, pair: Pair, keeps_ids: bool = False):
+        self.keeps_ids = keeps_ids
+        self.pair, self.wide = pair, len(pair.bytes_b)
+        self.sizes = [np.array([len(x) for x in side], np.int64) for side in (pair.bytes_a, pair.bytes_b)]
+        self.most = max(len(side) for side in self.sizes)
+        self.marked = [f"{i}{mark}" for mark in (",", "|", ";", "") for i in range(self.most)]
+        self._reset()
+
+    def forget(self) -> None:
+        """Forgets all chunks if they are too many."""
+        if len(self.code) > CHUNKS or self.characters > CHARACTERS:
+            self._reset()
+
+    def _reset(self) -> None:
+        self.code: dict[str, int] = {}
+        self.characters, self.texts = 0, []
+        #: ids in a and in b, and where a chunk's begin
+        self.ids = ([], [0]), ([], [0])
+        #: sound (1 or 0), tokens of a, of b, groups, links of each chunk; pairs of the links, and where a chunk's begin
+        self.numbers = np.zeros((5, 1 << 10), np.int64)
+        self.pairs, self.begin = [], [np.zeros(1, np.int64)]
+
+    def codes(self, chunks: list[str]) -> np.ndarray:
+        """The number of each chunk; new ones are encoded and aligned together."""
+        new = [chunk for chunk in dict.fromkeys(chunks) if chunk not in self.code]
+        for at in range(0, len(new), 1 << 12):
+            self._learn(new[at : at + (1 << 12)])
+        return np.fromiter(map(self.code.__getitem__, chunks), np.int64, len(chunks))
+
+    def _encoded(self, chunks: list[str]):
+        """(sound, tokens of a, of b) of each chunk and the ids in both, from one text of all of them; by halves where that can't be given back."""
+        found = self.pair.encode("".join(chunks), max(map(len, chunks)) > LONG)
+        if found is not None:
+            ends, sizes = np.cumsum([len(c) if c.isascii() else len(c.encode()) for c in chunks]), []
+            for ids, size in zip(found, self.sizes):
+                end = np.cumsum(size[ids])
+                upto = np.searchsorted(end, ends, "right")
+                if not (upto > 0).all() or not (end[upto - 1] == ends).all():
+                    break
+                sizes.append(np.diff(upto, prepend=0))
+            else:
+                return np.ones(len(chunks), np.int64), *sizes, *found
+        if len(chunks) == 1:
+            none = np.zeros(1, np.int64)
+            return none, none, none, none[:0], none[:0]
+        half = len(chunks) // 2
+        return tuple(np.concatenate(x) for x in zip(self._encoded(chunks[:half]), self._encoded(chunks[half:])))
+
+    def _learn(self, new: list[str]) -> None:
+        # Chunks of one space in front and none inside the ends may follow each other in one text.
+        plain = [c for c in new if len(c) > 1 and not c[1].isspace() and not c[-1].isspace()]
+        others = [c for c in new if not (len(c) > 1 and not c[1].isspace() and not c[-1].isspace())]
+        parts = ([self._encoded(plain)] if plain else []) + [self._encoded([c]) for c in others]
+        good, n_a, n_b, a, b = (np.concatenate(x) for x in zip(*parts))
+        new = plain + others
+        first = len(self.code)
+        self.code.update(zip(new, range(first, first + len(new))))
+        self.characters += sum(map(len, new))
+        for held, n, ids in zip(self.ids, (n_a, n_b), (a, b)) if self.keeps_ids else ():
+            held[0].append(ids)
+            held[1].extend((held[1][-1] + np.cumsum(n)).tolist())
+        while first + len(new) > self.numbers.shape[1]:
+            self.numbers = np.concatenate([self.numbers, np.zeros_like(self.numbers)], axis=1)
+        sound = np.flatnonzero(good)
+        texts, found, own = [""] * len(new), np.zeros((5, len(new)), np.int64), np.zeros(len(new), np.int64)
+        if len(sound):
+            n_a, n_b = n_a[sound], n_b[sound]
+            _, group_a, group_b, of_a, of_b = aligned(self.sizes[0][a], self.sizes[1][b])
+            links = np.bincount(np.repeat(np.arange(len(sound)), n_a)[of_a], minlength=len(sound))
+            # A chunk ends a group, so the group of its last token tells how many there are.
+            found[:, sound] = [np.ones(len(sound), np.int64), n_a, n_b, np.diff(group_a[np.cumsum(n_a) - 1] + 1, prepend=0), links]
+            own[sound] = links
+            self.pairs.append(a[of_a] * self.wide + b[of_b])
+            # In the order of groups, a's ids first; 0 to 3: what stands behind an id.
+            behind_a = np.where(np.append(group_a[1:], -1) != group_a, 1, 0)
+            behind_b = np.where(np.append(group_b[1:], -1) != group_b, 2, 0)
+            behind_b[np.cumsum(n_b) - 1] = 3
+            code = np.empty(len(a) + len(b), np.int64)
+            code[np.arange(len(a)) + np.searchsorted(group_b, group_a, "left")] = a + behind_a * self.most
+            code[np.arange(len(b)) + np.searchsorted(group_a, group_b, "right")] = b + behind_b * self.most
+            words, begin = list(map(self.marked.__getitem__, code.tolist())), 0
+            for i, end in zip(sound.tolist(), np.cumsum(n_a + n_b).tolist()):
+                texts[i], begin = "".join(words[begin:end]), end
+        self.numbers[:, first : first + len(new)] = found
+        self.texts += texts
+        self.begin.append(self.begin[-1][-1] + np.cumsum(own))
+
+    def links(self) -> tuple[np.ndarray, np.ndarray]:
+        """(pairs of all links of all chunks, in order; where a chunk's begin)."""
+        self.pairs = [np.concatenate(self.pairs)] if self.pairs else [np.zeros(0, np.int64)]
+        self.begin = [np.concatenate(self.begin)]
+        return self.pairs[0], self.begin[0]
+
+
+_chunks: dict[str, Chunks] = {}
+
+
+def _remembered(name: str, files, keeps_ids: bool = False) -> Chunks:
+    if name not in _chunks or keeps_ids > _chunks[name].keeps_ids:
+        _chunks.clear()
+        _chunks[name] = Chunks(Pair(*files.value), keeps_ids)
+    return _chunks[name]
 
 
 def pieces_of(text: str, every: int = STEP_BYTES) -> list[str]:
-    """Space+text in pieces of about ``every`` characters that both tokenizers encode by themselves as they would in the whole.
-
-    A piece begins at a space between two characters that are no white space: there a pre-token begins, and no piece of the
-    other vocabulary holds a space behind anything else. A text without such places is one piece.
-    """
+    """Space+text in pieces of about ``every`` characters that begin at a space between two characters that are no white space; a text without such places is one piece."""
     text = " " + text
     out, begin = [], 0
     while len(text) - begin > 2 * every:
@@ -97,118 +226,153 @@ def pieces_of(text: str, every: int = STEP_BYTES) -> list[str]:
     return [*out, text[begin:]]
 
 
-def token_ids(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """row, doc_id, a, b (ids of a text in both, little-endian), cut_a, cut_b (tokens of each of its pieces) of every row of docs.
+def _shared(spark, path_a: str, path_b: str):
+    """A name of the two files and a broadcast of them (a few MB, whatever the data)."""
+    with open(path_a, "rb") as one, open(path_b, "rb") as two:
+        files = one.read(), two.read()
+    return hashlib.sha256(files[0] + b"\0" + files[1]).hexdigest(), spark.sparkContext.broadcast(files)
 
-    path_a: a byte-level tokenizer's JSON; path_b: a piece model; files on the driver. A text that is null, empty, or that either can't give back has no tokens.
-    """
-    name, files, kinds = _shared(docs.sparkSession, path_a, path_b)
-    number = F.monotonically_increasing_id().alias("row")
-    names = ["row", "doc_id", "a", "b", "cut_a", "cut_b"]
 
-    def run(batches):
-        pair = _pair(name, files)
-        for part in steps(batches):
-            texts = part.column("text").to_pylist()
-            pieces, owner = [], []
-            for i, text in enumerate(texts):
-                for piece in pieces_of(text) if text else ():
-                    pieces.append(piece)
-                    owner.append(i)
-            found = [[] for _ in texts]
-            for at in range(0, len(pieces), 256):
-                for i, ids in zip(owner[at : at + 256], pair.encode(pieces[at : at + 256])):
-                    found[i].append(ids and (np.array(ids[0], kinds[0]), np.array(ids[1], kinds[1])))
-            found = [[] if any(p is None for p in ids) else ids for ids in found]
-            out = [pa.array([b"".join(p[side].tobytes() for p in ids) for ids in found], pa.binary()) for side in (0, 1)]
-            cuts = [pa.array([[len(p[side]) for p in ids] for ids in found], pa.list_(pa.int32())) for side in (0, 1)]
-            yield pa.RecordBatch.from_arrays([part.column("row"), part.column("doc_id"), *out, *cuts], names)
-
-    plain = docs.select(number, F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return written(plain.mapInArrow(run, "row long, doc_id long, a binary, b binary, cut_a array<int>, cut_b array<int>"))
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
-def _shared(spark, path_a: str, path_b: str):
-    """A name of the two files, a broadcast of them (a few MB, whatever the data), and the integers that hold their ids."""
-    with open(path_a, "rb") as one, open(path_b, "rb") as two:
-        files = one.read(), two.read()
-    pair = Pair(*files)
-    kinds = tuple("<u2" if len(x) <= 1 << 16 else "<u4" for x in (pair.bytes_a, pair.bytes_b))
-    return hashlib.sha256(files[0] + files[1]).hexdigest(), spark.sparkContext.broadcast(files), kinds
+def _short(texts: list, memory: Chunks) -> list[tuple[int, np.ndarray]]:
+    """(row, codes of its chunks) of the short texts that both tokenizers give back, in order."""
+    memory.forget()
+    plain = [i for i, text in enumerate(texts) if text and len(text) <= 2 * STEP_BYTES]
+    chunks = [_CUT.split(" " + texts[i]) for i in plain]
+    codes = memory.codes([chunk for part in chunks for chunk in part])
+    ends = np.cumsum([len(part) for part in chunks])
+    return [(i, part) for i, part in zip(plain, np.split(codes, ends[:-1]) if len(ends) else ()) if memory.numbers[0, part].all()]
 
 
-def aligned(size_a: np.ndarray, size_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(cuts, groups of a's tokens, of b's, token of a and token of b of each link) of two tokenizations of the same bytes, by their tokens' lengths."""
-    end_a, end_b = np.cumsum(size_a), np.cumsum(size_b)
-    cuts = np.intersect1d(end_a, end_b, assume_unique=True)
-    first = np.searchsorted(end_b, end_a - size_a, "right")
-    count = np.searchsorted(end_b - size_b, end_a, "left") - first
-    link_a = np.repeat(np.arange(len(end_a)), count)
-    link_b = np.arange(len(link_a)) - np.repeat(np.cumsum(count) - count - first, count)
-    return cuts, np.searchsorted(cuts, end_a), np.searchsorted(cuts, end_b), link_a, link_b
+def _long(texts: list, memory: Chunks):
+    """(row, codes of a piece's chunks, whether it is the last) of the long texts that both tokenizers give back, piece by piece; codes hold until the next is asked for."""
+    for i, text in enumerate(texts):
+        if text and len(text) > 2 * STEP_BYTES:
+            pieces = pieces_of(text)
+            # First whether the whole can be given back: what can't has no tokens at all.
+            for piece in pieces:
+                memory.forget()
+                if not memory.numbers[0, memory.codes(_CUT.split(piece))].all():
+                    break
+            else:
+                for n, piece in enumerate(pieces, 1):
+                    memory.forget()
+                    yield i, memory.codes(_CUT.split(piece)), n == len(pieces)
 
 
-def _stepped(batch, kinds):
-    """(rows, token counts of each piece in both, last piece of its row or not, ids in both) of about TOKENS tokens at a time, in order."""
-    held, size = [], 0
-    for r in range(batch.num_rows):
-        cuts = [np.array(batch.column(c)[r].values, np.int64) for c in ("cut_a", "cut_b")]
-        ids = [np.frombuffer(batch.column(c)[r].as_buffer(), kind) for c, kind in zip("ab", kinds)]
-        ends = [np.append(0, np.cumsum(x)) for x in cuts]
-        for i in range(len(cuts[0])):
-            held.append((r, cuts[0][i], cuts[1][i], i + 1 == len(cuts[0]), ids[0][ends[0][i] : ends[0][i + 1]], ids[1][ends[1][i] : ends[1][i + 1]]))
-            size += cuts[0][i]
-            if size >= TOKENS:
-                yield _joined(held)
-                held, size = [], 0
-    if held:
-        yield _joined(held)
+def token_ids(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, ids_a, ids_b (arrays of int) of every row of docs.
 
+    path_a: a byte-level tokenizer's JSON; path_b: a piece model; files on the driver. A text that is null, empty, or that either can't give back has no tokens.
+    """
+    name, files = _shared(docs.sparkSession, path_a, path_b)
 
-def _joined(held):
-    rows, n_a, n_b, last, a, b = zip(*held)
-    return np.array(rows), np.array(n_a), np.array(n_b), np.array(last), np.concatenate(a).astype(np.int64), np.concatenate(b).astype(np.int64)
+    def run(batches):
+        memory = _remembered(name, files, True)
+        for part in steps(batches):
+            found = [([], []) for _ in range(part.num_rows)]
+            texts = part.column("text").to_pylist()
+            for i, codes, *_ in itertools.chain(_short(texts, memory), _long(texts, memory)):
+                for side, (ids, begin) in enumerate(memory.ids):
+                    ids[:] = [np.concatenate(ids)]
+                    found[i][side].extend(ids[0][begin[code] : begin[code + 1]] for code in codes.tolist())
+            lists = [pa.array([np.concatenate(own[side]) if own[side] else [] for own in found], pa.list_(pa.int32())) for side in (0, 1)]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *lists], ["doc_id", "ids_a", "ids_b"])
+
+    return _texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids_a array<int>, ids_b array<int>")
+
+
+def _blocks(texts: DataFrame, name: str, files) -> DataFrame:
+    """Blocks of some documents each: row, doc_id, sha (of the groups; blank but in a text's last block), numbers (tokens of a, of b, groups, links), ends (chunks up to
+    a row's end), codes (numbers of its chunks, within the block), links and pairs (how many links each chunk has, and their pairs)."""
+    names = ["row", "doc_id", "sha", "numbers", "ends", "codes", "links", "pairs"]
+
+    def block(rows, docs, sha, found, memory):
+        parts = [codes for _, codes in found] or [np.zeros(0, np.int64)]
+        own, codes = np.unique(np.concatenate(parts), return_inverse=True)
+        numbers, size = np.zeros((4, len(rows)), np.int64), np.zeros(len(rows), np.int64)
+        for i, part in found:
+            numbers[:, i], size[i] = memory.numbers[1:, part].sum(axis=1), len(part)
+        pairs, begin = memory.links()
+        count = begin[own + 1] - begin[own]
+        at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count - begin[own], count)
+        data = [numbers, np.cumsum(size), codes.astype(np.int32), count.astype(np.int32), pairs[at].astype(np.uint32 if memory.wide * memory.most < 1 << 32 else np.uint64)]
+        cells = [pa.array([x], k) for x, k in zip((rows, docs, sha), (pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.string())))]
+        return pa.RecordBatch.from_arrays([*cells, *[pa.array([x.tobytes()], pa.binary()) for x in data]], names)
+
+    def text_of(memory, codes):
+        return ";".join(map(memory.texts.__getitem__, codes.tolist())).encode()
 
+    def run(batches):
+        memory = _remembered(name, files)
+        for part in steps(batches):
+            rows, docs, texts = (part.column(c).to_pylist() for c in ("row", "doc_id", "text"))
+            found = _short(texts, memory)
+            sha = [""] * len(rows)
+            for i, codes in found:
+                sha[i] = hashlib.sha256(text_of(memory, codes)).hexdigest()
+            yield block(rows, docs, sha, found, memory)
+            digest = None
+            for i, codes, last in _long(texts, memory):
+                if digest is None:
+                    digest = hashlib.sha256(text_of(memory, codes))
+                else:
+                    digest.update(b";" + text_of(memory, codes))
+                yield block(rows[i : i + 1], docs[i : i + 1], [digest.hexdigest() if last else ""], [(0, codes)], memory)
+                digest = None if last else digest
+
+    return texts.mapInArrow(run, "row array<long>, doc_id array<long>, sha array<string>, numbers binary, ends binary, codes binary, links binary, pairs binary")
+
+
+def _read(batch, *fields):
+    """The named binary fields of each row of a batch of blocks, as arrays."""
+    for r in range(batch.num_rows):
+        found = {f: batch.column(f)[r].as_buffer() for f in fields}
+        arrays = {f: np.frombuffer(x, np.int32 if f in ("codes", "links") else np.int64) for f, x in found.items() if f != "pairs"}
+        n = int(arrays["links"].sum())
+        arrays["pairs"] = np.frombuffer(found["pairs"], np.uint32 if found["pairs"].size == 4 * n else np.uint64).astype(np.int64)
+        yield r, *[arrays[f] for f in fields]
 
-def pair_counts(ids: DataFrame, path_a: str, path_b: str) -> DataFrame:
+
+def _counted(blocks: DataFrame) -> DataFrame:
     """pair (id of a times b's number of ids, and id of b), n: the links of each pair of ids in all texts."""
-    name, files, kinds = _shared(ids.sparkSession, path_a, path_b)
 
     def run(batches):
-        pair = _pair(name, files)
-        size_a, size_b = pair.sizes()
         keys, counts, size = [], [], 0
 
         def merged():
-            every, at = np.unique(np.concatenate(keys), return_inverse=True)
-            return every, np.bincount(at, np.concatenate(counts), len(every)).astype(np.int64)
-
-        def sent():
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in merged()], ["pair", "n"])
+            key, at = np.unique(np.concatenate(keys), return_inverse=True)
+            n = np.zeros(len(key), np.int64)
+            np.add.at(n, at, np.concatenate(counts))
+            return key, n
 
         for batch in batches:
-            for *_, a, b in _stepped(batch, kinds):
-                *_, of_a, of_b = aligned(size_a[a], size_b[b])
-                key, n = np.unique(a[of_a] * len(size_b) + b[of_b], return_counts=True)
-                keys.append(key)
-                counts.append(n)
-                size += len(key)
+            for _, codes, links, pairs in _read(batch, "codes", "links", "pairs"):
+                keys.append(pairs)
+                counts.append(np.repeat(np.bincount(codes, minlength=len(links)), links))
+                size += len(pairs)
                 if size > HELD:
                     key, n = merged()
                     keys, counts, size = [key], [n], len(key)
                     if size > HELD // 2:
-                        yield sent()
+                        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["pair", "n"])
                         keys, counts, size = [], [], 0
         if keys:
-            yield sent()
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in merged()], ["pair", "n"])
 
-    found = ids.select("a", "b", "cut_a", "cut_b").mapInArrow(run, "pair long, n long")
+    found = blocks.select("codes", "links", "pairs").mapInArrow(run, "pair long, n long")
     salted = found.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(SALTS))).groupBy("pair", "salt").agg(F.sum("n").alias("n"))
     return salted.groupBy("pair").agg(F.sum("n").alias("n"))
 
 
-def _marked(kind: str, ids) -> list[str]:
-    return [f"{i}{kind}" for i in range(ids)]
+def pair_counts(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id_a, id_b, n: how many links of all texts hold each pair of ids linked."""
+    name, files = _shared(docs.sparkSession, path_a, path_b)
+    wide = len(Pair(*files.value).bytes_b)
+    return _counted(_blocks(_texts(docs, id_col, text_col), name, files)).select((F.col("pair") / wide).cast("long").alias("id_a"), (F.col("pair") % wide).alias("id_b"), "n")
 
 
 def aligned_documents(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -217,100 +381,49 @@ def aligned_documents(docs: DataFrame, path_a: str, path_b: str, id_col: str = "
     Space+text is encoded by both; groups are what lies between common ends; links are all pairs of token occurrences whose
     bytes overlap; a pair's count is its number of links in all rows. n_best: links whose count is the highest of their
     id of b, ties included; count_sum: counts over links; groups_sha256: of the groups' ids, '' without tokens. Texts that are null, empty, or that either tokenizer
-    can't give back have no tokens and zeros. Long texts are encoded and aligned in pieces and hold no more than their ids at once; a text without a space between
+    can't give back have no tokens and zeros. Long texts are encoded and aligned piece by piece; a text without a space between
     other characters is one piece. Repeated rows and ids count each; other columns are ignored; an empty table gives an empty one.
     """
     spark = docs.sparkSession
-    name, files, kinds = _shared(spark, path_a, path_b)
+    name, files = _shared(spark, path_a, path_b)
     wide = len(Pair(*files.value).bytes_b)
-    ids = token_ids(docs, path_a, path_b, id_col, text_col)
-    counts = written(pair_counts(ids, path_a, path_b))
+    blocks = written(_blocks(_texts(docs, id_col, text_col), name, files))
+    counts = written(_counted(blocks))
     best = counts.groupBy((F.col("pair") % wide).alias("b")).agg(F.max("n").alias("most"))  # no more rows than ids of b
     counts = counts.withColumn("b", F.col("pair") % wide).join(F.broadcast(best), "b")
     counts = written(counts.select("pair", "n", (F.col("n") == F.col("most")).alias("top")))
     total = counts.agg(F.sum("n")).first()[0] or 0
     common = counts.where(F.col("n") * COMMON > total).orderBy("pair").toArrow()  # fewer than COMMON rows
     common = spark.sparkContext.broadcast(tuple(common.column(c).to_numpy() for c in ("pair", "n", "top")))
-
-    def found(batch, pair, sizes):
-        """Of each step: what _stepped gives, group numbers, and the links' rows, pairs, and places among the common ones (-1 if not)."""
-        keys = common.value[0]
-        for rows, n_a, n_b, last, a, b in _stepped(batch, kinds):
-            cuts, group_a, group_b, of_a, of_b = aligned(sizes[0][a], sizes[1][b])
-            key = a[of_a] * wide + b[of_b]
-            place = np.searchsorted(keys, key)
-            place[place == len(keys)] = -1
-            if len(keys):
-                place[keys[place] != key] = -1
-            yield rows, n_a, n_b, last, a, b, cuts, group_a, group_b, np.repeat(rows, n_a)[of_a], key, place
-
-    def rare(batches):
-        pair = _pair(name, files)
-        sizes = pair.sizes()
-        for batch in batches:
-            number = batch.column("row").to_numpy(zero_copy_only=False)
-            for *_, row, key, place in found(batch, pair, sizes):
-                some = place < 0
-                both, n = np.unique(np.stack([row[some], key[some]]), axis=1, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(number[both[0]]), pa.array(both[1]), pa.array(n.astype(np.int64))], ["row", "pair", "links"])
-
-    def each(batches):
-        pair = _pair(name, files)
-        sizes, most = pair.sizes(), max(len(pair.bytes_a), wide)
-        marked = sum((_marked(kind, most) for kind in (",", "|", ";", "")), [])
-        _, n_common, top_common = common.value
-        for batch in batches:
-            size = batch.num_rows
-            out = np.zeros((6, size), np.int64)  # n_a, n_b, n_groups, n_links, n_best, count_sum
-            digest = [hashlib.sha256() if len(c) else None for c in batch.column("cut_a").to_pylist()]
-            for rows, n_a, n_b, last, a, b, cuts, group_a, group_b, row, key, place in found(batch, pair, sizes):
-                known = place >= 0
-                np.add.at(out[0], rows, n_a)
-                np.add.at(out[1], rows, n_b)
-                # A piece ends a group, so the group of its last token tells how many there are.
-                ends = group_a[np.cumsum(n_a) - 1] + 1
-                np.add.at(out[2], rows, np.diff(ends, prepend=0))
-                np.add.at(out[3], row, 1)
-                np.add.at(out[4], row[known], top_common[place[known]].astype(np.int64))
-                np.add.at(out[5], row[known], n_common[place[known]])
-                # In the order of groups, a's ids first; 0 to 3: what stands behind an id.
-                behind_a = np.where(np.append(group_a[1:], -1) != group_a, 1, 0)
-                behind_b = np.where(np.append(group_b[1:], -1) != group_b, 2, 0)
-                behind_b[(np.cumsum(n_b) - 1)[last]] = 3
-                code = np.empty(len(a) + len(b), np.int64)
-                code[np.arange(len(a)) + np.searchsorted(group_b, group_a, "left")] = a + behind_a * most
-                code[np.arange(len(b)) + np.searchsorted(group_a, group_b, "right")] = b + behind_b * most
-                text, begin = list(map(marked.__getitem__, code.tolist())), 0
-                for r, end in zip(rows.tolist(), np.cumsum(n_a + n_b).tolist()):
-                    digest[r].update("".join(text[begin:end]).encode())
-                    begin = end
-            sha = pa.array(["" if d is None else d.hexdigest() for d in digest], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), *map(pa.array, out), sha], ["row", "doc_id", *columns, "groups_sha256"])
-
     columns = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
-    own = ids.mapInArrow(each, "row long, doc_id long, " + ", ".join(f"{c} long" for c in columns) + ", groups_sha256 string")
-    others = ids.select("row", "a", "b", "cut_a", "cut_b").mapInArrow(rare, "row long, pair long, links long")
-    others = others.join(counts.where(F.col("n") * COMMON <= total), "pair").groupBy("row")
-    others = others.agg(F.sum(F.when(F.col("top"), F.col("links")).otherwise(0)).alias("rare_best"), F.sum(F.col("links") * F.col("n")).alias("rare_sum"))
-    both = own.join(others, "row", "left")
-    plus = lambda one, two: (F.col(one) + F.coalesce(two, F.lit(0))).alias(one)
-    return both.select("doc_id", *columns[:4], plus("n_best", "rare_best"), plus("count_sum", "rare_sum"), "groups_sha256")
-
-
-def links(ids: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """row, doc_id, id_a, id_b, links: how often each pair of ids is linked in each text."""
-    name, files, kinds = _shared(ids.sparkSession, path_a, path_b)
+    names = ["row", "doc_id", *columns, "groups_sha256", "rare"]
 
     def run(batches):
-        pair = _pair(name, files)
-        sizes = pair.sizes()
+        keys, number, top = common.value
         for batch in batches:
-            number, doc = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("row", "doc_id"))
-            for rows, n_a, _, _, a, b in _stepped(batch, kinds):
-                *_, of_a, of_b = aligned(sizes[0][a], sizes[1][b])
-                both, n = np.unique(np.stack([np.repeat(rows, n_a)[of_a], a[of_a], b[of_b]]), axis=1, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(number[both[0]]), pa.array(doc[both[0]]), *map(pa.array, (both[1], both[2], n.astype(np.int64)))], names)
-
-    names = ["row", "doc_id", "id_a", "id_b", "links"]
-    found = ids.mapInArrow(run, ", ".join(f"{c} long" for c in names))
-    return found.groupBy("row", "doc_id", "id_a", "id_b").agg(F.sum("links").alias("links"))
+            for r, numbers, ends, codes, links, pairs in _read(batch, "numbers", "ends", "codes", "links", "pairs"):
+                place = np.searchsorted(keys, pairs)
+                usual = place < len(keys)
+                usual[usual] = keys[place[usual]] == pairs[usual]
+                chunk = np.repeat(np.arange(len(links)), links)
+                of = np.zeros((3, len(links)), np.int64)  # best links, sum of counts, rare links of each chunk
+                np.add.at(of[0], chunk[usual], top[place[usual]].astype(np.int64))
+                np.add.at(of[1], chunk[usual], number[place[usual]])
+                np.add.at(of[2], chunk[~usual], 1)
+                sums = np.concatenate([np.zeros((3, 1), np.int64), np.cumsum(of[:, codes], axis=1)], axis=1)
+                starts = np.append(0, ends)
+                best, total, rares = np.diff(sums[:, starts], axis=1)
+                count = of[2][codes]
+                some, first = pairs[~usual], np.append(0, np.cumsum(of[2]))
+                at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count - first[codes], count)
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(rares)), pa.int32()), pa.array(some[at]))
+                sent = [*numbers.reshape(4, -1), best, total]
+                yield pa.RecordBatch.from_arrays([batch.column("row")[r].values, batch.column("doc_id")[r].values, *map(pa.array, sent), batch.column("sha")[r].values, lists], names)
+
+    found = written(blocks.mapInArrow(run, "row long, doc_id long, " + ", ".join(f"{c} long" for c in columns) + ", groups_sha256 string, rare array<long>"))
+    rare = found.where("size(rare) > 0").select("row", F.explode("rare").alias("pair")).groupBy("row", "pair").agg(F.count("*").alias("links"))
+    rare = rare.join(counts.where(F.col("n") * COMMON <= total), "pair")
+    nothing = [F.lit(0).cast("long").alias(c) for c in columns[:4]]
+    rare = rare.select("row", F.lit(None).cast("long").alias("doc_id"), *nothing, F.when(F.col("top"), F.col("links")).otherwise(0).alias("n_best"), (F.col("links") * F.col("n")).alias("count_sum"), F.lit("").alias("groups_sha256"))
+    both = found.drop("rare").unionByName(rare).groupBy("row")
+    return both.agg(F.max("doc_id").alias("doc_id"), *[F.sum(c).alias(c) for c in columns], F.max("groups_sha256").alias("groups_sha256")).drop("row")
