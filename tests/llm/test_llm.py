@@ -121,8 +121,8 @@ def test_exact_top_k(spark):
 
 PAGES = {
     "<html><body><nav><a href=1>Home</a></nav><article><h1>Title &amp; more</h1><p>First&nbsp;<b>bo</b>ld\n text.<p>Second.</article><footer>Foot, note.</footer>": "Title & more First bold text. Second.",
-    "<body><div id=content><h2>Head</h2><p>A long paragraph, with commas, and a stop. And another one, too.</p><p>A second paragraph, with commas, and a stop. And another one, too.</p><p>Short</p></div><div class=sidebar><p>Side, text. It is long, too, and has marks.</p></div><div id=comments><p>First! I agree, fully.</p></div>": "Head A long paragraph, with commas, and a stop. And another one, too. A second paragraph, with commas, and a stop. And another one, too. Short",
-    "<main><p>A text, with <script>var a='</p>'</script>marks, goes on.</p><form>Name <input></form><div class='cookie-notice'>Cookies</div></main>": "A text, with marks, goes on.",
+    "<body><div id=content><h2>Head</h2><p>A long paragraph, with commas, and a stop. And another one, too.</p><p>A second paragraph, with commas, and a stop. And another one, too.</p><p>A third one, with commas, and a stop. And another one, too, and more.</p><p>Short</p></div><div class=sidebar><p>Side text that is short</p></div><div id=comments><p>First! I agree.</p></div>": "Head A long paragraph, with commas, and a stop. And another one, too. A second paragraph, with commas, and a stop. And another one, too. A third one, with commas, and a stop. And another one, too, and more. Short",
+    "<main><p>A text, with <script>var a='</p>'</script>marks, goes on and on, as long as it has, well, something to say.</p></main><form>Name <input></form><div class='cookie-notice'>Cookies</div>": "A text, with marks, goes on and on, as long as it has, well, something to say.",
     "plain text": "plain text",
     "": "",
     "<!-- open": "",
