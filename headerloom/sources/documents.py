@@ -27,11 +27,12 @@ def nzb_documents(segments: DataFrame, titles: DataFrame | None = None) -> DataF
     Segments are put together by file before files are by release.
     """
     keys = ["release_id", "file_subject"]
+    identity = F.regexp_replace("message_id", "^<|>$", "")
     best = segments.where("trim(message_id) <> '' and part_number > 0").groupBy(*keys, "part_number").agg(
-        F.max_by(F.struct("bytes", "message_id"), F.struct(F.col("bytes").alias("a"), (-F.xxhash64("message_id")).alias("b"))).alias("s"),
+        F.min(F.struct(F.col("bytes").isNull(), -F.col("bytes"), identity.alias("id"), "bytes")).alias("s"),
         F.min("poster").alias("poster"), F.min("posted_epoch").alias("at"), F.collect_set("group_name").alias("groups"),
     )
-    line = F.concat(F.lit('<segment bytes="'), F.col("s.bytes").cast("string"), F.lit('" number="'), F.col("part_number").cast("string"), F.lit('">'), escaped(F.regexp_replace("s.message_id", "^<|>$", "")), F.lit("</segment>"))
+    line = F.concat(F.lit('<segment bytes="'), F.col("s.bytes").cast("string"), F.lit('" number="'), F.col("part_number").cast("string"), F.lit('">'), escaped(F.col("s.id")), F.lit("</segment>"))
     one = best.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("part_number", line.alias("line")))).alias("lines"), F.min("poster").alias("poster"), F.min("at").alias("at"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("groups")))).alias("groups"))
     groups = F.array_join(F.transform("groups", lambda g: F.concat(F.lit("<group>"), escaped(g), F.lit("</group>"))), "")
     file = F.concat(

@@ -69,6 +69,17 @@ def test_nzb_both_ways(spark):
     assert documents.nzb_segments(broken).count() == 0
 
 
+def tied_segments(spark):
+    """Twenty parts, each of two articles of the same size."""
+    rows = [(1, "alt.b", "s", "p@x", 50, n, 9, f"<{m}{n}@h>") for n in range(1, 21) for m in ("b", "a")] + [(1, "alt.b", "s", "p@x", 50, 21, None, "<a21@h>"), (1, "alt.b", "s", "p@x", 50, 21, 3, "<b21@h>")]
+    return spark.createDataFrame(rows, "release_id long, group_name string, file_subject string, poster string, posted_epoch long, part_number int, bytes long, message_id string")
+
+
+def test_nzb_takes_the_lesser_message_id_of_equal_sizes(spark):
+    text = documents.nzb_documents(tied_segments(spark)).first().nzb
+    assert "@h</segment>" in text and all(f">a{n}@h<" in text for n in range(1, 21)) and ">b21@h<" in text and text.count("<segment ") == 21
+
+
 def test_repair_packets(spark):
     def packet(name, size, length=None):
         body = bytes(48) + struct.pack("<Q", size) + name
