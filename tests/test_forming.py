@@ -80,6 +80,11 @@ def test_nzb_takes_the_lesser_message_id_of_equal_sizes(spark):
     assert "@h</segment>" in text and all(f">a{n}@h<" in text for n in range(1, 21)) and ">b21@h<" in text and text.count("<segment ") == 21
 
 
+def test_segments_of_equal_sizes_read_back(spark):
+    got = documents.nzb_segments(documents.nzb_documents(tied_segments(spark))).select("number", "bytes", "message_id").orderBy("number").collect()
+    assert [tuple(r) for r in got] == [(n, 9, f"a{n}@h") for n in range(1, 21)] + [(21, 3, "b21@h")]
+
+
 def test_repair_packets(spark):
     def packet(name, size, length=None):
         body = bytes(48) + struct.pack("<Q", size) + name
