@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from headerloom.functions.text import micros
 from headerloom.sources.folders import written
 
 #: The steps of size_points() whose points outweigh any nearness in time within ten days.
@@ -48,13 +47,71 @@ def counts_at(times: DataFrame, bounds: DataFrame) -> DataFrame:
     return rows.select("at", (F.col("hours_before") + F.col("upto") - F.col("n")).alias("before"), (F.col("hours_before") + F.col("upto")).alias("upto"))
 
 
+def size_edge(size: Column, share: float, sign: int) -> Column:
+    """The least (``sign`` -1) or greatest (1) size whose ratio to ``size`` is at most ``share``, to the last bit of a double."""
+
+    @F.pandas_udf("double")
+    def edge(sizes: pd.Series) -> pd.Series:
+        s = sizes.to_numpy(float)
+        near = lambda e: np.abs(e - s) / np.maximum(np.maximum(e, s), 1.0) <= share
+        e = s - share * np.maximum(s, 1.0) if sign < 0 else np.where(s + share <= 1, s + share, s / (1 - share))
+        for _ in range(8):
+            wider = np.nextafter(e, sign * np.inf)
+            e = np.where(near(wider), wider, e)
+        for _ in range(8):
+            e = np.where(near(e), e, np.nextafter(e, -sign * np.inf))
+        return pd.Series(e)
+
+    return edge(size)
+
+
+def size_cell(size: Column, width: float) -> Column:
+    """Steps of the logarithm, evenly on below 1; sizes within a ratio of ``width`` to either side of any size span more than one."""
+    return F.floor(F.when(size > 1, F.log(size)).otherwise(size - 1) / width)
+
+
+def runs_within(low: str, high: str, levels: int) -> Column:
+    """(level, node) of the aligned runs of 2^level numbers that together are the numbers from ``low`` to before ``high``."""
+    first, last = f"shiftright({low} + shiftleft(1L, l) - 1, l)", f"shiftright({high}, l)"
+    run = lambda edge, node: f"CASE WHEN {first} < {last} AND {edge} % 2 = 1 THEN struct(l AS level, {node} AS node) END"
+    return F.expr(f"filter(flatten(transform(sequence(0, {levels}), l -> array({run(first, first)}, {run(last, f'{last} - 1')}))), x -> x IS NOT NULL)")
+
+
+def least_ids(asked: DataFrame, known: DataFrame, share: float | None) -> DataFrame:
+    """key, ring, entry_id: the least id of the entries of a run whose size is at most ``share`` away (None: of any size), for rows that have one.
+
+    asked: key, ring, level, node, size; known: level, node, size, entry_id. The sizes that are near enough span cells: what lies in the first is the end
+    of a cell, in the last its beginning, and those between are whole. Ends and beginnings are running minima over entries and edges in order, so no pairs are made.
+    """
+    place = ["level", "node"]
+    if share is None:
+        found = asked.join(known.groupBy(*place).agg(F.min("entry_id").alias("entry_id")), place)
+        return found.select("key", "ring", "entry_id")
+    finite = lambda df: df.where("size is not null and not isnan(size) and abs(size) < double('inf')")
+    held = finite(known).withColumn("cell", size_cell(F.col("size"), share))
+    ask = finite(asked).withColumn("low", size_edge(F.col("size"), share, -1)).withColumn("high", size_edge(F.col("size"), share, 1))
+    ask = ask.withColumns({"first": size_cell(F.col("low"), share), "last": size_cell(F.col("high"), share)})
+    none = lambda kind: F.lit(None).cast(kind)
+    key_type = ask.schema["key"].dataType
+    # Entries are 0, so that they come before the edges of their size on either way.
+    ends = F.explode(F.array(F.struct(F.lit(1).alias("side"), F.col("first").alias("cell"), F.col("low").alias("size")), F.struct(F.lit(2).alias("side"), F.col("last").alias("cell"), F.col("high").alias("size"))))
+    edges = ask.select("key", "ring", *place, ends.alias("e")).select("key", "ring", *place, "e.*", none("long").alias("entry_id"))
+    rows = edges.unionByName(held.select(none(key_type).alias("key"), none("int").alias("ring"), *place, F.lit(0).alias("side"), "cell", "size", "entry_id"))
+    running = lambda order: F.min("entry_id").over(Window.partitionBy(*place, "cell").orderBy(order, "side").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("ends", running(F.desc("size"))).withColumn("begins", running(F.asc("size"))).where("side > 0")
+    found = rows.select("key", "ring", F.when(F.col("side") == 1, F.col("ends")).otherwise(F.col("begins")).alias("entry_id"))
+    whole = held.groupBy(*place, "cell").agg(F.min("entry_id").alias("entry_id"))
+    between = ask.where("last - first > 1").select("key", "ring", *place, F.explode(F.sequence(F.col("first") + 1, F.col("last") - 1)).alias("cell"))
+    return found.unionByName(between.join(whole, [*place, "cell"]).select("key", "ring", "entry_id")).where("entry_id is not null")
+
+
 def window_match(releases: DataFrame, entries: DataFrame, before_days: int = 10, after_days: int = 3) -> DataFrame:
     """The best entry of each release posted from ``before_days`` before to ``after_days`` after it, by size and time, and how many there are.
 
     releases: release_id, posted_at, size_bytes; entries: entry_id, posted_at, size_bytes. Ties go to the smaller entry_id; releases without an entry in their window are left out.
-    A nearer size outweighs any nearness in time, so releases first meet the entries of about their size only: by day and by the logarithm
-    of the size, in steps as wide as the best size points reach. Those that find none go on to the next points; what is left meets all entries of its days.
-    Equal times and sizes meet once, whatever their number. Counts are differences of prefix sums, without pairs.
+    Scores are of few steps in size and in time, so the best entry is the least id within a box of both. The entries' different times are
+    numbered, a span of time is cut into aligned runs of numbers, and each run holds its entries by size: no release meets its entries one by one.
+    Boxes are tried from the highest score on, and releases that found an entry drop out. Equal times and sizes meet once. Counts are differences of prefix sums.
     """
     low, high = F.expr(f"posted_at - interval {before_days} days"), F.expr(f"posted_at + interval {after_days} days")
     asked = written(releases.where("posted_at is not null").select("release_id", "posted_at", "size_bytes", low.alias("low"), high.alias("high")))
@@ -62,28 +119,60 @@ def window_match(releases: DataFrame, entries: DataFrame, before_days: int = 10,
     counts = written(counts_at(at, asked.select(F.col("low").alias("at")).unionByName(asked.select(F.col("high").alias("at"))).distinct()))
     asked = asked.join(counts.select(F.col("at").alias("low"), "before"), "low").join(counts.select(F.col("at").alias("high"), "upto"), "high").withColumn("candidates", F.col("upto") - F.col("before")).where("candidates > 0")
     asked = written(asked.select("release_id", "posted_at", "size_bytes", "candidates"))
-    known = written(entries.where("posted_at is not null").groupBy(F.col("posted_at").alias("entry_at"), F.col("size_bytes").alias("entry_bytes")).agg(F.min("entry_id").alias("entry_id")))
-
-    delta = micros(F.col("entry_at")) - micros(F.col("posted_at"))
-    day = 86_400_000_000
-    ratio = F.abs(F.col("entry_bytes") - F.col("size_bytes")) / F.greatest(F.col("entry_bytes"), F.col("size_bytes"), F.lit(1.0))
-    score = F.round(F.coalesce(size_points(ratio), F.lit(0.0)) + hour_points(F.abs(delta) / 3_600_000_000), 2)
-    days = F.explode(F.sequence(F.date_sub(F.to_date("posted_at"), before_days), F.date_add(F.to_date("posted_at"), after_days)))
-    left, found = asked.select("posted_at", "size_bytes").distinct(), None
-    for most in (*(SIZE_STEPS if max(before_days, after_days) <= 10 else ()), None):
-        step = lambda c: F.floor(F.log(F.greatest(F.col(c).cast("double"), F.lit(1.0))) / -math.log(1 - most - 1e-9)) if most else F.lit(0)  # noqa: B023, E731
-        near = left.withColumn("day", days).withColumn("step", F.explode(F.array(*[step("size_bytes") + i for i in ((-1, 0, 1) if most else (0,))])))
-        both = near.join(known.withColumns({"day": F.to_date("entry_at"), "step": step("entry_bytes")}), ["day", "step"]).where((delta >= -before_days * day) & (delta <= after_days * day))
-        if most:
-            both = both.where(ratio <= most)
-        best = both.select("posted_at", "size_bytes", "entry_id", score.alias("score")).groupBy("posted_at", "size_bytes").agg(F.max_by(F.struct("entry_id", "score"), F.struct("score", -F.col("entry_id"))).alias("w"))
-        best = written(best)
+    known = entries.where("posted_at is not null").groupBy(F.col("posted_at").alias("at"), F.col("size_bytes").cast("double").alias("size")).agg(F.min("entry_id").cast("long").alias("entry_id"))
+
+    # Spans of time by their points: the hours to either side that they reach, within the window.
+    hours = [h for h in (24, 72, 240) if h < 24 * max(before_days, after_days)]
+    reach = [(min(h, 24 * before_days), min(h, 24 * after_days)) for h in hours] + [(24 * before_days, 24 * after_days)]
+    time_points = [(0.22, 0.15, 0.06, -0.08)[min(i, 3)] for i in range(len(hours))] + [next((p for h, p in ((24, 0.22), (72, 0.15), (240, 0.06)) if max(before_days, after_days) * 24 <= h), -0.08)]
+    times = asked.select("posted_at").distinct()
+    for i, (back, on) in enumerate(reach):
+        times = times.withColumns({f"from{i}": F.expr(f"posted_at - interval {back} hours"), f"to{i}": F.expr(f"posted_at + interval {on} hours")})
+    times = written(times)
+    moments = known.select("at").distinct()
+    bounds = moments
+    for c in times.columns[1:]:
+        bounds = bounds.unionByName(times.select(F.col(c).alias("at")))
+    number = written(counts_at(moments, bounds.distinct()))
+    known = written(known.join(number.select("at", F.col("before").alias("n")), "at").select("n", "size", "entry_id"))
+    for i in range(len(reach)):
+        times = times.join(number.select(F.col("at").alias(f"from{i}"), F.col("before").alias(f"a{i}")), f"from{i}").join(number.select(F.col("at").alias(f"to{i}"), F.col("upto").alias(f"b{i}")), f"to{i}")
+    spans = [f"{x}{i}" for i in range(len(reach)) for x in "ab"]
+    times = written(times.select("posted_at", *spans))
+    longest = times.agg(*[F.max(F.col(f"b{i}") - F.col(f"a{i}")).alias(f"m{i}") for i in range(len(reach))]).first()
+    levels = [max(1, m or 1).bit_length() - 1 for m in longest]
+    left = written(asked.select("posted_at", F.col("size_bytes").cast("double").alias("size")).distinct().withColumn("key", F.struct("posted_at", "size")).join(times, "posted_at").drop("posted_at"))
+
+    points = lambda of_size, ring: round(of_size + time_points[ring], 2)
+    in_ring = lambda i: lambda r: F.struct(F.lit(i).alias("ring"), r["level"].alias("level"), r["node"].alias("node"))
+    rings, found = range(len(reach)), None
+    first, later = SIZE_STEPS[0], rings[1:]
+    boxes = [(first, 0.55, rings[:1])], [(first, 0.55, later)], [(SIZE_STEPS[1], 0.35, rings)], [(SIZE_STEPS[2], 0.18, rings)], [(0.5, 0.0, rings), (None, -0.1, rings)]
+    # Beyond ten days a nearer size may weigh less than a nearer time, so all boxes count at once.
+    for part in boxes if time_points[-1] > 0 else [sum(boxes, [])]:
+        got = None
+        for share, of_size, which in part:
+            if not len(which):
+                continue
+            top = max(levels[i] for i in which)
+            runs = F.explode(F.flatten(F.array(*[F.transform(runs_within(f"a{i}", f"b{i}", levels[i]), in_ring(i)) for i in which])))
+            ask = left.select("key", "size", runs.alias("r")).select("key", "size", "r.*")
+            held = known.select("size", "entry_id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(top)), lambda l: F.struct(l.alias("level"), F.call_function("shiftright", F.col("n"), l).alias("node")))).alias("r")).select("size", "entry_id", "r.*")
+            some = least_ids(ask, held, share)
+            if share == 0.5:
+                # An unknown size, on either side, weighs nothing.
+                some = some.unionByName(least_ids(ask.where("size is null"), held, None)).unionByName(least_ids(ask, held.where("size is null"), None))
+            by_ring = F.element_at(F.array(*[F.lit(points(of_size, i)) for i in rings]), F.col("ring") + 1)
+            some = some.select("key", "entry_id", by_ring.alias("score"))
+            got = some if got is None else got.unionByName(some)
+        if got is None:
+            continue
+        best = written(got.groupBy("key").agg(F.max_by(F.struct("entry_id", "score"), F.struct("score", -F.col("entry_id"))).alias("w")))
         found = best if found is None else found.unionByName(best)
-        same = [left[c].eqNullSafe(best[c]) for c in ("posted_at", "size_bytes")]
-        left = written(left.join(best, same[0] & same[1], "left_anti")) if most else left
-    asked, found = asked.alias("a"), found.alias("f")
-    same = F.col("a.posted_at").eqNullSafe(F.col("f.posted_at")) & F.col("a.size_bytes").eqNullSafe(F.col("f.size_bytes"))
-    return asked.join(found, same).select("release_id", "f.w.*", "candidates")
+        left = written(left.join(best.select("key"), left["key"].eqNullSafe(best["key"]), "left_anti"))
+    size = F.col("size_bytes").cast("double")
+    found = found.select(F.col("key.posted_at").alias("found_at"), F.col("key.size").alias("found_size"), "w")
+    return asked.join(found, (F.col("posted_at") == F.col("found_at")) & size.eqNullSafe(F.col("found_size"))).select("release_id", "w.*", "candidates")
 
 
 def token_similarity(a: Column, b: Column) -> Column:
