@@ -37,11 +37,9 @@ def subject_complete_cohorts(parts: DataFrame) -> DataFrame:
 
 def claim_lanes(queue: DataFrame, completion: DataFrame, limit: int) -> DataFrame:
     """The next ``limit`` rows: lane A completes known files (same group and name, day within -1 and +1), lane B is the rest by age."""
-    q = queue.withColumn("__day", F.explode(F.array(F.date_sub("day", 1), F.col("day"))))
-    hit = q.join(completion.select(F.col("group_id"), F.col("name_key"), F.col("day").alias("__day")).distinct(), ["group_id", "name_key", "__day"], "left_semi").select("row_id").distinct()
-    lane_a = queue.join(hit, "row_id", "left_semi").withColumn("lane", F.lit("A"))
-    lane_b = queue.join(hit, "row_id", "left_anti").withColumn("lane", F.lit("B"))
-    return lane_a.unionByName(lane_b).orderBy("lane", "day", "row_id").limit(limit).select("lane", "row_id", "group_id", "day")
+    known = completion.select("group_id", "name_key", F.explode(F.array(F.col("day"), F.date_add("day", 1))).alias("day")).distinct().withColumn("__known", F.lit(True))
+    rows = queue.join(known, ["group_id", "name_key", "day"], "left").withColumn("lane", F.when(F.col("__known"), "A").otherwise("B"))
+    return rows.orderBy("lane", "day", "row_id").limit(limit).select("lane", "row_id", "group_id", "day")
 
 
 def claim_locality(work: DataFrame, per_group: int, limit: int) -> DataFrame:

@@ -6,7 +6,7 @@ import struct
 from pyspark.sql import functions as F
 
 from headerloom.functions import overview, probes
-from headerloom.operators import admin, ingest, inspection, lifecycle, merge, policy
+from headerloom.operators import admin, cohorts, ingest, inspection, lifecycle, merge, policy
 from headerloom.sources import documents
 from headerloom.streaming import upserts
 
@@ -128,3 +128,12 @@ def test_late_rows_are_dropped(spark, tmp_path):
         upserts.write_changes(upserts.bucket_counts(events, "at", "1 day", "2 days", "key", measure=F.lit(1)), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     got = {str(r.window_start)[:10]: r.n for r in upserts.current(spark, str(tmp_path / "out"), ["key", "window_start"], "key string, window_start timestamp, n long, total long").collect()}
     assert got == {"2024-01-01": 1, "2024-01-10": 1, "2024-01-09": 1, "2024-01-11": 1}
+
+
+def test_lanes_are_of_rows(spark):
+    """Two rows of one id, one of them beside a known file; a known file of the next day and nulls count for none."""
+    day = lambda n: dt.date(2024, 1, n)
+    queue = spark.createDataFrame([(1, 1, "n", day(5)), (1, 1, "n", day(9)), (2, 1, "n", day(6)), (3, 1, "n", day(4)), (4, None, "n", day(5))], "row_id long, group_id long, name_key string, day date")
+    known = spark.createDataFrame([(1, "n", day(5)), (1, "n", day(5)), (None, "n", day(5))], "group_id long, name_key string, day date")
+    got = [tuple(r) for r in cohorts.claim_lanes(queue, known, 10).collect()]
+    assert got == [("A", 1, 1, day(5)), ("A", 2, 1, day(6)), ("B", 3, 1, day(4)), ("B", 4, None, day(5)), ("B", 1, 1, day(9))]
