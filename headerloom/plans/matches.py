@@ -17,17 +17,13 @@ _ENTRY = [
     "CASE o_orderkey % 3 WHEN 0 THEN '1080p' ELSE '720p' END AS resolution", "CASE WHEN o_orderkey % 3 = 0 THEN 'x264' ELSE 'xvid' END AS video", "'aac' AS audio", "o_orderdate AS posted_at", "CASE WHEN o_orderkey % 3 = 0 THEN o_custkey % 2000 ELSE o_orderkey % 3 END AS size",
     "CASE WHEN o_orderkey % 5 < 2 THEN 'TV-HD' ELSE 'X264' END AS category",
 ]
-_SIDES = ("season", "episode", "year", "resolution", "video", "audio", "posted_at", "size")
 
 
 def metadata_fallback(spark, sf_dir):
     """The three best entries of each release among those of its customer, by metadata."""
     a, b = seen(spark, sf_dir, "orders", _MINE).alias("a"), seen(spark, sf_dir, "orders", _ENTRY).alias("b")
-    of = lambda side, names: {c: F.col(f"{side}.{c}") for c in names}
     pairs = a.join(b, F.col("o_custkey") == F.col("entry_key"))
-    seconds = F.abs(F.unix_micros(F.col("a.posted_at").cast("timestamp")) - F.unix_micros(F.col("b.posted_at").cast("timestamp"))) / 1_000_000
-    scored = pairs.select("release_id", "b.title", evidence.fallback_score(of("a", _SIDES), of("b", (*_SIDES, "category"))).alias("score"), seconds.alias("seconds"))
-    return evidence.ranked_matches(scored, 3).select("release_id", "rank", "title", "score", "applied")
+    return evidence.ranked_matches(evidence.fallback_scored(pairs, "a", "b"), 3).select("release_id", "rank", "title", "score", "applied")
 
 
 def weak_files_page(spark, sf_dir):
