@@ -88,6 +88,21 @@ def merges(located: DataFrame, found: DataFrame, earlier: DataFrame) -> DataFram
             return edges
 
 
+def _linked(files: DataFrame, parts: DataFrame, earlier: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The located parts, the groups, the earlier merges that take part again, and the edges."""
+    located = written(located_parts(fragments(files), parts))
+    chosen = written(groups(located, files))
+    lasting = parts.groupBy(F.col("binary_id").alias("target")).agg(F.min("part_number").alias("a"), F.max("part_number").alias("b")).where("a < b").select("target")
+    unsettled = files.where(F.col("identity_reason") != KIND).select(F.col("binary_id").alias("target"))
+    again = earlier.join(lasting, "target", "left_semi").join(unsettled, "target", "left_semi")
+    return located, chosen, again, merges(located, chosen, again)
+
+
+def regrouped_edges(files: DataFrame, parts: DataFrame, earlier: DataFrame) -> DataFrame:
+    """The ``edges`` of regrouped() alone; no part is moved for them."""
+    return _linked(files, parts, earlier)[3]
+
+
 def regrouped(files: DataFrame, parts: DataFrame, earlier: DataFrame) -> dict[str, DataFrame]:
     """What the merge leaves: ``edges`` (source, target), ``parts``, ``files``, ``dirty`` (group_id, family_key).
 
@@ -97,13 +112,7 @@ def regrouped(files: DataFrame, parts: DataFrame, earlier: DataFrame) -> dict[st
     superseded, targets are active, identified by the subject, their parts and bytes counted anew, and their key is canonical; all others are as they were.
     A target of several groups takes the name of the one of most parts, then of the smallest name.
     """
-    found = fragments(files)
-    located = written(located_parts(found, parts))
-    chosen = written(groups(located, files))
-    lasting = parts.groupBy(F.col("binary_id").alias("target")).agg(F.min("part_number").alias("a"), F.max("part_number").alias("b")).where("a < b").select("target")
-    unsettled = files.where(F.col("identity_reason") != KIND).select(F.col("binary_id").alias("target"))
-    again = earlier.join(lasting, "target", "left_semi").join(unsettled, "target", "left_semi")
-    edges = merges(located, chosen, again)
+    located, chosen, again, edges = _linked(files, parts, earlier)
 
     # What the groups and earlier merges say of each target, by the end of its chain.
     ends = edges.withColumnsRenamed({"source": "was", "target": "end"})
@@ -123,7 +132,7 @@ def regrouped(files: DataFrame, parts: DataFrame, earlier: DataFrame) -> dict[st
     moved = written(moved)
     rest = ["part_id", "total_parts", "segment_bytes", "posted_at", "file_name"]
     winners = moved.where("merged").groupBy("binary_id", "part_number").agg(F.min_by(F.struct(*rest), F.struct((-F.col("segment_bytes")).alias("a"), "part_id", "posted_at", "file_name", "total_parts")).alias("w")).select("binary_id", "part_number", "w.*")
-    left = written(winners.unionByName(moved.where("not merged").select("binary_id", "part_number", *rest)))
+    left = winners.unionByName(moved.where("not merged").select("binary_id", "part_number", *rest))
 
     stats = left.join(said.select(F.col("target").alias("binary_id")), "binary_id", "left_semi").groupBy("binary_id").agg(F.count("*").alias("seen"), F.sum("segment_bytes").alias("bytes"))
     rows = files.join(said.withColumnRenamed("target", "binary_id"), "binary_id", "left").join(stats, "binary_id", "left").join(edges.select(F.col("source").alias("binary_id"), F.col("target").alias("superseded_by")), "binary_id", "left")

@@ -28,25 +28,25 @@ def _texts(exprs: list[str], text: str) -> list[str]:
     return [e.replace("{text}", text) for e in exprs]
 
 
-def _found(spark, sf_dir):
+def _given(spark, sf_dir):
     """Orders as files whose lines are their parts, some merged before."""
     files, parts = (seen(spark, sf_dir, table, _texts(exprs, "STRING")) for table, exprs in (("orders", _FILES), ("lineitem", _PARTS)))
-    return subject_regroup.regrouped(files, parts, seen(spark, sf_dir, "orders", _EARLIER, _WAS))
+    return files, parts, seen(spark, sf_dir, "orders", _EARLIER, _WAS)
 
 
 def multipart_edges(spark, sf_dir):
     """Where each file that is merged away ends."""
-    return _found(spark, sf_dir)["edges"]
+    return subject_regroup.regrouped_edges(*_given(spark, sf_dir))
 
 
 def multipart_files(spark, sf_dir):
     """All files after the merge."""
-    return _found(spark, sf_dir)["files"]
+    return subject_regroup.regrouped(*_given(spark, sf_dir))["files"]
 
 
 def multipart_parts(spark, sf_dir):
     """The parts that the merge leaves, and how many are their file's, by file."""
-    return _found(spark, sf_dir)["parts"].withColumn("posted_at", F.col("posted_at").cast("date"))
+    return subject_regroup.regrouped(*_given(spark, sf_dir))["parts"].withColumn("posted_at", F.col("posted_at").cast("date"))
 
 
 _PLAIN = lambda x: f"trim(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g'))"

@@ -67,3 +67,17 @@ def test_nothing_to_do(spark):
     for files, parts in (([], []), ([file(1), file(2)], [part(1, 1, 1), part(2, 2, 1)]), ([file(1), file(2, name=None), file(3, family="")], [part(1, 1, 1), part(2, 2, 2), part(3, 3, 3)]), ([file(1, observed=9), file(2, observed=9)], [part(1, 1, 1), part(2, 2, 2)])):
         got = run(spark, files, parts)
         assert got["edges"] == got["dirty"] == [] and len(got["parts"]) == len(parts) and sorted(f["status"] for f in got["files"]) == ["active"] * len(files)
+
+
+def test_edges_move_no_parts(spark, monkeypatch):
+    """Edges alone write no table of moved parts, and parts are not written a second time when they are asked for."""
+    from headerloom.plans import multipart
+
+    seen, kept = [], regroup.written
+    monkeypatch.setattr(regroup, "written", lambda df: seen.append(df.columns) or kept(df))
+    edges = multipart.multipart_edges(spark, "/root/testdata/sf0.001")
+    assert not any("part_id" in c for c in seen)
+    seen.clear()
+    made = regroup.regrouped(*multipart._given(spark, "/root/testdata/sf0.001"))
+    assert sum("part_id" in c for c in seen) == 1
+    assert sorted(map(tuple, edges.collect())) == sorted(map(tuple, made["edges"].collect()))
