@@ -9,11 +9,11 @@ A sequence is read as a stream, sorted by the shuffle, and held as one summary a
 from __future__ import annotations
 
 from bisect import bisect_left, insort
-from collections import defaultdict
+from collections import defaultdict, namedtuple
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +26,9 @@ HOURS = (2, 12, 24)
 NEAR, NEAR_AUXILIARY = (0.16, 0.10, 0.05), (0.18, 0.10, 0.05)
 SCHEMA = "known boolean, family_key long, binary_id long, cluster_id long, score double"
 _HOUR = 3_600_000_000
-_FAR = 365 * 24 * _HOUR
+_NEVER = -(1 << 61)
+# How many clusters are looked at one by one, before arrays narrow them down, and how many texts' codes are kept.
+FEW, KEPT = 128, 1024
 #: Columns of files that may be missing, and what then stands for them.
 DEFAULTS = {"first_article_number": 0, "file_name": "", "family_title": "", "is_auxiliary": False}
 
@@ -48,7 +50,7 @@ def _alike(one: str, other: str) -> bool:
 
 
 class _Codes:
-    """Numbers of texts, and for a text which numbers' texts it goes with; what was found is kept."""
+    """Numbers of texts, and for a text which numbers' texts it goes with; what was found for the last texts is kept."""
 
     def __init__(self, test):
         self.test, self.texts, self.code, self.known = test, [], {}, {}
@@ -59,182 +61,231 @@ class _Codes:
             self.texts.append(text)
         return self.code[text]
 
-    def fits(self, text: str) -> np.ndarray:
+    def fits(self, text: str) -> bytearray:
         have = self.known.get(text)
-        if have is None or len(have) < len(self.texts):
-            begin = 0 if have is None else len(have)
-            more = np.fromiter((self.test(text, other) for other in self.texts[begin:]), bool)
-            have = self.known[text] = more if have is None else np.append(have, more)
+        if have is None:
+            if len(self.known) >= KEPT:
+                self.known.clear()
+            have = self.known[text] = bytearray()
+        if len(have) < len(self.texts):
+            have.extend([self.test(text, other) for other in self.texts[len(have) :]])
         return have
 
 
+class Cluster:
+    """What the rule asks of a cluster."""
+
+    __slots__ = ("any_stem", "companion", "counts", "first", "high", "last", "lead_count", "low", "main_stem", "names", "other", "own_title", "place", "poster", "sizes", "stem", "times", "title", "total")
+
+    def __init__(self, place: int, first: int):
+        self.place, self.first, self.total, self.low, self.high, self.last = place, first, 0, 0, 0, _NEVER
+        self.poster, self.lead_count, self.counts = 0, 0, {}
+        self.times, self.sizes, self.names = [], [], set()
+        self.other = self.companion = False
+        self.main_stem = self.any_stem = self.own_title = ""  # first stem of a file that is no companion, first stem of any, first title
+        self.stem = self.title = 0
+
+    def size_fits(self, size: int) -> bool:
+        sizes = self.sizes
+        if size <= 0 or not sizes:
+            return False
+        at = bisect_left(sizes, size)
+        return (at < len(sizes) and abs(sizes[at] - size) / max(sizes[at], size) <= 0.15) or (at > 0 and abs(sizes[at - 1] - size) / max(sizes[at - 1], size) <= 0.15)
+
+    def complements(self, file) -> bool:
+        if file.name_kind == "repair":
+            return self.other
+        if file.name_kind == "info":
+            return any(_related(file.stem, other) for other in self.names)
+        return self.companion
+
+    def gap(self, posted: int) -> int:
+        """Time to its nearest file, on both sides of ``posted``."""
+        at, times = bisect_left(self.times, posted), self.times
+        if at == len(times):
+            return posted - self.last
+        return min(times[at] - posted, posted - times[at - 1]) if at else times[at] - posted
+
+
 class Sequence:
     """The clusters of one sequence of files."""
 
+    ARRAYS = ("total", "low", "high", "poster", "stem", "title", "last")
+
     def __init__(self):
-        self.n = 0
-        self.first: list[int] = []
-        self.column = {name: np.zeros(8, np.int64) for name in ("total", "low", "high", "poster", "stem", "title", "last", "other", "companion")}
+        self.clusters: list[Cluster] = []
         self.stems, self.titles = _Codes(_related), _Codes(_alike)
-        self.counts: list[dict[str, int]] = []
-        self.leading: list[tuple[str, int]] = []
-        self.times: list[list[int]] = []
-        self.sizes: list[list[int]] = []
-        self.names: list[set[str]] = []
-        self.given: list[list[str]] = []  # first stem of a file that is no companion, first stem of any, first title
-        self.taken: dict[int, list[int]] = defaultdict(list)
-        self.posters: dict[str, int] = {}
+        self.taken: dict[int, set[int]] = defaultdict(set)
+        self.posters = {"": 0}  # numbers of posters, by their names as given and in lower case
+        self.arrays: dict[str, np.ndarray] = {}  # of more than FEW clusters
 
     def _poster(self, poster: str) -> int:
-        return self.posters.setdefault(poster.lower(), len(self.posters) + 1) if poster else 0
+        code = self.posters.get(poster)
+        if code is None:
+            code = self.posters[poster] = self.posters.setdefault(poster.lower(), len(self.posters) + 1)
+        return code
 
-    def _size_fits(self, c: int, size: int) -> bool:
-        sizes = self.sizes[c]
-        if size <= 0 or not sizes:
-            return False
-        at = bisect_left(sizes, size)
-        return any(abs(x - size) / max(x, size) <= 0.15 for x in sizes[max(at - 1, 0) : at + 1])
-
-    def _complements(self, row, c: int) -> bool:
-        kind = row.name_kind
-        if kind == "repair":
-            return bool(self.column["other"][c])
-        if kind == "info":
-            return any(_related(row.stem, other) for other in self.names[c])
-        return bool(self.column["companion"][c])
-
-    def _near(self, row, weights) -> np.ndarray:
-        """What the time to each cluster's nearest file weighs."""
-        if not row.dated:
-            return np.zeros(self.n)
-        gap = np.abs(self.column["last"][: self.n] - row.posted)
-        if row.is_auxiliary:  # files lie on both sides of it
-            for c in range(self.n):
-                at = bisect_left(self.times[c], row.posted)
-                gap[c] = min((abs(t - row.posted) for t in self.times[c][max(at - 1, 0) : at + 1]), default=_FAR)
-        else:
-            gap[np.array([not t for t in self.times], bool)] = _FAR
-        return np.select([gap <= h * _HOUR for h in HOURS], weights, 0.0)
-
-    def best(self, row) -> tuple[float, int]:
-        """(score, place) of the best cluster, the earliest of equal ones; (0, -1) if none fits at all."""
-        n, total, index = self.n, max(row.expected_files, 0), row.file_index
-        if not n:
-            return 0.0, -1
-        have = {name: column[:n] for name, column in self.column.items()}
+    def _likely(self, file, total: int, poster: int, stem: bytearray, title: bytearray, trust: float) -> list[Cluster]:
+        """The clusters that may be the best of all, in their order, by bounds of their scores."""
+        index, n = file.file_index, len(self.clusters)
+        have = {name: column[:n] for name, column in self.arrays.items()}
         fits = (have["total"] == 0) | (have["total"] == total) if total else np.ones(n, bool)
-        poster = self._poster(row.poster)
-        same = (have["poster"] == poster) & (poster > 0)
-        stem = self.stems.fits(row.stem)[have["stem"]]
-        near = self._near(row, NEAR_AUXILIARY if row.is_auxiliary else NEAR)
-        trust = min(max(row.confidence, 0.0), 1.0)
-        if row.is_auxiliary:
-            rough = 0.10 + 0.38 * stem + 0.18 * same + near + 0.10 + trust * 0.06
+        most = 0.16 * ((have["poster"] == poster) & (poster > 0))
+        if file.is_auxiliary:
+            most = most * (0.18 / 0.16) + 0.38 * np.frombuffer(stem, bool)[have["stem"]] + 0.10 + 0.10 + NEAR_AUXILIARY[0] * file.dated + trust
+            slack = 0.10 + NEAR_AUXILIARY[0] * file.dated
         else:
             layout = np.maximum(have["total"], total) > 1
             if index > 0:
-                taken = np.array(self.taken.get(index, ()), np.int64)
+                taken = np.fromiter(self.taken.get(index, ()), np.int64)
                 fits[taken[layout[taken]]] = False
-            title = self.titles.fits(row.title)[have["title"]]
-            low, high = have["low"], have["high"]
-            inside = layout & (index > 0) & (low > 0) & ((index == low - 1) | (index == high + 1) | ((low < index) & (index < high)))
-            rough = 0.22 + 0.16 * same + near + 0.16 * stem + 0.08 * title + 0.12 + 0.12 * inside + trust * 0.10
+                most = most + 0.12 * (layout & (have["low"] > 0) & (have["low"] - 1 <= index) & (index <= have["high"] + 1))
+            if file.dated:
+                gap = np.abs(have["last"] - file.posted)
+                most = most + np.select([gap <= h * _HOUR for h in HOURS], NEAR, 0.0)
+            most = most + 0.16 * np.frombuffer(stem, bool)[have["stem"]] + 0.08 * np.frombuffer(title, bool)[have["title"]] + 0.22 + 0.12 + trust
+            slack = 0.12
         some = np.flatnonzero(fits)
-        if not len(some):
-            return 0.0, -1
-        slack = 0.10 if row.is_auxiliary else 0.12
-        some = some[rough[some] >= rough[some].max() - slack - 1e-9]
-        score, place = 0.0, -1
-        for c in some.tolist():  # in the rule's order of sums, so that equal evidence is equal
-            if row.is_auxiliary:
+        if len(some):
+            some = some[most[some] >= max(JOIN_AT, most[some].max() - slack) - 1e-9]
+        return [self.clusters[c] for c in some.tolist()]
+
+    def best(self, file) -> tuple[float, Cluster | None]:
+        """(score, cluster) of the best cluster that the file may join, the earliest of equal ones; (1, None) without one."""
+        some = self.clusters
+        if not some:
+            return 1.0, None
+        total, index, posted = max(file.expected_files, 0), file.file_index, file.posted
+        poster, stem = self._poster(file.poster), self.stems.fits(file.stem)
+        trust = min(max(file.confidence, 0.0), 1.0) * (0.06 if file.is_auxiliary else 0.10)
+        title = stem if file.is_auxiliary else self.titles.fits(file.title)
+        if len(some) > FEW:
+            some = self._likely(file, total, poster, stem, title, trust)
+        score, best = 0.0, None
+        bar = JOIN_AT - 1e-9  # what can't reach it needs no closer look
+        if file.is_auxiliary:
+            rest = 0.10 + trust
+            for c in some:  # sums are in the rule's order, so that equal evidence is equal
+                if total and c.total and c.total != total:
+                    continue
                 x = 0.10
-                if stem[c]:
+                if stem[c.stem]:
                     x += 0.38
-                if same[c]:
+                if poster and c.poster == poster:
                     x += 0.18
-                x += near[c]
-                if self._complements(row, c):
+                if x + NEAR_AUXILIARY[0] + rest < bar:
+                    continue
+                if file.dated and c.times:
+                    x += _weight(c.gap(posted), NEAR_AUXILIARY)
+                if x + rest < bar:
+                    continue
+                if c.complements(file):
                     x += 0.10
-                x += trust * 0.06
-            else:
+                x = min(x + trust, 1.0)
+                if x > score:
+                    score, best, bar = x, c, max(bar, x - 1e-9)
+        else:
+            taken = self.taken.get(index, ()) if index > 0 else ()
+            for c in some:
+                if total and c.total and c.total != total:
+                    continue
+                inside = False
+                if index > 0 and (total > 1 or c.total > 1):
+                    if c.place in taken:
+                        continue
+                    inside = c.low > 0 and c.low - 1 <= index <= c.high + 1
                 x = 0.22
-                if same[c]:
+                if poster and c.poster == poster:
                     x += 0.16
-                x += near[c]
-                if stem[c]:
+                if file.dated:
+                    gap = abs(posted - c.last)
+                    if gap <= HOURS[-1] * _HOUR:
+                        x += _weight(gap, NEAR)
+                if stem[c.stem]:
                     x += 0.16
-                if title[c]:
+                if title[c.title]:
                     x += 0.08
-                if self._complements(row, c):
+                if x + (0.24 if inside else 0.12) + trust < bar:
+                    continue
+                if c.complements(file):
                     x += 0.07
-                if self._size_fits(c, row.size_bytes):
+                if c.size_fits(file.size_bytes):
                     x += 0.05
-                if inside[c]:
+                if inside:
                     x += 0.12
-                x += trust * 0.10
-            x = min(x, 1.0)
-            if x > score:
-                score, place = float(x), c
-        return score, place
-
-    def add(self, row, c: int) -> int:
-        """Puts a file into cluster c, or a new one if c is -1, and returns the cluster's first file."""
-        column = self.column
-        if c < 0:
-            c, self.n = self.n, self.n + 1
-            if self.n > len(column["total"]):
-                for name in column:
-                    column[name] = np.append(column[name], np.zeros(self.n, np.int64))
-            self.first.append(row.binary_id)
-            self.counts.append({})
-            self.leading.append(("", 0))
-            self.times.append([])
-            self.sizes.append([])
-            self.names.append(set())
-            self.given.append(["", "", ""])
-        if row.expected_files > 0:
-            column["total"][c] = row.expected_files
-        index = row.file_index
+                x = min(x + trust, 1.0)
+                if x > score:
+                    score, best, bar = x, c, max(bar, x - 1e-9)
+        return (score, best) if score >= JOIN_AT else (1.0, None)
+
+    def add(self, file, c: Cluster | None) -> int:
+        """Puts a file into cluster c, or a new one, and returns the cluster's first file."""
+        if c is None:
+            c = Cluster(len(self.clusters), file.binary_id)
+            self.clusters.append(c)
+        if file.expected_files > 0:
+            c.total = file.expected_files
+        index = file.file_index
         if index > 0:
-            self.taken[index].append(c)
-            column["low"][c] = min(column["low"][c] or index, index)
-            column["high"][c] = max(column["high"][c], index)
-        if row.poster:
-            count = self.counts[c][row.poster] = self.counts[c].get(row.poster, 0) + 1
-            if count > self.leading[c][1]:
-                self.leading[c] = row.poster, count
-                column["poster"][c] = self._poster(row.poster)
-        if row.dated:
-            insort(self.times[c], row.posted)
-            column["last"][c] = self.times[c][-1]
-        if row.size_bytes > 0:
-            insort(self.sizes[c], row.size_bytes)
-        column["other"][c] |= row.name_kind != "repair"
-        column["companion"][c] |= row.name_kind in ("repair", "info", "archive")
-        self.names[c].add(row.stem)
-        given = self.given[c]
-        if not row.is_companion:
-            given[0] = given[0] or row.stem
-        given[1] = given[1] or row.stem
-        given[2] = given[2] or row.own_title
-        stem = given[0] or given[1]
-        column["stem"][c] = self.stems[stem]
-        column["title"][c] = self.titles[row.family_title or given[2] or stem]
-        return self.first[c]
-
-
-def _assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            self.taken[index].add(c.place)
+            c.low = min(c.low or index, index)
+            c.high = max(c.high, index)
+        if file.poster:
+            count = c.counts[file.poster] = c.counts.get(file.poster, 0) + 1
+            if count > c.lead_count:
+                c.lead_count, c.poster = count, self._poster(file.poster)
+        if file.dated:
+            insort(c.times, file.posted)
+            c.last = c.times[-1]
+        if file.size_bytes > 0:
+            insort(c.sizes, file.size_bytes)
+        kind = file.name_kind
+        c.other = c.other or kind != "repair"
+        c.companion = c.companion or kind != ""
+        c.names.add(file.stem)
+        if not file.is_companion:
+            c.main_stem = c.main_stem or file.stem
+        c.any_stem = c.any_stem or file.stem
+        c.own_title = c.own_title or file.own_title
+        stem = c.main_stem or c.any_stem
+        c.stem = self.stems[stem]
+        c.title = self.titles[file.family_title or c.own_title or stem]
+        if len(self.clusters) > FEW:
+            self._note(c)
+        return c.first
+
+    def _note(self, changed: Cluster) -> None:
+        """Keeps the arrays up to date."""
+        n = len(self.clusters)
+        if not self.arrays:
+            self.arrays = {name: np.array([getattr(c, name) for c in self.clusters], np.int64) for name in self.ARRAYS}
+        for name in self.ARRAYS:
+            if n > len(self.arrays[name]):
+                self.arrays[name] = np.append(self.arrays[name], np.zeros(n, np.int64))
+            self.arrays[name][changed.place] = getattr(changed, name)
+
+
+def _weight(gap: int, weights) -> float:
+    return weights[0] if gap <= HOURS[0] * _HOUR else weights[1] if gap <= HOURS[1] * _HOUR else weights[2] if gap <= HOURS[2] * _HOUR else 0.0
+
+
+def _values(column: pa.Array) -> list:
+    return column.to_pylist() if column.null_count else column.to_numpy(zero_copy_only=False).tolist()
+
+
+def _assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     group, held = None, Sequence()
     for batch in batches:
-        out = []
-        for row in batch.itertuples(index=False):
+        file = namedtuple("File", batch.schema.names)
+        joined, scores = [], []
+        for row in map(file._make, zip(*map(_values, batch.columns))):
             if group != (row.known, row.family_key, row.unit):
                 group, held = (row.known, row.family_key, row.unit), Sequence()
             score, c = held.best(row)
-            if score < JOIN_AT:
-                score, c = 1.0, -1
-            out.append((row.known, row.family_key, row.binary_id, held.add(row, c), round(score, 4)))
-        yield pd.DataFrame(out, columns=["known", "family_key", "binary_id", "cluster_id", "score"])
+            joined.append(held.add(row, c))
+            scores.append(round(score, 4))
+        given = [batch.column(name) for name in ("known", "family_key", "binary_id")]
+        yield pa.RecordBatch.from_arrays([*given, pa.array(joined, pa.int64()), pa.array(scores, pa.float64())], names=["known", "family_key", "binary_id", "cluster_id", "score"])
 
 
 def release_clusters(files: DataFrame) -> DataFrame:
@@ -265,5 +316,5 @@ def release_clusters(files: DataFrame) -> DataFrame:
     )
     titled = F.when(F.col("own_title") != "", F.col("own_title")).when(F.col("family_title") != "", F.col("family_title")).otherwise(F.col("stem"))
     order = ("known", "family_key", "unit", "is_auxiliary", "posted", "article", "binary_id")
-    found = rows.withColumn("title", titled).repartition("family_key", "unit").sortWithinPartitions(*order).mapInPandas(_assign, SCHEMA)
+    found = rows.withColumn("title", titled).repartition("family_key", "unit").sortWithinPartitions(*order).mapInArrow(_assign, SCHEMA)
     return found.select(F.when(F.col("known"), F.col("family_key")).alias("family_key"), "binary_id", "cluster_id", "score")

@@ -1,8 +1,12 @@
 """Clusters against a plain loop over the rule, member by member, on random families."""
 
+import cProfile
 import datetime as dt
+import pstats
 import random
 
+import pyarrow as pa
+
 from headerloom.operators import clusters
 
 AT = dt.datetime(2024, 1, 1)
@@ -149,3 +153,45 @@ def test_a_null_family_is_one_family(spark):
     rows = [(None, 1, AT, "p", "s", "t", 0, 0, 1, 0.9), (None, 2, AT, "p", "s", "t", 0, 0, 1, 0.9)]
     schema = "family_key long, binary_id long, posted_at timestamp, poster string, stem string, title string, file_index int, expected_files int, size_bytes long, confidence double"
     assert sorted((r.family_key, r.binary_id, r.cluster_id) for r in clusters.release_clusters(spark.createDataFrame(rows, schema)).collect()) == [(None, 1, 1), (None, 2, 1)]
+
+
+def rows_of(rng, n, each):
+    """Files of sequences of ``each`` as the operator reads them."""
+    for i in range(n):
+        stem, kind = rng.choice(["some show", "show", "x y", "other"]), rng.choice(["", "archive", "repair", "info"])
+        yield {
+            "known": True, "family_key": i // each, "unit": 0, "binary_id": i, "dated": True, "posted": i * 3_600_000_000, "article": i, "is_auxiliary": i % each > 0.6 * each, "poster": rng.choice(["", "Ann", "ann", "bob"]),
+            "stem": stem, "name_kind": kind, "is_companion": kind in ("repair", "info"), "own_title": "", "family_title": "", "file_index": rng.randrange(8), "expected_files": rng.choice([0, 3, 7]),
+            "size_bytes": rng.choice([100, 110, 1000]), "confidence": rng.random(), "title": stem,
+        }
+
+
+def test_a_file_takes_few_steps():
+    rows = pa.RecordBatch.from_pylist(list(rows_of(random.Random(5), 2000, 50)))
+    profile = cProfile.Profile()
+    profile.runcall(lambda: list(clusters._assign(iter([rows.slice(i, 500) for i in range(0, 2000, 500)]))))
+    assert pstats.Stats(profile).total_calls / 2000 < 100
+
+
+def test_many_clusters_are_narrowed_down_alike(spark):
+    rng = random.Random(11)
+    files = [f | {"family_key": 7, "binary_id": i, "poster": f"p{i % 9}", "stem": f"stem{i % 211} x", "family_title": "", "file_name": f["file_name"].replace("some show", "q")} for i, f in enumerate(f for k in range(40) for f in family(rng, k, 25, 0))]
+    got = {r.binary_id: (r.cluster_id, r.score) for r in clusters.release_clusters(spark.createDataFrame([tuple(f[c] for c in NAMES) for f in files], SCHEMA)).collect()}
+    want = by_loop(files)
+    assert len({c for c, _ in want.values()}) > clusters.FEW
+    assert {k: (got[k], want[k]) for k in want if got[k] != want[k]} == {}
+
+
+def test_found_texts_are_kept_for_the_last_ones_only():
+    held = clusters.Sequence()
+    for i in range(3 * clusters.KEPT):
+        held.stems[f"s{i % 7}"]
+        assert list(held.stems.fits(f"s{i}")) == [clusters._related(f"s{i}", x) for x in held.stems.texts]
+    assert len(held.stems.known) <= clusters.KEPT
+
+
+def test_long_ids_beside_a_null_one(spark):
+    base = {"first_article_number": 0, "poster": "p", "stem": "a b", "title": "", "family_title": "", "file_index": 0, "expected_files": 0, "size_bytes": 10, "confidence": 0.9, "file_name": "a b.rar", "is_auxiliary": False}
+    files = [base | {"family_key": 1, "binary_id": i, "posted_at": AT + dt.timedelta(hours=n)} for n, i in enumerate((2**60 + 1, None))]
+    got = clusters.release_clusters(spark.createDataFrame([tuple(f[c] for c in NAMES) for f in files], SCHEMA)).collect()
+    assert {r.binary_id: r.cluster_id for r in got} == {2**60 + 1: 2**60 + 1, None: 2**60 + 1}
