@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from headerloom.functions import names
-from headerloom.functions.text import search_title
-from headerloom.sources.folders import written
+from headerloom.functions.text import apart, bound, search_title
 
 # Words of media names, titles that say nothing, suffixes, and how sure each source is.
 RESOLUTION, VIDEO = r"\b(2160p|1080p|720p|576p|480p)\b", r"\b(x265|h265|hevc|av1|x264|h264|xvid)\b"
@@ -42,8 +41,9 @@ def stem_of(name: Column) -> Column:
 
 def _obscure(key: Column, core: Column) -> Column:
     words = F.split(core, " ")
-    long = words[0].rlike(OPAQUE)
-    return (core != "") & (F.replace(core, F.lit(" "), F.lit("")).rlike(HEX) | ((F.size(words) == 1) & long) | (~key.rlike(_SEMANTIC) & (F.size(words) <= 2) & long))
+    # The words are looked at only if the first may be long, and media names are looked for last.
+    long = core.rlike("^[a-z0-9]{12}") & words[0].rlike(OPAQUE)
+    return (core != "") & (F.replace(core, F.lit(" "), F.lit("")).rlike(HEX) | (long & ((F.size(words) == 1) | ((F.size(words) <= 2) & ~key.rlike(_SEMANTIC)))))
 
 
 def _told(key: Column) -> Column:
@@ -56,13 +56,16 @@ def read(rows: DataFrame, title: str, whole: bool = True) -> DataFrame:
     Obscure: hexadecimal digits, one long token, or two words at most of which the first is one, and none of media names; ``whole``: by the title's stem, where it has
     one. Readable: not obscure and of two words, or one of media names.
     """
-    key, core, obscure = f"{title}_key", f"{title}_core", f"{title}_obscure"
-    rows = rows.withColumn(key, search_title(F.col(title)))
+    key, cut, obscure = f"{title}_key", f"{title}_cut", f"{title}_obscure"
+    rows = rows.withColumn(key, apart(search_title(F.col(title))))
+    core = F.col(key)
     if whole:
-        rows = rows.withColumn(core, search_title(stem_of(F.col(title)))).withColumn(core, F.when(F.col(core) != "", F.col(core)).otherwise(F.col(key)))
-    rows = rows.withColumn(obscure, _obscure(F.col(key), F.col(core if whole else key)))
+        # Without a dot nothing is cut, and the stem's key is the title's.
+        rows = rows.withColumn(cut, F.when(F.col(title).contains("."), names.filled(search_title(stem_of(F.col(title))))))
+        core = F.coalesce(cut, key)
+    rows = rows.withColumn(obscure, apart(_obscure(F.col(key), core)))
     told = _told(F.col(key)) & ~F.col(obscure)
-    return rows.withColumn(f"{title}_readable", told & ~F.col(key).rlike(NUMBERED) if whole else told).drop(core)
+    return rows.withColumn(f"{title}_readable", told & ~F.col(key).rlike(NUMBERED) if whole else told).drop(cut)
 
 
 def alike(one: Column, other: Column) -> Column:
@@ -71,17 +74,20 @@ def alike(one: Column, other: Column) -> Column:
     return (one != "") & (other != "") & ((one == other) | (F.size(F.filter(x, lambda w: F.array_contains(y, w))) / F.least(F.size(x), F.size(y)) >= 0.6))
 
 
-def path_stem(path: Column) -> Column:
+def located(rows: DataFrame, path: Column) -> DataFrame:
+    """rows with a path's ``clean`` form and its ``base`` name, each worked out once."""
+    return rows.withColumn("clean", F.regexp_replace(F.translate(F.trim(path), "\\", "/"), "/+$", "")).withColumn("base", F.substring_index("clean", "/", -1))
+
+
+def path_stem(clean: Column, base: Column) -> Column:
     """A file's name without suffix, or its folder's if the name is all suffix; blank for samples."""
-    clean = F.regexp_replace(F.translate(F.trim(path), "\\", "/"), "/+$", "")
-    base, folder = F.substring_index(clean, "/", -1), F.regexp_extract(clean, r"([^/]+)/+[^/]*$", 1)
+    folder = F.regexp_extract(clean, r"([^/]+)/+[^/]*$", 1)
     bare = lambda x: F.trim(F.regexp_replace(x, r"\.[^./]*$", ""))
-    return F.when(F.lower(clean).contains("/sample/") | F.lower(base).contains("sample"), "").when(bare(base) != "", bare(base)).when(folder != ".", bare(folder)).otherwise("")
+    return F.when(F.lower(clean).contains("/sample/") | F.lower(base).contains("sample"), "").otherwise(F.coalesce(names.filled(bare(base)), F.when(folder != ".", bare(folder)), F.lit("")))
 
 
-def package_stem(path: Column) -> Column:
+def package_stem(base: Column) -> Column:
     """An archive's or document's name without suffix; blank if it is one of several parts, or none of these."""
-    base = F.substring_index(F.regexp_replace(F.translate(F.trim(path), "\\", "/"), "/+$", ""), "/", -1)
     return F.when(F.lower(base).rlike(PACKAGE) & ~F.lower(base).rlike(PART), F.regexp_replace(F.regexp_replace(base, r"\.[^./]*$", ""), r"^[ ._-]+|[ ._-]+$", "")).otherwise("")
 
 
@@ -95,25 +101,33 @@ def telling_line(text: Column) -> Column:
 
 
 def _candidates(rows: DataFrame, whole: bool) -> DataFrame:
-    """rows (release_id, ord, source, confidence, raw) with style, title and title_key, as far as the raw name can be read."""
-    # Written before it is filtered: a filter that is pushed below the readings would work each of them out again.
-    rows = written(read(rows.withColumn("title", displayed(F.col("raw"))), "title", whole)).where("title_readable")
+    """rows (release_id, ord, source, confidence, raw) as release_id, whole, confidence, x (ord, style, title, title_key, source, confidence), as far as the raw name can be read."""
+    rows = read(rows.withColumn("title", displayed(F.col("raw"))), "title", whole)
     style = styled(F.when(F.col("source") == "media_title", F.col("title")).otherwise(F.col("raw")))
-    return rows.select("release_id", "ord", "source", "confidence", style.alias("style"), "title", "title_key").where("style <> ''")
-
-
-def _best(candidates: DataFrame, about: DataFrame) -> DataFrame:
-    """release_id, best (style, title, title_key, source, confidence): the surest of each release; of equally sure ones in their order (``ord``) a later
-    one wins that is like the source title where the best so far is not, or that is longer. Only different titles of the greatest confidence meet.
-    """
-    keys = ["release_id", "title", "title_key", "style", "source", "confidence"]
-    rows = candidates.groupBy(*keys).agg(F.min("ord").alias("ord")).join(about.select("release_id", "source_title_key"), "release_id")
-    rows = rows.withColumn("like", alike(F.col("title_key"), F.col("source_title_key"))).withColumn("long", F.octet_length("title_key"))
-    most = rows.groupBy("release_id").agg(F.max("confidence").alias("most"))
-    rows = rows.join(most, "release_id").where("confidence = most")
-    listed = rows.groupBy("release_id").agg(F.array_sort(F.collect_list(F.struct("ord", "like", "long", "style", "title", "title_key", "source", "confidence"))).alias("all"))
+    one = F.struct(F.col("ord").cast("long").alias("ord"), style.alias("style"), "title", "title_key", "source", "confidence")
+    # Unfolded from a list, not filtered: a filter would be pushed below the readings and work each of them out again.
+    some = rows.select("release_id", F.explode_outer(F.when(F.col("title_readable"), F.array(one))).alias("x")).where("x.style <> ''")
+    return some.select("release_id", F.lit(whole).alias("whole"), "x.confidence", "x")
+
+
+def _surest(candidates: DataFrame) -> DataFrame:
+    """release_id, given, called: the different candidates of the greatest confidence of each release, by what was found in files, and by files' names. One shuffle, by release."""
+    order = Window.partitionBy("release_id", "whole").orderBy(F.desc("confidence"))
+    rows = candidates.repartition("release_id").withColumn("place", F.rank().over(order)).where("place = 1")
+    keys = ["style", "title", "title_key", "source", "confidence"]
+    rows = rows.groupBy("release_id", "whole", *[F.col(f"x.{k}").alias(k) for k in keys]).agg(F.min("x.ord").alias("ord"))
+    some = lambda whole: F.collect_list(F.when(F.col("whole") == whole, F.struct("ord", *keys)))
+    return rows.groupBy("release_id").agg(some(False).alias("given"), some(True).alias("called"))
+
+
+def _folded(some: Column, source_key: Column) -> Column:
+    """The best of a list of equally sure candidates, null of none. In their order (``ord``) a later one wins that is like the source title where the best so far is not, or that is longer."""
+    keys = ["ord", "style", "title", "title_key", "source", "confidence"]
+    like = lambda x: alike(x["title_key"], source_key).alias("like")
+    listed = F.array_sort(F.transform(some, lambda x: F.struct(x["ord"].alias("ord"), like(x), F.octet_length(x["title_key"]).alias("long"), *[x[k].alias(k) for k in keys[1:]])))
     later = lambda best, x: F.when((x["like"] & ~best["like"]) | (x["long"] > best["long"]), x).otherwise(best)
-    return listed.select("release_id", F.reduce(F.slice("all", 2, F.size("all")), F.element_at("all", 1), later).alias("best"))
+    best = bound(listed, lambda all_: F.reduce(F.slice(all_, 2, F.size(all_)), F.get(all_, F.lit(0)), later))
+    return F.when(F.size(some) > 1, bound(best, lambda x: F.struct(*[x[k].alias(k) for k in keys]))).otherwise(F.get(some, F.lit(0)))
 
 
 def release_titles(releases: DataFrame, files: DataFrame, inspected: DataFrame) -> DataFrame:
@@ -129,16 +143,23 @@ def release_titles(releases: DataFrame, files: DataFrame, inspected: DataFrame)
     about = about.withColumns({"shown": displayed(F.col("source_title")), "human": names.spaced(F.regexp_replace("stem", r"[._\-]+", " ")), "stem_style": styled(F.col("stem"))})
     for title in ("source_title", "shown", "stem", "human"):
         about = read(about, title)
-    about = written(about)
-
-    kind, value = F.trim("source"), blank("value")
-    raw = F.when(kind == "media_title", F.when(F.octet_length(F.trim(value)) <= 180, F.trim(value))).when(kind == "archive_entry", path_stem(value)).when(kind == "nfo", telling_line(value))
-    given = inspected.select("release_id", "ord", kind.alias("source"), F.least(F.greatest(F.coalesce("confidence", F.lit(0.0)), F.lit(0.0)), F.lit(1.0)).alias("confidence"), raw.alias("raw"))
-    given = _best(_candidates(given, False), about).select("release_id", F.lit(-1).cast("long").alias("ord"), "best.source", "best.confidence", "best.style", "best.title", "best.title_key")
-    name = F.trim(blank("file_name"))
-    media, raw = F.lower(name).rlike(MEDIA), F.when(F.lower(name).contains("sample"), "").when(F.lower(name).rlike(MEDIA), path_stem(name)).otherwise(package_stem(name))
-    called = files.select("release_id", F.col("ord").cast("long").alias("ord"), F.when(media, "media_filename").otherwise("package_filename").alias("source"), F.when(media, FROM_MEDIA).otherwise(FROM_PACKAGE).alias("confidence"), raw.alias("raw"))
-    rows = about.join(_best(given.unionByName(_candidates(called, True)), about), "release_id", "left")
+
+    kind, value = F.col("source"), F.col("value")
+    found = inspected.select("release_id", "ord", F.trim("source").alias("source"), F.least(F.greatest(F.coalesce("confidence", F.lit(0.0)), F.lit(0.0)), F.lit(1.0)).alias("confidence"), blank("value").alias("value"))
+    found = located(found, F.when(kind == "archive_entry", value))
+    raw = F.when(kind == "media_title", F.when(F.octet_length(F.trim(value)) <= 180, F.trim(value))).when(kind == "archive_entry", path_stem(F.col("clean"), F.col("base"))).when(kind == "nfo", telling_line(value))
+    given = _candidates(found.select("release_id", "ord", "source", "confidence", apart(raw).alias("raw")), False)
+    named = files.select("release_id", "ord", F.trim(blank("file_name")).alias("name")).withColumn("low", F.lower("name")).withColumn("media", F.col("low").rlike(MEDIA))
+    named, media = located(named, F.col("name")), F.col("media")
+    raw = F.when(F.col("low").contains("sample"), "").when(media, path_stem(F.col("clean"), F.col("base"))).otherwise(package_stem(F.col("base")))
+    called = _candidates(named.select("release_id", "ord", F.when(media, "media_filename").otherwise("package_filename").alias("source"), F.when(media, FROM_MEDIA).otherwise(FROM_PACKAGE).alias("confidence"), apart(raw).alias("raw")), True)
+    rows = about.join(_surest(given.unionByName(called)), "release_id", "left")
+    # The best of what was found stands before the names of files, where it is at least as sure.
+    rows = rows.withColumn("best", _folded(F.col("given"), F.col("source_title_key")))
+    sure, least = F.col("best.confidence"), F.get("called", F.lit(0))["confidence"]
+    first = F.struct(F.lit(-1).cast("long").alias("ord"), *[F.col(f"best.{k}").alias(k) for k in ("style", "title", "title_key", "source", "confidence")])
+    some = F.when(sure.isNull() | (sure < least), F.col("called")).when(sure == least, F.concat(F.array(first), F.col("called"))).otherwise(F.array(first))
+    rows = rows.withColumn("some", some).withColumn("best", _folded(F.col("some"), F.col("source_title_key")))
 
     source, key, obscure, clear = F.col("source_title"), F.col("source_title_key"), F.col("source_title_obscure"), F.col("source_title_readable")
     told = (source != "") & clear & ~obscure & ~key.isin(WEAK_TITLES)

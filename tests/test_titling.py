@@ -1,5 +1,7 @@
 """Release titles: candidates of each kind, the best of several, adoption, stems, nulls."""
 
+import os
+
 from pyspark.sql import functions as F
 
 from headerloom.operators import titling
@@ -45,3 +47,18 @@ def test_what_can_be_read(spark):
     rows = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(READ)], "i int, t string")
     got = titling.read(rows, "t").select("i", F.coalesce("t_obscure", F.lit(False)).alias("o"), F.coalesce("t_readable", F.lit(False)).alias("r")).collect()
     assert {r.i: (r.o, r.r) for r in got} == {i: (o, r) for i, (_, o, r) in enumerate(READ)}
+
+
+def test_candidates_are_read_and_shuffled_once(spark):
+    """No table is written on the way, and only releases and candidates are shuffled, each of them once."""
+    releases = spark.createDataFrame([(1, OPAQUE, None), (2, None, None), (None, "Great Film", None)], "release_id long, source_title string, stem string")
+    files = spark.createDataFrame([(1, 5, "dir\\Short Name.mkv"), (1, 6, "A Longer Name.mkv"), (2, 1, "x/sample/Some Name.mkv"), (None, 1, "Some Name.mkv")], "release_id long, ord long, file_name string")
+    inspected = spark.createDataFrame([(1, 1, "media_title", "Some Name of Film", 0.88), (1, 2, "nfo", "Film 1999", 0.5), (2, 1, "media_title", "Two Words", 0.9)], "release_id long, ord long, source string, value string, confidence double")
+    folder = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(folder))
+    found = titling.release_titles(releases, files, inspected)
+    assert sorted((r.release_id or 0, r.title, r.title_source) for r in found.collect()) == [(0, "Great Film", "source"), (1, "Some Name of Film", "media_title"), (2, "Two Words", "media_title")]
+    assert set(os.listdir(folder)) == before
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 1
+    assert plan.count("Join") == 1
