@@ -26,7 +26,8 @@ def displayed(text: Column) -> Column:
 
 def styled(text: Column) -> Column:
     """A title as releases write it: dots for spaces and slashes."""
-    return F.regexp_replace(F.regexp_replace(F.translate(F.trim(text), "\\/_ ", "...."), r"\.+", "."), r"^\.|\.$", "")
+    dotted = F.translate(F.trim(text), "\\/_ ", "....")
+    return F.regexp_replace(F.when(dotted.contains(".."), F.regexp_replace(dotted, r"\.+", ".")).otherwise(dotted), r"^\.|\.$", "")
 
 
 def stem_of(name: Column) -> Column:
@@ -43,7 +44,8 @@ def _obscure(key: Column, core: Column) -> Column:
     words = F.split(core, " ")
     # The words are looked at only if the first may be long, and media names are looked for last.
     long = core.rlike("^[a-z0-9]{12}") & words[0].rlike(OPAQUE)
-    return (core != "") & (F.replace(core, F.lit(" "), F.lit("")).rlike(HEX) | (long & ((F.size(words) == 1) | ((F.size(words) <= 2) & ~key.rlike(_SEMANTIC)))))
+    digit = core.between("0", "g")  # begins like hexadecimal digits, or a bit beside them
+    return (core != "") & ((digit & F.replace(core, F.lit(" "), F.lit("")).rlike(HEX)) | (long & ((F.size(words) == 1) | ((F.size(words) <= 2) & ~key.rlike(_SEMANTIC)))))
 
 
 def _told(key: Column) -> Column:
@@ -65,7 +67,7 @@ def read(rows: DataFrame, title: str, whole: bool = True) -> DataFrame:
         core = F.coalesce(cut, key)
     rows = rows.withColumn(obscure, apart(_obscure(F.col(key), core)))
     told = _told(F.col(key)) & ~F.col(obscure)
-    return rows.withColumn(f"{title}_readable", told & ~F.col(key).rlike(NUMBERED) if whole else told).drop(cut)
+    return rows.withColumn(f"{title}_readable", told & ~(F.col(key).between("0", ":") & F.col(key).rlike(NUMBERED)) if whole else told).drop(cut)
 
 
 def alike(one: Column, other: Column) -> Column:
@@ -76,7 +78,8 @@ def alike(one: Column, other: Column) -> Column:
 
 def located(rows: DataFrame, path: Column) -> DataFrame:
     """rows with a path's ``clean`` form and its ``base`` name, each worked out once."""
-    return rows.withColumn("clean", F.regexp_replace(F.translate(F.trim(path), "\\", "/"), "/+$", "")).withColumn("base", F.substring_index("clean", "/", -1))
+    slashed = F.translate(F.trim(path), "\\", "/")
+    return rows.withColumn("clean", F.when(slashed.contains("/"), F.regexp_replace(slashed, "/+$", "")).otherwise(slashed)).withColumn("base", F.substring_index("clean", "/", -1))
 
 
 def path_stem(clean: Column, base: Column) -> Column:
